@@ -37,9 +37,9 @@ WORDS = 5
 #: Similarity in percent.
 SIMILAR = 80
 #: Frequent shingles whose class is known to every task, at most; the order of tokens, not the result, depends on it.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 21
 #: A task reports shingles it has seen in this many texts.
-SEEN = 4
+SEEN = 2
 _SEEDS = [np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179), np.uint64(0x6A09E667F3BCC908)]
 #: Width of the length bands of step 4.
 BAND = 1.05
