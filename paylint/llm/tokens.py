@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +58,16 @@ class Encoder:
 
     def _learn(self, spaced: set[str], plain: set[str]) -> None:
         if len(self.spaced) + len(self.plain) > CACHE:
-            self.spaced.clear()
+            # those learned first tend to be the most frequent
+            self.spaced = dict(islice(self.spaced.items(), CACHE // 2))
             self.plain.clear()
         new = list(spaced.difference(self.spaced))
         groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
         for pieces, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
             at = np.flatnonzero(self.opens[ids])
             if len(at) == len(pieces) and (not len(at) or at[0] == 0):
-                self.spaced.update(zip(pieces, (x.tobytes() for x in np.split(ids, at[1:])), strict=True))
+                held, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
+                self.spaced.update(zip(pieces, [held[a:z] for a, z in zip((at * 4).tolist(), ends, strict=True)], strict=True))
             else:
                 self.spaced.update(zip(pieces, (x.tobytes() for x in self._encode([" " + p for p in pieces])), strict=True))
         new = list(plain.difference(self.plain))
