@@ -41,6 +41,9 @@ FREQUENT = 1 << 21
 #: A task reports shingles it has seen in this many texts.
 SEEN = 2
 _SEEDS = [np.uint64(0x1F83D9ABFB41BD6B), np.uint64(0x5BE0CD19137E2179), np.uint64(0x6A09E667F3BCC908)]
+#: Bits of a parity bitmap.
+PARITY = 2048
+_S32 = np.uint64(32)
 #: Width of the length bands of step 4.
 BAND = 1.05
 
@@ -161,43 +164,78 @@ def _possible(n: str, r: str, m: str, q: str, similar: int) -> str:
     return f"100 * least({n}, {m}) >= {similar} * greatest({n}, {m}) and {100 + similar} * least({n} - {r}, {m} - {q}) >= {similar} * ({n} + {m})"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, profiled: DataFrame, order, words: int, similar: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link.
-
-    The sets are built again from the texts, only for one document of each set in a
-    pair (a Bloom filter of their ids goes to the scan, an exact join follows).
-    """
-    wanted = saved(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "wanted")
+def _chosen(docs: DataFrame, profiled: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text) of at least one document of each wanted set: a Bloom filter of the documents' ids goes to the scan."""
     first = profiled.where("kind = 0").groupBy(F.col("key").alias("sid")).agg(F.min("id").alias("doc_id"))
     ids = saved(first.join(wanted, "sid", "left_semi").select("doc_id"), "ids")
     blocks = bloom.blocks_for(ids.count())
     h = F.xxhash64(F.col("doc_id").cast("long"))
-    chosen = bloom.possible(docs.select("doc_id", "text"), h, bloom.build(ids, h, blocks), blocks)
+    return bloom.possible(docs.select("doc_id", "text"), h, bloom.build(ids, h, blocks), blocks).select("text")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _parity(s: np.ndarray) -> np.ndarray:
+    """A bitmap with a bit for whether an odd number of tokens fall on it."""
+    odd = np.bincount((mix(s, _SEEDS[0]) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+
+
+def _joined(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs with the columns of both sets, as <column>_a and <column>_b."""
+    for end in ("a", "b"):
+        pairs = pairs.join(nodes.withColumnsRenamed({c: end if c == "sid" else f"{c}_{end}" for c in nodes.columns}), end)
+    return pairs
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, profiled: DataFrame, order, words: int, similar: int) -> DataFrame:
+    """The pairs (a, b) of set ids that link.
+
+    The prefixes under orders 2 and 3 come first, cut to 32 bits, with a parity
+    bitmap (sets whose bitmaps differ in d bits differ in d tokens at least); only
+    pairs that pass all of them have their whole sets built and compared.
+    """
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         o = _Order(order.value[0], order.value[1].astype(np.uint64))
         for _, data, offsets in chunks(batches, "text"):
-            sets, thirds, sids = [], [], []
+            sids, sizes, prefixes, parities = [], [], ([], []), []
             for s in _sets(data, offsets, words):
                 if len(s):
                     c, p = o.of(s), prefix_length(len(s), similar)
-                    thirds.append(s[np.argsort(o.key(s, c, 2))[:p]])
-                    sets.append(s[np.argsort(o.key(s, c, 1))])
+                    for i, held in enumerate(prefixes):
+                        key = o.key(s, c, i + 1)
+                        held.append((s[np.argpartition(key, p - 1)[:p] if p < len(s) else slice(None)] >> _S32).astype(np.uint32).view(np.int32))
                     sids.append(_set_id(s))
-            if sets:
+                    sizes.append(len(s))
+                    parities.append(_parity(s))
+            if sids:
+                p = np.array([len(x) for x in prefixes[0]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.array(sids, np.int64)), lists(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets])), lists(np.concatenate(thirds).view(np.int64), np.array([len(s) for s in thirds]))], ["sid", "tokens", "third"]
+                    [pa.array(np.array(sids, np.int64)), pa.array(np.array(sizes, np.int64)), *(lists(np.concatenate(x), p) for x in prefixes), lists(np.concatenate(parities), np.full(len(sids), PARITY // 64))], ["sid", "n", "second", "third", "parity"]
                 )
 
-    built = chosen.select("text").mapInArrow(build, "sid long, tokens array<long>, third array<long>")
-    nodes = saved(built.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "nodes")
-    second = lambda c: F.slice(c, F.lit(1), F.lit(1).cast("int") + F.size(c) - F.ceil(F.size(c) * similar / F.lit(100)).cast("int"))
-    a = nodes.select(F.col("sid").alias("a"), F.col("tokens").alias("ta"), F.col("third").alias("ua"))
-    b = nodes.select(F.col("sid").alias("b"), F.col("tokens").alias("tb"), F.col("third").alias("ub"))
-    both = pairs.join(a, "a").join(b, "b").where(F.arrays_overlap(second(F.col("ta")), second(F.col("tb"))) & F.arrays_overlap("ua", "ub"))
-    common = F.size(F.array_intersect("ta", "tb")).cast("long")
-    links = both.where(100 * common >= similar * (F.size("ta").cast("long") + F.size("tb") - common)).select("a", "b")
-    return saved(links, "links")
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in chunks(batches, "text"):
+            if sets := [s for s in _sets(data, offsets, words) if len(s)]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_id(s) for s in sets], np.int64)), lists(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))], ["sid", "tokens"])
+
+    wanted = saved(_ends(pairs), "wanted")
+    rows = _chosen(docs, profiled, wanted).mapInArrow(sketch, "sid long, n long, second array<int>, third array<int>, parity array<long>")
+    sketches = saved(rows.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sketches")
+    differ = F.expr("aggregate(zip_with(parity_a, parity_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    # with d tokens in one set only, (n_a + n_b - d) / 2 are common
+    near = (100 + similar) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * similar * (F.col("n_a") + F.col("n_b"))
+    left = saved(_joined(pairs, sketches).where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b") & near).select("a", "b"), "candidates")
+    dropped(sketches)
+    wanted = saved(_ends(left), "wanted")
+    nodes = saved(_chosen(docs, profiled, wanted).mapInArrow(build, "sid long, tokens array<long>").join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "nodes")
+    common = F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+    links = saved(_joined(left, nodes).where(100 * common >= similar * (F.size("tokens_a").cast("long") + F.size("tokens_b") - common)).select("a", "b"), "links")
+    dropped(nodes)
+    return links
 
 
 def classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
