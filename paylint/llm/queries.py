@@ -151,7 +151,7 @@ OP7 = """
 WITH sizes AS (SELECT source, CAST(sum(length(text)) AS DOUBLE) AS size FROM documents GROUP BY source),
 sums AS (SELECT sum(pow(size, 0.5)) AS w, sum(size) AS s FROM sizes),
 rates AS (SELECT source, pow(size, 0.5) * s / w / size AS rate FROM sizes, sums),
-drawn AS (SELECT d.*, rate, CAST('0x' || substr(md5('mix:' || doc_id || ':0'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents d JOIN rates USING (source)),
+drawn AS (SELECT d.*, rate, CAST('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) AS u FROM documents d JOIN rates USING (source)),
 counted AS (SELECT *, len(list_filter(list_transform(range(0, 30), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-rate) * pow(rate, j) / factorial(CAST(j AS INTEGER))))), lambda c: c <= u)) AS n FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5('mix:' || doc_id || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)"""
