@@ -65,7 +65,7 @@ def g2_near_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts, dates and numbers as the normalisers read them."""
     df = payments(spark, sf_dir)
-    return df.select("_file", "_row", F.coalesce(normalize.amount(F.col("지원금액")).cast("long"), F.lit(-1).cast("long")).alias("amount"), normalize.date(F.col("지원일자"))["value"].cast("string").alias("day"), normalize.year(F.col("지원일자")).alias("year"), normalize.check_digit_ok(F.col("사업자번호")).alias("digit_ok"), normalize.business_key(F.col("사업자번호")).alias("company"))
+    return df.select("_file", "_row", F.coalesce(normalize.amount(F.col("지원금액")).cast("long"), F.lit(-1).cast("long")).alias("amount"), normalize.date(F.col("지원일자"))["value"].cast("string").alias("day"), normalize.year(F.col("지원일자")).alias("year"), F.coalesce(normalize.check_digit_ok(F.col("사업자번호")), F.lit(False)).alias("digit_ok"), normalize.business_key(F.col("사업자번호")).alias("company"))
 
 
 def k_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +162,8 @@ b AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) <= 3 THEN 0 ELS
 c AS (SELECT *, sum(fresh) OVER (PARTITION BY program, agency, amount ORDER BY day, _file, _row ROWS UNBOUNDED PRECEDING) AS chain FROM b)
 SELECT program, agency, amount, count(*) AS n_rows, CAST(min(day) AS VARCHAR) AS first_day, CAST(max(day) AS VARCHAR) AS last_day, count(DISTINCT _file) AS n_files FROM c GROUP BY program, agency, amount, chain HAVING count(*) > 1""",
         "n_normalized": _PAY
-        + """SELECT _file, _row, coalesce(CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END, -1) AS amount, true_day AS day, year, CASE WHEN length(dg) = 10 THEN
-  (10 - (CAST(dg[1] AS INT) + 3 * CAST(dg[2] AS INT) + 7 * CAST(dg[3] AS INT) + CAST(dg[4] AS INT) + 3 * CAST(dg[5] AS INT) + 7 * CAST(dg[6] AS INT) + CAST(dg[7] AS INT) + 3 * CAST(dg[8] AS INT) + 5 * CAST(dg[9] AS INT) + 5 * CAST(dg[9] AS INT) // 10) % 10) % 10 = CAST(dg[10] AS INT) END AS digit_ok, company FROM keys""",
+        + """SELECT _file, _row, coalesce(CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END, -1) AS amount, true_day AS day, year, coalesce(CASE WHEN length(dg) = 10 THEN
+  (10 - (CAST(dg[1] AS INT) + 3 * CAST(dg[2] AS INT) + 7 * CAST(dg[3] AS INT) + CAST(dg[4] AS INT) + 3 * CAST(dg[5] AS INT) + 7 * CAST(dg[6] AS INT) + CAST(dg[7] AS INT) + 3 * CAST(dg[8] AS INT) + 5 * CAST(dg[9] AS INT) + 5 * CAST(dg[9] AS INT) // 10) % 10) % 10 = CAST(dg[10] AS INT) END, FALSE) AS digit_ok, company FROM keys""",
         "k_masked": _PAY + "SELECT _file, _row, CASE WHEN length(dg) = 10 THEN substr(dg, 1, 3) || '-' || substr(dg, 4, 2) || '-*****' ELSE \"사업자번호\" END AS number, substr(dg, 1, 3) || '-' || substr(dg, 4, 2) || '-' || repeat('*', length(dg) - 5) AS cell FROM keys",
         "c_cell_issues": _ISSUES + "SELECT * FROM found",
         "c22_outliers": """WITH s AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.75) AS q3, avg(l_extendedprice) AS m FROM lineitem GROUP BY 1 HAVING count(*) >= 4),
