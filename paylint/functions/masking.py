@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .normalize import digits
@@ -30,3 +30,31 @@ def contacts(c: Column) -> Column:
     c = F.regexp_replace(c, r"(?<![0-9])([0-9]{3})-?([0-9]{2})-?[0-9]{5}(?![0-9])", "$1-$2-*****")
     c = F.regexp_replace(c, r"(?<![0-9])(0[0-9]{1,2})-([0-9]{3,4})-[0-9]{4}(?![0-9])", "$1-$2-****")
     return F.regexp_replace(c, r"([A-Za-z0-9._%+-]{1,2})[A-Za-z0-9._%+-]*@", "$1***@")
+
+
+#: Markers of a company's legal form.
+MARKERS = ["주식회사", "유한회사", "(주)", "(유)", "㈜", "㈲"]
+
+
+def company(c: Column) -> Column:
+    """Legal-form markers stay; of each part between them the first character stays, the others are circles."""
+    cut = c
+    for m in MARKERS:
+        cut = F.replace(cut, F.lit(m), F.lit(f"\u0000{m}\u0000"))
+
+    def hidden(part: Column) -> Column:
+        core = F.trim(part)
+        stars = F.when(F.length(core) > 1, F.concat(F.substring(core, 1, 1), F.repeat(F.lit("○"), F.length(core) - 1))).otherwise("○")
+        return F.when(part.isin(MARKERS) | (core == ""), part).otherwise(F.concat(F.regexp_extract(part, "^ *", 0), stars, F.regexp_extract(part, " *$", 0)))
+
+    return F.array_join(F.transform(F.split(cut, "\u0000"), hidden), "")
+
+
+def cell(column: Column, value: Column) -> Column:
+    """The mask that fits a column's name."""
+    return F.when(column == "사업자번호", business_cell(value)).when(column == "수혜기업명", company(value)).otherwise(in_text(value))
+
+
+def issues(df: DataFrame, columns: tuple[str, ...] = ("value", "suggestion")) -> DataFrame:
+    """Issues or changes with values masked by the name of their column."""
+    return df.withColumns({c: cell(F.col("column"), F.col(c)) for c in columns})

@@ -54,3 +54,35 @@ def file_tiers(issues: DataFrame) -> DataFrame:
 
 def top_rules(issues: DataFrame, n: int = 5) -> DataFrame:
     return issues.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "rule_id").limit(n)
+
+
+def scoped(issues: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Issues whose rule begins with one of the prefixes."""
+    wanted = F.lit(False)
+    for p in prefixes:
+        wanted = wanted | F.col("rule_id").startswith(p)
+    return issues.where(wanted)
+
+
+def guarded(decisions: DataFrame, issues: DataFrame, prefixes: list[str] | None = None) -> DataFrame:
+    """Decisions on known issues in scope; a duplicate row is never dropped by the system."""
+    known = issues if prefixes is None else scoped(issues, prefixes)
+    rows = decisions.join(known.select("issue_id", "rule_id"), "issue_id")
+    return rows.where(~((F.col("rule_id") == "DUPLICATE_ROW") & (F.col("action") == "apply") & (F.col("decided_by") == "system"))).drop("rule_id")
+
+
+def to_ask(remaining: DataFrame, decisions: DataFrame, issues: DataFrame) -> DataFrame:
+    """Remaining issues that need an answer: of tier request, or on a cell that had a decision to request."""
+    asked = issues.join(decisions.where("action = 'request'").select("issue_id"), "issue_id").select(*CELL).distinct().withColumn("_asked", F.lit(True))
+    return remaining.join(asked, CELL, "left").where("tier = 'request' or _asked").drop("_asked")
+
+
+def bulk_duplicates(issues: DataFrame) -> DataFrame:
+    return issues.where("rule_id = 'DUPLICATE_ROW' and tier = 'approval' and value = '(완전중복)'")
+
+
+def report(issues: DataFrame) -> DataFrame:
+    """One row: counts by rule and by tier as maps, and whether nothing remains. Only counts meet in the last task."""
+    counts = issues.groupBy("rule_id", "tier").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda key: counts.groupBy(key).agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(f"by_{key}"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return of("rule_id").join(of("tier").drop("total"), F.lit(True)).withColumn("passed", F.col("total") == 0)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
+from paylint.operators.graph import components
+from paylint.sources.tables import saved
 
 COMPANY, PROGRAM, DATE, AMOUNT = "사업자번호", "사업명", "지원일자", "지원금액"
 
@@ -61,3 +63,83 @@ def reconcile(detail: DataFrame, summary: DataFrame, key: str, count: str, total
 
 def excluded(df: DataFrame) -> Column:
     return F.count_if(F.length(N.digits(F.col(COMPANY))) != 10)
+
+
+def specs_from_master(master: DataFrame) -> DataFrame:
+    """(spec_id, kind, program, group_by, most): up to three rules for each program of a master table.
+
+    A: more rows than the yearly number for a company and program.  B: more than one
+    row for a company and agency, if repeats are not allowed.  C: a sum over the
+    limit of a company.
+    """
+    name, number = F.trim("사업명"), lambda c: F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).cast("long"))
+    rule = lambda part, kind, by, most: F.struct(F.concat(F.lit("RS-"), F.trim("사업코드"), F.lit(part)).alias("spec_id"), F.lit(kind).alias("kind"), name.alias("program"), F.lit(by).alias("group_by"), most.alias("most"))
+    yearly = F.when(number("연간허용횟수") >= 1, number("연간허용횟수"))
+    once = F.when(F.upper(F.trim("시군내중복허용")) == "N", F.lit(1).cast("long"))
+    rules = F.array(rule("A", "MAX_COUNT", "program", yearly), rule("B", "MAX_COUNT", "agency", once), rule("C", "SUM_LIMIT", "company", number("기업당한도")))
+    return master.where(name != "").select(F.inline(rules)).where("most is not null")
+
+
+def evaluated(df: DataFrame, specs: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(spec_id, company, agency, year, n_rows, total): the groups that break a rule of specs, all rules in one aggregation.
+
+    agency is null for rules that don't group by it. The specs are broadcast up to `rows` rows.
+    """
+    specs = F.broadcast(specs) if specs.limit(rows + 1).count() <= rows else specs
+    joined = prepared(df).join(specs, F.col(PROGRAM) == F.col("program"))
+    agency = F.when(F.col("group_by") == "agency", F.col("기관명"))
+    sums = joined.groupBy("spec_id", "kind", "most", F.col(COMPANY).alias("company"), agency.alias("agency"), "year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").alias("total"))
+    return sums.where(F.when(F.col("kind") == "MAX_COUNT", F.col("n_rows") > F.col("most")).otherwise(F.col("total") > F.col("most"))).drop("kind", "most")
+
+
+def under_scopes(df: DataFrame, group_by: list[str], limits: dict[str, int], period: str = "year") -> DataFrame:
+    """sum_limit under several scopes at once: (scope, keys ..., total), null for keys that a scope lacks."""
+    keys = _keys([*group_by, *([] if PROGRAM in group_by else [PROGRAM])], period)
+    out = None
+    for scope, most in limits.items():
+        found = payment_limit(df, most).select(*keys, F.col("amount").alias("total")) if scope == "per_payment" else sum_limit(df, group_by, most, scope, period)
+        part = found.select(F.lit(scope).alias("scope"), *(F.col(k) if k in found.columns else F.lit(None).cast("string").alias(k) for k in keys), "total")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, programs: list[str] | None = None) -> DataFrame:
+    """As near_payments, but an unreadable day or amount fits every other: (group, n_rows, first_day, last_day, several_files) of each component of two rows or more.
+
+    Payments of equal group, day and amount count as one point.  Points of one amount
+    are chained by day.  Wildcards are linked to few points that stand for all they
+    fit: an amount-less point to the chains of the points next to it in time, a
+    day-less one to all chains of its amount, and day-less and amount-less ones to
+    the first of the other kind in their group.  No pairs are compared.
+    """
+    g = [f"_g{i}" for i in range(len(group_by))]
+    rows = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", "_file")
+    points = rows.groupBy(*g, "amount", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi"))
+    by = Window.partitionBy(*g, "amount").orderBy("day")
+    fresh = F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int")
+    named = lambda chain: F.to_json(F.struct(*g, "amount", chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})
+    dated = points.where("day is not null").withColumn("_new", fresh).withColumn("unit", named(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new")
+    points = saved(dated.unionByName(points.where("day is null").withColumn("unit", named(F.lit(-1)))))
+    dated, dayless = points.where("day is not null"), points.where("day is null")
+
+    near = Window.partitionBy(*g).orderBy("day")
+    open_ = F.when(F.col("amount").isNull(), F.struct("day", "unit"))
+    sides = dated.select("unit", "day", "amount", F.last(open_, ignorenulls=True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(open_, ignorenulls=True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("q"))
+    links = [sides.where(F.col("amount").isNotNull() & (F.abs(F.datediff("day", f"{s}.day")) <= days)).select(F.col("unit").alias("a"), F.col(f"{s}.unit").alias("b")) for s in ("p", "q")]
+
+    units = points.select(*g, "amount", "day", "unit")
+    same = lambda other, keys: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in keys))
+    u = units.alias("u")
+    links.append(u.join(dayless.select(*g, "amount", F.col("unit").alias("b")).where("amount is not null").alias("d"), same("d", [*g, "amount"])).selectExpr("u.unit as a", "d.b as b"))
+    firsts = units.groupBy(*g).agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("f_amount"), F.min(F.when(F.col("day").isNull(), F.col("unit"))).alias("f_day"), F.min(F.when(F.col("amount").isNull() & F.col("day").isNull(), F.col("unit"))).alias("f_both"))
+    joined = u.join(firsts.where("f_amount is not null and f_day is not null").alias("f"), same("f", g))
+    links.append(joined.where("u.amount is null").selectExpr("u.unit as a", "f.f_day as b"))
+    links.append(joined.where("u.day is null").selectExpr("u.unit as a", "f.f_amount as b"))
+    links.append(joined.where("f.f_both is not null").selectExpr("u.unit as a", "f.f_both as b"))
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    found = components(every.where("a != b").distinct())
+    labelled = points.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
+    sums = labelled.groupBy("label", *g).agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.min("lo") != F.max("hi")).alias("several_files"))
+    return sums.where("n_rows > 1").select(*(F.col(a).alias(k) for k, a in zip(group_by, g, strict=True)), "n_rows", "first_day", "last_day", "several_files")

@@ -1,22 +1,27 @@
 import duckdb
 import pytest
 
-from paylint.plans import registry
+from paylint.plans import registry, review
 
 TABLES = ("orders", "customer", "nation", "region", "lineitem", "documents")
+QUERIES = registry.queries() | review.queries()
+SQL = registry.oracle_sql() | review.oracle_sql()
 
 
 def shown(rows):
     return sorted(tuple("" if v is None else str(v) for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, name):
     sf_dir = "/root/testdata/sf0.001"
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    got = registry.queries()[name](spark, sf_dir)
+    got = QUERIES[name](spark, sf_dir)
     columns = sorted(got.columns)
-    wanted = db.execute(f"SELECT {', '.join(columns)} FROM ({registry.oracle_sql()[name]})" if name != "c_cell_issues" else f'SELECT {", ".join(chr(34) + c + chr(34) for c in columns)} FROM ({registry.oracle_sql()[name]})').fetchall()
-    assert shown(got.select(*columns).collect()) == shown(wanted)
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    wanted = db.execute(f"SELECT {quoted} FROM ({SQL[name]})").fetchall()
+    rows = got.select(*(f"`{c}`" for c in columns)).collect()
+    assert rows
+    assert shown(rows) == shown(wanted)
