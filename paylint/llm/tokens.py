@@ -18,6 +18,8 @@ from .storage import new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
 CACHE = 400_000
+#: Pieces that stay in a worker between tasks, at most.
+KEPT = 50_000
 #: New pieces encoded in one string.
 JOINED = 2000
 #: A space after white space, or at the end: the text is then cut by a pattern, not by spaces alone.
@@ -73,6 +75,11 @@ class Encoder:
         new = list(plain.difference(self.plain))
         self.plain.update(zip(new, (x.tobytes() for x in self._encode(new)), strict=True))
 
+    def rest(self) -> None:
+        """Give memory back at the end of a task: workers live on, and other stages share their executors."""
+        self.spaced = dict(islice(self.spaced.items(), KEPT))
+        self.plain.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers, with the end id."""
         cut, spaced, plain = [], set(), set()
@@ -121,6 +128,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, enc
             ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), np.int32)))
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "before", "ids"])
             before += int(ends[-1]) if len(ends) else 0
+        encoder.rest()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, part int, before long, ids array<int>"
     ordered.select("doc_id", "text").mapInArrow(encode, schema).write.options(**LAYOUT, **ENCODINGS[encoding]).parquet(out)
