@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import chunks
+from .arrays import chunks, lists
 from .storage import new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
@@ -21,9 +21,7 @@ CACHE = 400_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
 #: New pieces encoded in one string.
-JOINED = 2000
-#: A space after white space, or at the end: the text is then cut by a pattern, not by spaces alone.
-_ODD = re.compile(r"\s |\Z(?<= )")
+JOINED = 64
 #: Before a space that follows something other than white space the pre-tokenizer always begins a new piece.
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -35,6 +33,14 @@ ENCODINGS = {
 }
 
 
+class _Numbers(dict):
+    """A number for each key, in the order in which keys were first asked for."""
+
+    def __missing__(self, key: str | None) -> int:
+        n = self[key] = len(self)
+        return n
+
+
 class Encoder:
     """The ids of whole texts, from a byte-level BPE tokenizer file, by pieces.
 
@@ -42,6 +48,11 @@ class Encoder:
     space.  The pre-tokenizer always cuts there too and looks at nothing beyond, so
     the ids of the pieces, one after another, are the ids of the text.  Each
     distinct piece is encoded once while it is in the cache.
+
+    A piece after a space is known by what follows the space, any other piece by
+    itself behind a space, the end id by None.  ``start`` and ``size`` say where
+    the ids of a numbered piece are in ``held``.  ``odd`` pieces are empty or end in
+    white space: texts that hold one are cut by the pattern, not at each space.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -51,51 +62,84 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.spaced: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.end = b"" if end_id is None else np.int32(end_id).tobytes()
+        self.number = _Numbers({None: 0})
+        self.held = np.array([] if end_id is None else [end_id], np.int32)
+        self.start, self.size, self.odd = np.zeros(1, np.int64), np.array([len(self.held)]), np.zeros(1, bool)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, spaced: set[str], plain: set[str]) -> None:
-        if len(self.spaced) + len(self.plain) > CACHE:
-            # those learned first tend to be the most frequent
-            self.spaced = dict(islice(self.spaced.items(), CACHE // 2))
-            self.plain.clear()
-        new = list(spaced.difference(self.spaced))
-        groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
-        for pieces, ids in zip(groups, self._encode([" " + " ".join(g) for g in groups]), strict=True):
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(pieces) and (not len(at) or at[0] == 0):
-                held, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), len(ids) * 4]
-                self.spaced.update(zip(pieces, [held[a:z] for a, z in zip((at * 4).tolist(), ends, strict=True)], strict=True))
-            else:
-                self.spaced.update(zip(pieces, (x.tobytes() for x in self._encode([" " + p for p in pieces])), strict=True))
-        new = list(plain.difference(self.plain))
-        self.plain.update(zip(new, (x.tobytes() for x in self._encode(new)), strict=True))
-
-    def rest(self) -> None:
-        """Give memory back at the end of a task: workers live on, and other stages share their executors."""
-        self.spaced = dict(islice(self.spaced.items(), KEPT))
-        self.plain.clear()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian 32-bit integers, with the end id."""
-        cut, spaced, plain = [], set(), set()
-        for t in texts:
-            if _ODD.search(t):
-                pieces = _CUT.split(t)
-                cut.append((pieces, None))
-                plain.update(pieces)
+    def _learn(self) -> None:
+        """Encode the pieces that were numbered since the last call."""
+        known = len(self.start)
+        new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
+        if not new:
+            return
+        odd = np.array([not p or (p[-1].isspace() and " " not in p) for p in new])
+        spaced = [i for i, p in enumerate(new) if not odd[i] and " " not in p]
+        plain = [i for i, p in enumerate(new) if " " in p]
+        groups = [spaced[i : i + JOINED] for i in range(0, len(spaced), JOINED)]
+        order, ids, sizes = [], [], []
+        for group, coded in zip(groups, self._encode([" " + " ".join([new[i] for i in g]) for g in groups]), strict=True):
+            at = np.flatnonzero(self.opens[coded])
+            order += group
+            if len(at) == len(group) and at[0] == 0:
+                ids.append(coded)
+                sizes.append(np.diff(at, append=len(coded)))
             else:
-                first, *rest = t.split(" ")
-                cut.append(([first], rest))
-                plain.add(first)
-                spaced.update(rest)
-        self._learn(spaced, plain)
-        p, s = self.plain.__getitem__, self.spaced.__getitem__
-        return [b"".join([*map(p, a), *map(s, b or ()), self.end]) for a, b in cut]
+                alone = self._encode([" " + new[i] for i in group])
+                ids += alone
+                sizes.append(np.array([len(x) for x in alone]))
+        alone = self._encode([new[i][1:] for i in plain])
+        size, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        sizes = np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
+        order = np.array(order + plain, np.int64)
+        size[order] = sizes
+        start[order] = len(self.held) + np.cumsum(sizes) - sizes
+        self.held = np.concatenate([self.held, *ids, *alone])
+        self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
+
+    def rest(self, keep: int = KEPT) -> None:
+        """Give memory back: keep the pieces numbered first, which tend to be the most frequent.
+
+        Done at the end of a task too, as workers live on and other stages share their executors.
+        """
+        self.number = _Numbers(islice(self.number.items(), keep))
+        n = len(self.number)
+        self.held = self._ids(np.arange(n))
+        self.size, self.odd = self.size[:n].copy(), self.odd[:n].copy()
+        self.start = np.cumsum(self.size) - self.size
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the numbered pieces, one after another."""
+        n = self.size[at]
+        shift = self.start[at] - np.cumsum(n) + n
+        return self.held[np.arange(n.sum()) + np.repeat(shift, n)]
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, the end id counted, and the ids of all texts one after another."""
+        if len(self.number) > CACHE:
+            self.rest(CACHE // 2)
+        by_pattern = np.zeros(len(texts), bool)
+        while True:
+            keys, first = [], []
+            for t, cut in zip(texts, by_pattern.tolist(), strict=True):
+                first.append(len(keys))
+                if cut:
+                    keys += [" " + p for p in _CUT.split(t)]
+                else:
+                    pieces = t.split(" ")
+                    pieces[0] = " " + pieces[0]
+                    keys += pieces
+                keys.append(None)
+            at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
+            self._learn()
+            if not len(at):
+                return np.zeros(0, np.int64), np.zeros(0, np.int32)
+            odd = np.logical_or.reduceat(self.odd[at], first)
+            if not odd.any():
+                return np.add.reduceat(self.size[at], first), self._ids(at)
+            by_pattern |= odd
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -122,10 +166,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, enc
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
         for rows, _, _ in chunks(batches, "text", 4 << 20):
-            coded = encoder(rows.column(1).to_pylist())
-            n = np.array([len(c) // 4 for c in coded], np.int64)
-            ends = np.cumsum(n)
-            ids = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+            n, values = encoder(rows.column(1).to_pylist())
+            ends, ids = np.cumsum(n), lists(values, n)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "before", "ids"])
             before += int(ends[-1]) if len(ends) else 0
         encoder.rest()
