@@ -78,7 +78,7 @@ class _Order:
         if not len(self.tokens):
             return np.zeros(len(s), np.uint64)
         at = np.minimum(np.searchsorted(self.tokens, s), len(self.tokens) - 1)
-        return np.where(self.tokens[at] == s, self.classes[at], np.uint64(0))
+        return np.where(self.tokens[at] == s, self.classes[at], 0).astype(np.uint64)
 
     @staticmethod
     def key(s: np.ndarray, classes: np.ndarray, i: int) -> np.ndarray:
@@ -137,7 +137,7 @@ def _prefixes(docs: DataFrame, order, words: int, similar: int) -> DataFrame:
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o, copies = _Order(order.value[0], order.value[1].astype(np.uint64)), set()
+        o, copies = _Order(*order.value), set()
         for _, data, offsets in chunks(batches, "text"):
             tokens, facts, sids, sizes = [], [], [], []
             for s in _sets(data, offsets, words):
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, profiled: DataFrame, order, wor
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        o = _Order(order.value[0], order.value[1].astype(np.uint64))
+        o = _Order(*order.value)
         for _, data, offsets in chunks(batches, "text"):
             sids, sizes, prefixes, parities = [], [], ([], []), []
             for s in _sets(data, offsets, words):
