@@ -215,3 +215,15 @@ def test_empty_tables(spark):
     assert decontamination.overlaps(docs, benchmark).count() == 0
     assert pii.find(docs, pii.train(docs)).count() == 0
     assert bitslices.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_encoder_of_odd_texts():
+    """Pieces give the ids of whole texts, whatever white space is in them, with a fresh cache and a small one."""
+    encoder = tokens.Encoder(queries.tokenizer_path())
+    given = ["", " ", "  a", "a ", "a  b", "x\n y", "\n", "é  b", "don't stop 's", "a\tb c\x1c d", " lead", "ends\n", "ß ünï 日本 語", "a  b", "a " * 5, "q\r\n\r\n z", "a b a b"]
+    for _ in range(2):
+        n, ids = encoder(given)
+        wanted = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 0] for t in given]
+        assert n.tolist() == [len(w) for w in wanted] and ids.tolist() == sum(wanted, [])
+        encoder.rest(5)
+    assert [len(x) for x in encoder([])] == [0, 0]
