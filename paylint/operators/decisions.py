@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paylint.functions import normalize as N
+
 CELL = ["_file", "_sheet", "_row", "column"]
 
 
@@ -34,6 +36,21 @@ def changes(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     return rows.withColumn("before", F.coalesce(F.lag("after").over(by), F.col("value"))).select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by")
 
 
+def valid_edits(edits: DataFrame, issues: DataFrame) -> DataFrame:
+    """(issue_id, cell, rule_id, stored, error) for each edit (issue_id, value) of an issue.
+
+    A value that its rule can read is stored in that rule's own layout; rules
+    without a layout store what was typed.  error is ``empty`` or ``unreadable``, else null.
+    """
+    typed = N.strip(F.col("typed"))
+    rule = F.col("rule_id")
+    read = F.when(rule.startswith("AMOUNT"), N.amount(typed).cast("string")).when(rule.startswith("DATE"), N.date(typed)["value"].cast("string")).when(rule.startswith("BIZNO"), F.when(N.check_digit_ok(typed), N.business_number(typed))).otherwise(typed)
+    rows = issues.join(edits.select("issue_id", F.col("value").alias("typed")), "issue_id")
+    empty = F.coalesce(typed, F.lit("")) == ""
+    out = rows.withColumn("stored", F.when(~empty, read)).withColumn("error", F.when(empty, "empty").when(F.col("stored").isNull(), "unreadable"))
+    return out.select("issue_id", *CELL, "rule_id", "stored", "error")
+
+
 def cleaned(df: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
     """df with the last change of each cell put in."""
     last = changed.groupBy(*CELL).agg(F.max_by("after", "issue_id").alias("after"))

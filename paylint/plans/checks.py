@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paylint.operators import cells, strict
-from paylint.plans.registry import _DUCK_VIEW, _PAY, payments
+from paylint.operators import cells, decisions, strict
+from paylint.plans.registry import _DUCK_VIEW, _ISSUES, _PAY, _issues, payments
 from paylint.plans.review import _RIGHT
 
 
@@ -36,8 +36,14 @@ def g7_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict.group_rows(rows, ["사업명"]).withColumnRenamed("사업명", "program")
 
 
+def d7_valid_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An operator types the present value of each cell with an amount or blank issue once more."""
+    issues = _issues(spark, sf_dir).where("rule_id in ('AMOUNT_NORMALIZE', 'BLANK')")
+    return decisions.valid_edits(issues.select("issue_id", "value"), issues).select("_file", "_row", "rule_id", "stored", "error")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (c2_blank_listed, c13_strict_numbers, c17_date_format, s5_serial_dates, g7_group_rows)}
+    return {f.__name__: f for f in (c2_blank_listed, c13_strict_numbers, c17_date_format, s5_serial_dates, g7_group_rows, d7_valid_edits)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -51,6 +57,8 @@ SELECT _file, _row, CASE WHEN ok THEN 'auto' ELSE 'approval' END AS tier, "사
 SELECT _file, _row, CASE WHEN two THEN 'approval' ELSE 'auto' END AS tier, "지원일자" AS value, CASE WHEN NOT two THEN true_day END AS suggestion FROM d WHERE o6 <> 0""",
         "s5_serial_dates": f"""WITH pay AS ({_DUCK_VIEW}), s AS (SELECT _file, _row, date_diff('day', DATE '1899-12-30', CAST(true_day AS DATE)) + CASE WHEN _file = 'ASIA' THEN 0 ELSE 9000 END AS n, (_file = 'EUROPE' AND _row % 3 <> 0) OR _row % 97 = 0 AS gone FROM pay)
 SELECT _file, _row, CASE WHEN gone THEN '-' WHEN _file IN ('ASIA', 'EUROPE') THEN CAST(n AS VARCHAR) ELSE strftime(DATE '1899-12-30' + CAST(n AS INTEGER), '%Y-%m-%d') END AS day FROM s""",
+        "d7_valid_edits": _ISSUES
+        + """SELECT _file, _row, rule_id, suggestion AS stored, CASE WHEN value = '' THEN 'empty' WHEN suggestion IS NULL THEN 'unreadable' END AS error FROM found WHERE rule_id IN ('AMOUNT_NORMALIZE', 'BLANK')""",
         "g7_group_rows": f"""WITH pay AS ({_DUCK_VIEW}), r AS (SELECT "사업명" AS program, _file, _sheet, _row, row_number() OVER (PARTITION BY "사업명", _file, _sheet ORDER BY _row) AS k FROM pay),
 s AS (SELECT program, _file, count(*) AS n, _file || ' · ' || _sheet || ' ' || string_agg(CAST(_row AS VARCHAR), ', ' ORDER BY _row) FILTER (k <= 8) || '행' || CASE WHEN count(*) > 8 THEN ' 외 ' || (count(*) - 8) || '행' ELSE '' END AS p FROM r GROUP BY program, _file, _sheet)
 SELECT program, string_agg(_file, ', ' ORDER BY _file) AS files, string_agg(p, ' / ' ORDER BY _file) AS places, CAST(sum(n) AS BIGINT) AS n_rows FROM s GROUP BY program""",
