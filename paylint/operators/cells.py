@@ -13,12 +13,16 @@ KEYS = ["_file", "_sheet", "_row"]
 def issue(column: str, rule: str, tier: str, when: Column, value: Column | None = None, suggestion: Column | None = None, kind: str = "rule") -> Column:
     """A struct of an issue where the condition holds, else null."""
     none = F.lit(None).cast("string")
-    return F.when(when, F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule_id"), F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), (F.col(f"`{column}`") if value is None else value).cast("string").alias("value"), (none if suggestion is None else suggestion.cast("string")).alias("suggestion")))
+    return F.when(when, F.struct(F.lit(column).alias("column"), F.lit(rule).alias("rule_id"), F.lit(tier).alias("tier"), F.lit(kind).alias("kind"), (F.col(f"`{column}`") if value is None else value).cast("string").alias("value"), (none if suggestion is None else suggestion.cast("string")).alias("suggestion"), F.col(f"`{column}`").cast("string").alias("cell")))
 
 
 def collected(df: DataFrame, found: list[Column]) -> DataFrame:
-    """One row for each issue, with an id made from its content."""
-    rows = df.select(*KEYS, F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    """One row for each issue, with an id made from its content; cell is what the cell holds, seq the place of the check."""
+    numbered = F.filter(F.transform(F.array(*found), lambda x, i: F.when(x.isNotNull(), F.struct(x.alias("x"), i.alias("seq")))), lambda s: s.isNotNull())
+    return _named(df.select(*KEYS, F.inline(numbered)).select(*KEYS, "x.*", "seq"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
     key = F.concat_ws("|", "rule_id", "_file", "_sheet", F.col("_row").cast("string"), "column", F.coalesce("value", F.lit("")))
     return rows.withColumn("issue_id", F.substring(F.sha2(key, 256), 1, 16))
 
@@ -120,3 +124,8 @@ def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     return later.select("d._file", "d._sheet", "d._row", F.when(F.col("s.first._file") == F.col("d._file"), "(완전중복)").otherwise("(파일간중복)").alias("value"), F.lit("DUPLICATE_ROW").alias("rule_id"), F.lit("approval").alias("tier"), F.col("s.first._file").alias("first_file"), F.col("s.first._row").alias("first_row"))
 
 
+def duplicate_issues(df: DataFrame, columns: list[str]) -> DataFrame:
+    """duplicate_rows as issues of the first of the columns, to put beside those of the cells."""
+    c, none = columns[0], F.lit(None).cast("string")
+    rows = duplicate_rows(df, columns).select(*KEYS, F.lit(c).alias("column"), "rule_id", "tier", F.lit("rule").alias("kind"), "value", none.alias("suggestion"))
+    return _named(rows.join(df.select(*KEYS, F.col(f"`{c}`").cast("string").alias("cell")), KEYS).withColumn("seq", F.lit(None).cast("int")))

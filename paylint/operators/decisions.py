@@ -24,16 +24,31 @@ def system_decisions(issues: DataFrame, decided: DataFrame | None = None) -> Dat
     return open_.where("tier != 'approval'").select("issue_id", F.when(F.col("tier") == "auto", "apply").otherwise("request").alias("action"), F.lit(None).cast("string").alias("value"), F.lit("system").alias("decided_by"))
 
 
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """The last decision of each issue: that with the greatest seq, a column that may be missing; of equals an operator's."""
+    seq = F.col("seq") if "seq" in decisions.columns else F.lit(0)
+    taken = F.struct("action", "value", "decided_by")
+    last = decisions.groupBy("issue_id").agg(F.max_by(taken, F.struct(seq, F.col("decided_by") == "operator", "action", "value")).alias("_d"))
+    return last.select("issue_id", "_d.*")
+
+
 def changes(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """What applying the decisions changes, a row for each cell and issue: apply takes the suggestion, edit the given value.
 
-    `decisions` has one row for each issue. Issues of one cell are applied in the
-    order of their ids, so before is what the one before left.
+    The last decision of an issue counts. Issues of one cell are applied in the order
+    of their checks (seq of the issues), so before is what the one before left; step
+    counts them. An applied duplicate row is a change with after null, the last of
+    its cell: the row is dropped.
     """
-    after = F.when(F.col("action") == "edit", F.col("d_value")).otherwise(F.col("suggestion"))
-    rows = issues.join(decisions.withColumnRenamed("value", "d_value"), "issue_id").where("action in ('apply', 'edit') and rule_id != 'DUPLICATE_ROW'").withColumn("after", after).where("after is not null")
-    by = Window.partitionBy(*CELL).orderBy("issue_id")
-    return rows.withColumn("before", F.coalesce(F.lag("after").over(by), F.col("value"))).select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by")
+    drops = (F.col("rule_id") == "DUPLICATE_ROW") & (F.col("action") == "apply")
+    after = F.when(F.col("action") == "edit", F.col("d_value")).when(~drops, F.col("suggestion"))
+    decided = last_decisions(decisions).withColumnRenamed("value", "d_value")
+    rows = issues.join(decided, "issue_id").where("action in ('apply', 'edit')").withColumn("after", after).where(F.col("after").isNotNull() | drops)
+    seq = [F.col("seq").asc_nulls_last()] if "seq" in issues.columns else []
+    by = Window.partitionBy(*CELL).orderBy(drops, *seq, "issue_id")
+    cell = F.col("cell") if "cell" in issues.columns else F.col("value")
+    found = rows.withColumns({"before": F.coalesce(F.lag("after").over(by), cell), "step": F.row_number().over(by)})
+    return found.select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by", "step")
 
 
 def valid_edits(edits: DataFrame, issues: DataFrame) -> DataFrame:
@@ -52,10 +67,10 @@ def valid_edits(edits: DataFrame, issues: DataFrame) -> DataFrame:
 
 
 def cleaned(df: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
-    """df with the last change of each cell put in."""
-    last = changed.groupBy(*CELL).agg(F.max_by("after", "issue_id").alias("after"))
-    by_row = last.groupBy("_file", "_sheet", "_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "after"))).alias("_new"))
-    joined = df.join(by_row, ["_file", "_sheet", "_row"], "left")
+    """df with the last change of each cell put in, without the rows that a change with after null drops."""
+    last = changed.groupBy(*CELL).agg(F.max_by("after", "step").alias("after"), F.bool_or(F.col("after").isNull()).alias("_gone"))
+    by_row = last.groupBy("_file", "_sheet", "_row").agg(F.map_from_entries(F.collect_list(F.struct("column", "after"))).alias("_new"), F.bool_or("_gone").alias("_gone"))
+    joined = df.join(by_row, ["_file", "_sheet", "_row"], "left").where("not coalesce(_gone, false)")
     return joined.select(*(F.coalesce(F.col("_new")[c], F.col(f"`{c}`")).alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
 
 

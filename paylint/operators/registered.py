@@ -46,7 +46,7 @@ def registry_status(df: DataFrame, c: str, day: str, registry: DataFrame, rows:
     found = collected(joined.join(F.broadcast(out), ["_file", "_sheet"], "left_anti"), [issue(c, r, t, w) for r, t, w in tests])
     none = F.lit(None)
     down = out.select("_file", "_sheet", none.cast(df.schema["_row"].dataType).alias("_row"), F.lit(c).alias("column"), F.lit("BIZNO_REGISTRY_OUT").alias("rule_id"), F.lit("approval").alias("tier"), F.lit("rule").alias("kind"), none.cast("string").alias("value"), none.cast("string").alias("suggestion"), F.substring(F.sha2(F.concat_ws("|", F.lit("BIZNO_REGISTRY_OUT"), "_file", "_sheet"), 256), 1, 16).alias("issue_id"))
-    return found.unionByName(down)
+    return found.unionByName(down, allowMissingColumns=True)
 
 
 def suspect_unit(df: DataFrame, c: str, times: float = 1000.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
+from paylint.operators.decisions import last_decisions
 
 CELL = ["_file", "_sheet", "_row", "column"]
 #: Statuses of a cell, the one that wins first.
@@ -15,7 +16,7 @@ PRIORITY = ["approval", "undecided", "request", "rejected", "operator", "auto",
 def details(issues: DataFrame, decisions: DataFrame, changes: DataFrame, finalized: bool, group_cells: DataFrame | None = None) -> DataFrame:
     """(cell, status, rule_id, before, after): one row for each change, each issue without a change, each cell of a group that is not in order."""
     made = changes.select(*CELL, F.when(F.col("decided_by") == "system", "auto").otherwise("operator").alias("status"), "rule_id", "before", "after").where("after is not null")
-    rest = issues.join(changes.select("issue_id").distinct(), "issue_id", "left_anti").join(decisions.select("issue_id", "action"), "issue_id", "left")
+    rest = issues.join(changes.select("issue_id").distinct(), "issue_id", "left_anti").join(last_decisions(decisions).select("issue_id", "action"), "issue_id", "left")
     asked = (F.col("action") == "request") | (F.col("action").isNull() & (F.col("tier") == "request"))
     open_ = F.lit("undecided") if finalized else F.when(F.col("tier") == "auto", "auto_pending").when(F.col("tier") == "approval", "approval").otherwise("undecided")
     status = F.when(F.col("action") == "reject", "rejected").when(asked, "request").otherwise(open_)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paylint.functions import masking
 from paylint.functions import normalize as N
-from paylint.operators import decisions, groups, profiles, registered, reports
+from paylint.operators import cells, decisions, groups, profiles, registered, reports
 from paylint.plans.registry import _DUCK_VIEW, _ISSUES, _PAY, COLUMNS, _issues, payments
 
 #: Registry status of a number by its ninth digit modulo 5; of the fifth kind there is no record.
@@ -83,6 +83,29 @@ def v4_ok_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.ok_rows(df, _marked(spark, sf_dir), grouped.limit(0), grouped).select("_file", "_row")
 
 
+def _with_duplicates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Issues with those of r1's duplicate rows, and a log of decisions: an operator applies all of these, then rejects each third row's."""
+    df = payments(spark, sf_dir).withColumn("지원일자", F.substring("지원일자", 1, 7))
+    found = cells.duplicate_issues(df, ["기관명", "사업명", "지원일자"])
+    issues = _issues(spark, sf_dir)
+    say = lambda rows, action, seq: rows.select("issue_id", F.lit(action).alias("action"), F.lit(None).cast("string").alias("value"), F.lit("operator").alias("decided_by"), F.lit(seq).alias("seq"))
+    log = decisions.system_decisions(issues).withColumn("seq", F.lit(0)).unionByName(say(found, "apply", 1)).unionByName(say(found.where("_row % 3 = 0"), "reject", 2))
+    return issues.unionByName(found), log
+
+
+def d6_dropped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = decisions.changes(*_with_duplicates(spark, sf_dir))
+    return decisions.cleaned(payments(spark, sf_dir), changed, COLUMNS).select("_file", "_row", F.col("사업자번호").alias("company"), F.col("지원금액").alias("amount"))
+
+
+def v4_ok_without_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = payments(spark, sf_dir)
+    issues, log = _with_duplicates(spark, sf_dir)
+    changed = decisions.changes(issues, log)
+    marks = reports.cell_marks(reports.details(issues, log, changed, finalized=False))
+    return reports.ok_rows(df, marks, reports.deleted_rows(changed), groups.payment_limit(df, 300_000)).select("_file", "_row")
+
+
 def v6_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.file_status_counts(_marked(spark, sf_dir)).select("_file", "approval", "request", "auto")
 
@@ -97,7 +120,7 @@ def x7_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    all_ = (p7_telling_columns, p8_agency_of_file, p9_program_names, c4_suspect_unit, c9_registry_status, c16_numeric_unit, g2_open_payments, g5_scopes, g6_master_rules, k4_masked_company, v1_cell_marks, v4_ok_rows, v6_file_status, d9_to_ask, x7_file_summary)
+    all_ = (p7_telling_columns, p8_agency_of_file, p9_program_names, c4_suspect_unit, c9_registry_status, c16_numeric_unit, g2_open_payments, g5_scopes, g6_master_rules, k4_masked_company, v1_cell_marks, v4_ok_rows, d6_dropped_rows, v4_ok_without_dropped, v6_file_status, d9_to_ask, x7_file_summary)
     return {f.__name__: f for f in all_}
 
 
@@ -108,6 +131,9 @@ _MARKS = (
     + """, marks AS (SELECT _file, _row, "column", count(*) AS n, min(CASE tier WHEN 'approval' THEN 1 WHEN 'request' THEN 3 ELSE 6 END) AS p FROM found GROUP BY ALL)
 """
 )
+#: r1's duplicate rows.
+_LATER = """, r AS (SELECT _row, row_number() OVER (PARTITION BY "기관명", "사업명", substr("지원일자", 1, 7) ORDER BY _file, _row) AS n FROM keys), later AS (SELECT _row FROM r WHERE n > 1)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -143,6 +169,8 @@ UNION ALL SELECT 'RS-' || c || 'C', company, NULL, year, count(*), CAST(sum(x) A
         "k4_masked_company": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '(주)' || substr(c_mktsegment, 1, 1) || repeat('○', length(c_mktsegment) - 1) ELSE substr(c_mktsegment, 1, 1) || repeat('○', length(c_mktsegment) - 1) || ' 주식회사' END AS company FROM customer",
         "v1_cell_marks": _MARKS + """SELECT _file, _row, "column", CASE p WHEN 1 THEN 'approval' WHEN 3 THEN 'request' ELSE 'auto' END AS status, n FROM marks""",
         "v4_ok_rows": _MARKS + "SELECT _file, _row FROM keys WHERE _row NOT IN (SELECT _row FROM marks) AND NOT coalesce(true_amount > 300000, FALSE)",
+        "d6_dropped_rows": _PAY + _LATER + """SELECT _file, _row, company, CASE WHEN "지원금액" = '0만' THEN '0' ELSE coalesce(CAST(true_amount AS VARCHAR), "지원금액") END AS amount FROM keys WHERE _row % 3 = 0 OR _row NOT IN (SELECT _row FROM later)""",
+        "v4_ok_without_dropped": _MARKS + _LATER + "SELECT _file, _row FROM keys WHERE _row NOT IN (SELECT _row FROM marks) AND _row NOT IN (SELECT _row FROM later) AND NOT coalesce(true_amount > 300000, FALSE)",
         "v6_file_status": _MARKS + "SELECT _file, count(*) FILTER (p = 1) AS approval, count(*) FILTER (p = 3) AS request, count(*) FILTER (p = 6) AS auto FROM marks GROUP BY _file",
         "d9_to_ask": _ISSUES + """SELECT _file, _row, "column", rule_id FROM found f WHERE (rule_id LIKE 'DATE%' OR rule_id LIKE 'BIZNO%') AND EXISTS (SELECT 1 FROM found g WHERE g._row = f._row AND g."column" = f."column" AND g.tier = 'request')""",
         "x7_file_summary": _PAY + """SELECT _file, count(*) AS n_rows, coalesce(CAST(sum(CASE WHEN regexp_full_match("지원금액", '[0-9]+') THEN CAST("지원금액" AS BIGINT) END) AS BIGINT), 0) AS total FROM pay GROUP BY _file""",
