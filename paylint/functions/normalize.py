@@ -56,9 +56,34 @@ def _small(seg: Column) -> Column:
     return F.when(seg.rlike(form), part(1, "천", 1000) + part(2, "백", 100) + part(3, "십", 10) + F.when(rest == "", F.lit(0)).otherwise(_number(rest)))
 
 
-def amount(c: Column) -> Column:
-    """A whole amount of money as DECIMAL(20,0), null if the text is none: 1,000,000  ₩5,000  5천만원  1억 2천만  1.5억  -500."""
-    return let(F.regexp_replace(F.translate(strip(half_width(c)), "，．￦", ",.₩"), r"[₩\\,\s]|KRW", ""), _amount)
+#: What a unit in a column's header multiplies plain numbers by.
+UNITS = {"억": 10**8, "만": 10**4, "천": 10**3}
+_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+
+
+def _money(c: Column) -> Column:
+    return F.regexp_replace(F.translate(strip(half_width(c)), "，．￦", ",.₩"), r"[₩\\,\s]|KRW", "")
+
+
+def _scale(unit: str | None) -> int | None:
+    return UNITS.get((unit or "").rstrip("원").strip())
+
+
+def amount(c: Column, unit: str | None = None) -> Column:
+    """A whole amount of money as DECIMAL(20,0), null if the text is none: 1,000,000  ₩5,000  5천만원  1억 2천만  1.5억  -500.
+
+    unit: that of the column's header (억, 만 or 천, with or without 원); it scales plain numbers.
+    """
+    scale = _scale(unit)
+    if scale is None:
+        return let(_money(c), _amount)
+    whole = lambda x: F.when(x == F.floor(x), x).try_cast("decimal(20,0)")
+    return let(_money(c), lambda t: F.when(t.rlike(_PLAIN), let(t.try_cast("decimal(28,8)") * scale, whole)).otherwise(_amount(t)))
+
+
+def amount_certain(c: Column, unit: str | None = None) -> Column:
+    """False for plain numbers that the header's unit scales."""
+    return F.lit(True) if _scale(unit) is None else ~_money(c).rlike(_PLAIN)
 
 
 def _amount(t: Column) -> Column:
@@ -79,15 +104,26 @@ def _amount(t: Column) -> Column:
     return let(F.when(t.rlike(form) & t.rlike("[0-9억만천백십]"), total), signed)
 
 
-def date(c: Column) -> Column:
-    """STRUCT<value DATE, certain BOOLEAN>: the first layout that fits; null value if none does."""
-    return let(strip(c), _date)
+def date(c: Column, period: tuple[str, str] | None = None) -> Column:
+    """STRUCT<value DATE, certain BOOLEAN>: the first layout that fits; null value if none does.
+
+    Two digits are a year from 2000 on; such a day is certain within the period, and
+    outside it if month and day don't make another day the other way round.
+    """
+    return let(strip(c), lambda t: _date(t, period))
+
+
+_SHORT = r"^([0-9]{2})[-./]([0-9]{1,2})[-./]([0-9]{1,2})$"
+
+
+def short_year(c: Column) -> Column:
+    return strip(c).rlike(_SHORT)
 
 
-def _date(t: Column) -> Column:
-    def made(form: str, y: int, m: int, d: int) -> Column:
+def _date(t: Column, period: tuple[str, str] | None) -> Column:
+    def made(form: str, y: int, m: int, d: int, century: str = "") -> Column:
         g = lambda i: F.regexp_extract(t, form, i)
-        return F.when(t.rlike(form), F.try_to_date(F.concat_ws("-", g(y), F.lpad(g(m), 2, "0"), F.lpad(g(d), 2, "0")), "yyyy-MM-dd"))
+        return F.when(t.rlike(form), F.try_to_date(F.concat_ws("-", F.concat(F.lit(century), g(y)), F.lpad(g(m), 2, "0"), F.lpad(g(d), 2, "0")), "yyyy-MM-dd"))
 
     iso = F.coalesce(
         made(r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 1, 2, 3),
@@ -101,7 +137,10 @@ def _date(t: Column) -> Column:
     month_first, day_first = made(slash, 3, 1, 2), made(slash, 3, 2, 1)
     a, b = (F.regexp_extract(t, slash, i).try_cast("int") for i in (1, 2))
     one = a.between(1, 12) != b.between(1, 12)
-    return let(iso, lambda i: let(F.coalesce(i, month_first, day_first), lambda v: F.struct(v.alias("value"), (v.isNotNull() & (i.isNotNull() | F.coalesce(one, F.lit(False)))).alias("certain"))))
+    short, swapped = made(_SHORT, 1, 2, 3, "20"), made(_SHORT, 1, 3, 2, "20")
+    within = short.between(*(F.lit(x).cast("date") for x in period)) if period else F.lit(False)
+    sure = F.coalesce(one, F.lit(False)) | (short.isNotNull() & (within | F.coalesce(swapped == short, F.lit(True))))
+    return let(iso, lambda i: let(F.coalesce(i, short, month_first, day_first), lambda v: F.struct(v.alias("value"), (v.isNotNull() & (i.isNotNull() | sure)).alias("certain"))))
 
 
 def digits(c: Column) -> Column:

@@ -42,15 +42,25 @@ def blank(df: DataFrame, columns: list[str], required: list[str]) -> list[Column
     return out
 
 
-def parsed(df: DataFrame, amounts: list[str] = (), dates: list[str] = ()) -> DataFrame:
-    """df with the normalised values that amount() and date() look at, each worked out once for a row."""
-    return df.withColumns({f"_amount_{c}": N.amount(F.col(f"`{c}`")) for c in amounts} | {f"_date_{c}": N.date(F.col(f"`{c}`")) for c in dates})
+def parsed(df: DataFrame, amounts: list[str] = (), dates: list[str] = (), units: dict[str, str] | None = None, periods: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """df with the normalised values that amount() and date() look at, each worked out once for a row.
+
+    units: the unit in the header of a column of amounts.  periods: first and last day of a column of dates.
+    """
+    units, periods = units or {}, periods or {}
+    money = {f"_amount_{c}": N.amount(F.col(f"`{c}`"), units.get(c)) for c in amounts} | {f"_certain_{c}": N.amount_certain(F.col(f"`{c}`"), units.get(c)) for c in amounts}
+    return df.withColumns(money | {f"_date_{c}": N.date(F.col(f"`{c}`"), periods.get(c)) for c in dates})
 
 
 def amount(c: str) -> list[Column]:
     cell = F.col(f"`{c}`")
     value, there = F.col(f"_amount_{c}"), ~N.is_blank(cell)
-    return [issue(c, "AMOUNT_NORMALIZE", "approval", there & value.isNull()), issue(c, "AMOUNT_NORMALIZE", "auto", there & (value.cast("string") != cell), suggestion=value)]
+    changed, certain = there & (value.cast("string") != cell), F.col(f"_certain_{c}")
+    return [
+        issue(c, "AMOUNT_NORMALIZE", "approval", there & value.isNull()),
+        issue(c, "AMOUNT_NORMALIZE", "auto", changed & certain, suggestion=value),
+        issue(c, "AMOUNT_NORMALIZE", "approval", changed & ~certain, suggestion=value),
+    ]
 
 
 def date(c: str, lo: str | None = None, hi: str | None = None) -> list[Column]:

@@ -23,6 +23,15 @@ def c17_date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.collected(df, strict.date_format("지원일자")).select("_file", "_row", "tier", "value", "suggestion")
 
 
+def c_short_years_and_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with two-digit years, and the amounts as if their header said 만원."""
+    mark = F.element_at(F.array(F.lit("-"), F.lit("."), F.lit("/")), (F.col("_row") % 3 + 1).cast("int"))
+    df = payments(spark, sf_dir).withColumn("지원일자", F.concat_ws("", F.substring("true_day", 3, 2), mark, F.substring("true_day", 6, 2), mark, F.substring("true_day", 9, 2)))
+    period = ("2093-01-01", "2094-12-31")
+    read = cells.parsed(df, ["지원금액"], ["지원일자"], {"지원금액": "만원"}, {"지원일자": period})
+    return cells.collected(read, [*cells.amount("지원금액"), *cells.date("지원일자", *period)]).select("_file", "_row", "column", "rule_id", "tier", "value", "suggestion")
+
+
 def s5_serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order days as day numbers; they are moved into the range of such numbers but for one region, and one sheet has too few."""
     day = F.date_diff(F.col("true_day").cast("date"), F.lit("1899-12-30").cast("date")) + F.when(F.col("_file") == "ASIA", 0).otherwise(9000)
@@ -43,7 +52,7 @@ def d7_valid_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (c2_blank_listed, c13_strict_numbers, c17_date_format, s5_serial_dates, g7_group_rows, d7_valid_edits)}
+    return {f.__name__: f for f in (c2_blank_listed, c13_strict_numbers, c17_date_format, c_short_years_and_units, s5_serial_dates, g7_group_rows, d7_valid_edits)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -55,6 +64,12 @@ SELECT _file, _row, CASE WHEN ok THEN 'auto' ELSE 'approval' END AS tier, "사
         "c17_date_format": _PAY
         + """, d AS (SELECT *, o6 = 5 AND CAST(substr(true_day, 9, 2) AS INT) <= 12 AS two FROM keys)
 SELECT _file, _row, CASE WHEN two THEN 'approval' ELSE 'auto' END AS tier, "지원일자" AS value, CASE WHEN NOT two THEN true_day END AS suggestion FROM d WHERE o6 <> 0""",
+        "c_short_years_and_units": _PAY
+        + """, m AS (SELECT *, CASE _row % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE '/' END AS sep, '20' || substr(true_day, 3) AS day, (_row - 2) % 5 AS o5 FROM keys),
+s AS (SELECT *, substr(day, 3, 2) || sep || substr(day, 6, 2) || sep || substr(day, 9, 2) AS d, day BETWEEN '2093-01-01' AND '2094-12-31' AS inside FROM m)
+SELECT _file, _row, '지원일자' AS "column", 'DATE_NORMALIZE' AS rule_id, CASE WHEN inside OR substr(day, 9, 2) > '12' OR substr(day, 6, 2) = substr(day, 9, 2) THEN 'auto' ELSE 'approval' END AS tier, d AS value, day AS suggestion FROM s
+UNION ALL SELECT _file, _row, '지원일자', 'DATE_OUT_OF_RANGE', 'request', day, NULL FROM s WHERE NOT inside
+UNION ALL SELECT _file, _row, '지원금액', 'AMOUNT_NORMALIZE', CASE WHEN o5 IN (2, 3) THEN 'auto' ELSE 'approval' END, "지원금액", CASE WHEN "지원금액" = '0만' THEN '0' WHEN o5 IN (2, 3) THEN CAST(true_amount AS VARCHAR) ELSE CAST(true_amount * 10000 AS VARCHAR) END FROM s WHERE "지원금액" <> ''""",
         "s5_serial_dates": f"""WITH pay AS ({_DUCK_VIEW}), s AS (SELECT _file, _row, date_diff('day', DATE '1899-12-30', CAST(true_day AS DATE)) + CASE WHEN _file = 'ASIA' THEN 0 ELSE 9000 END AS n, (_file = 'EUROPE' AND _row % 3 <> 0) OR _row % 97 = 0 AS gone FROM pay)
 SELECT _file, _row, CASE WHEN gone THEN '-' WHEN _file IN ('ASIA', 'EUROPE') THEN CAST(n AS VARCHAR) ELSE strftime(DATE '1899-12-30' + CAST(n AS INTEGER), '%Y-%m-%d') END AS day FROM s""",
         "d7_valid_edits": _ISSUES
