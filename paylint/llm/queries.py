@@ -33,6 +33,18 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op1_listed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op1_url_filter, with the list taken from hosts that have a label of that form anywhere."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return url_filter.judge(pages, rules, listed_pages(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def listed_pages(pages: DataFrame) -> DataFrame:
+    host = url_filter.host_of(F.col("url"))
+    return pages.where(host.like(LISTED_HOSTS) | host.like(f"%.{LISTED_HOSTS}")).select("url")
+
+
 def tool_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of a conversation's turns: an assistant's turn calls a tool, the user's next turn is the result.
 
@@ -101,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, pipeline)
+    ops = (op1_url_filter, op1_listed_labels, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -119,6 +131,14 @@ listed AS (SELECT DISTINCT host || rtrim(path, '/') AS c FROM parts WHERE host L
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.rverdict, CASE WHEN host <> '' AND host || rtrim(path, '/') IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fit ON parts.url = fit.url"""
 
+OP1_LABELS = f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {', '.join(repr(r) for r in RULES)}), {_URL_PARTS},
+fit AS (SELECT p.url, max_by(rhost || rpath, length(rhost || rpath) * 10000 + length(rhost)) AS rule, max_by(rverdict, length(rhost || rpath) * 10000 + length(rhost)) AS rverdict
+  FROM (SELECT DISTINCT url, host, path FROM parts) p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY p.url),
+listed AS (SELECT DISTINCT host || rtrim(path, '/') AS c FROM parts WHERE len(list_filter(string_split(host, '.'), lambda x: starts_with(x, 'spam-'))) > 0)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.rverdict, CASE WHEN host <> '' AND host || rtrim(path, '/') IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN fit ON parts.url = fit.url"""
+
 OP4 = r"""
 WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -158,4 +178,4 @@ FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7}
+    return {"op1_url_filter": OP1, "op1_listed_labels": OP1_LABELS, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7}
