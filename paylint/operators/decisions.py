@@ -24,6 +24,12 @@ def system_decisions(issues: DataFrame, decided: DataFrame | None = None) -> Dat
     return open_.where("tier != 'approval'").select("issue_id", F.when(F.col("tier") == "auto", "apply").otherwise("request").alias("action"), F.lit(None).cast("string").alias("value"), F.lit("system").alias("decided_by"))
 
 
+def approved_decisions(issues: DataFrame) -> DataFrame:
+    """Decisions of a batch run: auto is applied by the system, approval by the operator, the rest is asked for."""
+    tier = F.col("tier")
+    return issues.select("issue_id", F.when(tier.isin("auto", "approval"), "apply").otherwise("request").alias("action"), F.lit(None).cast("string").alias("value"), F.when(tier == "approval", "operator").otherwise("system").alias("decided_by"))
+
+
 def last_decisions(decisions: DataFrame) -> DataFrame:
     """The last decision of each issue: that with the greatest seq, a column that may be missing; of equals an operator's."""
     seq = F.col("seq") if "seq" in decisions.columns else F.lit(0)

@@ -36,6 +36,14 @@ def sum_limit(df: DataFrame, group_by: list[str], most: int, scope: str = "total
     return sums.where(F.col("total") > most).withColumn("excess", F.col("total") - most)
 
 
+def members(df: DataFrame, found: DataFrame, group_by: list[str], period: str = "year", programs: list[str] | None = None) -> DataFrame:
+    """The payments in the groups that max_count or sum_limit found; group_by has all their keys but the year. Null keys fit null ones."""
+    keys = _keys(group_by, period)
+    groups = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return prepared(df, programs).join(groups, on, "left_semi")
+
+
 def payment_limit(df: DataFrame, most: int, programs: list[str] | None = None) -> DataFrame:
     return prepared(df, programs).where(F.col("amount") > most)
 
