@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -13,13 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import chunks, lists
+from .arrays import chunks, give_back, lists
 from .storage import new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 400_000
+CACHE = 250_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
+#: Texts are encoded in pieces of about so many bytes at a time.
+CHUNK = 1 << 20
 #: New pieces encoded in one string.
 JOINED = 64
 #: Before a space that follows something other than white space the pre-tokenizer always begins a new piece.
@@ -56,6 +59,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
+        # a task has one core; threads of its own would only add memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -165,12 +170,13 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, enc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for rows, _, _ in chunks(batches, "text", 4 << 20):
+        for rows, _, _ in chunks(batches, "text", CHUNK):
             n, values = encoder(rows.column(1).to_pylist())
             ends, ids = np.cumsum(n), lists(values, n)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "before", "ids"])
             before += int(ends[-1]) if len(ends) else 0
         encoder.rest()
+        give_back()
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, part int, before long, ids array<int>"
     ordered.select("doc_id", "text").mapInArrow(encode, schema).write.options(**LAYOUT, **ENCODINGS[encoding]).parquet(out)
