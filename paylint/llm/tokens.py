@@ -18,13 +18,13 @@ from .arrays import chunks, give_back, lists
 from .storage import new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 250_000
+CACHE = 350_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
 #: Texts are encoded in pieces of about so many bytes at a time.
 CHUNK = 1 << 20
 #: New pieces encoded in one string.
-JOINED = 64
+JOINED = 128
 #: Before a space that follows something other than white space the pre-tokenizer always begins a new piece.
 _CUT = re.compile(r"(?<=\S)(?= )")
 
@@ -80,28 +80,42 @@ class Encoder:
         new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
         if not new:
             return
-        odd = np.array([not p or (p[-1].isspace() and " " not in p) for p in new])
-        spaced = [i for i, p in enumerate(new) if not odd[i] and " " not in p]
+        odd = np.fromiter((not p or (p[-1].isspace() and " " not in p) for p in new), bool, len(new))
         plain = [i for i, p in enumerate(new) if " " in p]
-        groups = [spaced[i : i + JOINED] for i in range(0, len(spaced), JOINED)]
-        order, ids, sizes = [], [], []
-        for group, coded in zip(groups, self._encode([" " + " ".join([new[i] for i in g]) for g in groups]), strict=True):
-            at = np.flatnonzero(self.opens[coded])
-            order += group
-            if len(at) == len(group) and at[0] == 0:
-                ids.append(coded)
-                sizes.append(np.diff(at, append=len(coded)))
-            else:
-                alone = self._encode([" " + new[i] for i in group])
-                ids += alone
-                sizes.append(np.array([len(x) for x in alone]))
+        joined = ~odd
+        joined[plain] = False
+        spaced = np.flatnonzero(joined)
+        texts = list(new) if len(spaced) == len(new) else [new[i] for i in spaced.tolist()]
+        coded = self._encode([" " + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])
+        ids = np.concatenate([*coded, np.zeros(0, np.int32)])
+        opens = np.flatnonzero(self.opens[ids])
+        # a group is told apart by the ids that begin with a space, if there are as many as pieces, the first in front
+        ends = np.cumsum([len(c) for c in coded], dtype=np.int64)
+        n = np.diff(np.searchsorted(opens, ends), prepend=0)
+        want = np.minimum(JOINED, len(texts) - JOINED * np.arange(len(coded)))
+        clear = n == want
+        clear[clear] = opens[np.cumsum(n)[clear] - n[clear]] == (ends - [len(c) for c in coded])[clear] if len(coded) else []
+        if clear.all():
+            sizes = np.diff(opens, append=len(ids))
+        else:
+            parts, sizes = [], []
+            for g, c in enumerate(coded):
+                at = np.flatnonzero(self.opens[c])
+                if clear[g]:
+                    parts.append(c)
+                    sizes.append(np.diff(at, append=len(c)))
+                else:
+                    each = self._encode([" " + t for t in texts[g * JOINED : (g + 1) * JOINED]])
+                    parts += each
+                    sizes.append(np.array([len(x) for x in each]))
+            ids, sizes = np.concatenate(parts), np.concatenate(sizes)
         alone = self._encode([new[i][1:] for i in plain])
         size, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        sizes = np.concatenate([*sizes, np.array([len(x) for x in alone], np.int64)])
-        order = np.array(order + plain, np.int64)
+        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
+        order = np.concatenate([spaced, np.array(plain, np.int64)])
         size[order] = sizes
         start[order] = len(self.held) + np.cumsum(sizes) - sizes
-        self.held = np.concatenate([self.held, *ids, *alone])
+        self.held = np.concatenate([self.held, ids, *alone])
         self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
 
     def rest(self, keep: int = KEPT) -> None:
