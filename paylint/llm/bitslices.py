@@ -1,12 +1,12 @@
 """Exact top-k inner products over a bit-sliced index.
 
-Components are quantised to integers.  Blocks of rows are stored as bit slices:
-for each component and each bit of its value one bitmap over the block's rows.  A
-query adds the slices of its components with bitmap arithmetic (carry-save adders
-on 64-bit words): the result is the score of every row of the block, sliced by
-bits.  The best k come from the most significant slice downward, with bitmap
-operations and popcounts; rows at the boundary have equal scores and are settled
-by identifier.
+Components are quantised to integers.  The index is a table of blocks of rows: for
+each component and each bit of its value one bitmap over the block's rows, and the
+rows' identifiers in rising order.  A query adds the slices of its components with
+bitmap arithmetic (carry-save adders on 64-bit words): the result is the score of
+every row of the block, sliced by bits.  The best k come from the most significant
+slice downward, with bitmap operations and popcounts; rows at the boundary have
+equal scores, and those with the smallest identifiers are taken.
 """
 
 from __future__ import annotations
@@ -15,15 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import lists
 from .storage import saved
 
 #: Rows of a block; a block of queries has as many query vectors at most as QUERIES.
 ROWS = 4096
 QUERIES = 64
+#: Blocks of rows that a task holds at once while queries stream by, at most.
+HELD = 64
 
 
 def quantised(embedding: Column, scale: float) -> Column:
@@ -86,10 +88,16 @@ def _top(score: list[np.ndarray], valid: np.ndarray, k: int) -> tuple[np.ndarray
     return sure, open_
 
 
-def _search(q: np.ndarray, slices: np.ndarray, bits: int, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) indexes of the best k rows of a block for each query, with all rows that tie at the boundary."""
+def _first(bitmaps: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For each row of bitmaps the first `most` of its bits, as an array of bits."""
+    bits = np.unpackbits(bitmaps.view(np.uint8), axis=1, bitorder="little").astype(bool)
+    return bits & (np.cumsum(bits, axis=1) <= most[:, None])
+
+
+def _search(q: np.ndarray, slices: np.ndarray, valid: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the best k rows of a block for each query; equal scores go to the rows in front."""
     parts: dict[int, list[np.ndarray]] = {}
-    size = np.abs(q)
+    size, bits = np.abs(q), slices.shape[1]
     for d in range(q.shape[1]):
         negative = (q[:, d] < 0)[:, None]
         for j in range(int(size[:, d].max()).bit_length()):
@@ -102,8 +110,128 @@ def _search(q: np.ndarray, slices: np.ndarray, bits: int, valid: np.ndarray, k:
             parts = {w: [s] for w, s in enumerate(_sum(parts)) if s is not None}
     score = _sum(parts)
     sure, boundary = _top(score, valid, k)
-    found = np.unpackbits(np.ascontiguousarray(sure | boundary).view(np.uint8), axis=1, bitorder="little")
-    return np.nonzero(found)
+    n = np.bitwise_count(sure).sum(axis=1).astype(np.int64)
+    at, row = np.nonzero(np.unpackbits(np.ascontiguousarray(sure).view(np.uint8), axis=1, bitorder="little").astype(bool) | _first(np.ascontiguousarray(boundary), k - n))
+    # the score of a row is read off its bits; values were raised by half their range, complements by the other half
+    half = 1 << (bits - 1)
+    total = -np.where(q > 0, q * half, -q * (half - 1)).sum(axis=1)[at]
+    word, bit = row // 64, (row % 64).astype(np.uint64)
+    for weight, s in enumerate(score):
+        if s is not None:
+            total += ((s[at, word] >> bit) & np.uint64(1)).astype(np.int64) << weight
+    return at, row, total
+
+
+def _vectors(good: DataFrame, scale: float) -> DataFrame:
+    return good.withColumn("v", quantised(F.col("embedding"), scale)).where("v is not null and vec_id is not null").withColumn("dims", F.size("v")).drop("embedding")
+
+
+def _packed(rows: DataFrame, size: int, bits: int | None) -> DataFrame:
+    """(dims, block, n, ids, packed): rows (vec_id, v, dims) in blocks of `size` as they come, each in rising order of vec_id.
+
+    packed holds bit slices of the given number of bits, or without it the values themselves.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        block = TaskContext.get().partitionId() << 32
+
+        def out(dims: int) -> pa.RecordBatch:
+            nonlocal block
+            ids, v = (np.concatenate(x) for x in zip(*held.pop(dims), strict=True))
+            order = np.argsort(ids, kind="stable")
+            ids, v = ids[order], v[order]
+            if bits:
+                raised = np.zeros((-(-len(ids) // 64) * 64, dims), np.int64)
+                raised[: len(ids)] = v + (1 << (bits - 1))
+                v = _slices(raised, bits)
+            block += 1
+            return pa.RecordBatch.from_arrays([pa.array([dims], pa.int32()), pa.array([block], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary())], ["dims", "block", "n", "ids", "packed"])
+
+        for batch in batches:
+            every = batch.column(2).to_numpy()
+            for dims in np.unique(every).tolist():
+                of = batch.filter(pa.array(every == dims)) if (every != dims).any() else batch
+                ids, v = of.column(0).to_numpy(), of.column(1).flatten().to_numpy().reshape(-1, dims)
+                while len(ids):
+                    free = size - sum(len(i) for i, _ in held.get(dims, []))
+                    held.setdefault(dims, []).append((ids[:free], v[:free]))
+                    if len(ids) >= free:
+                        yield out(dims)
+                    ids, v = ids[free:], v[free:]
+        for dims in list(held):
+            yield out(dims)
+
+    return rows.select("vec_id", "v", "dims").mapInArrow(pack, "dims int, block long, n long, ids binary, packed binary")
+
+
+def index(vectors: DataFrame, scale: float = 256.0) -> tuple[DataFrame, int]:
+    """The bit-sliced index of vectors (vec_id, embedding), a table (dims, block, n, ids, packed), and the bits of its values.
+
+    Blocks are made where the rows are, without a shuffle; the table may be kept and
+    searched again.
+    """
+    good = saved(_vectors(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), scale), "quantised")
+    most = good.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()[0]
+    bits = int(most or 0).bit_length() + 1
+    return saved(_packed(good, ROWS, bits), "slices"), bits
+
+
+def _dealt(blocks: DataFrame, name: str, shares: int) -> DataFrame:
+    """blocks with a share number, dealt in turn; one row of numbers for each block goes through a single task."""
+    at = blocks.select("dims", "block").withColumn(name, F.pmod(F.row_number().over(Window.orderBy("dims", "block")), F.lit(shares)))
+    return blocks.join(at, ["dims", "block"])
+
+
+def search(indexed: DataFrame, bits: int, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
+    """(query_id, rank, vec_id, score) for each row of queries (vec_id, embedding), from an index.
+
+    Blocks of rows are dealt into shares that fit into a task's memory, queries into
+    as few as keep all cores busy.  Each share of rows meets each share of queries in
+    one task: a sorted stream that brings the rows' slices first, which are held,
+    and then the queries' blocks, one at a time.  A task passes on k rows for a
+    query, and these are ranked with a limit before they are shuffled.
+    """
+    spark = indexed.sparkSession
+    asked = _vectors(queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), scale).dropDuplicates(["vec_id", "v"])
+    asked = saved(_packed(asked, QUERIES, None), "queries")
+    n_blocks, n_asked, cores = indexed.count(), asked.count(), spark.sparkContext.defaultParallelism
+    shares = max(1, -(-n_blocks // max(1, min(HELD, n_blocks // (4 * cores)))))
+    parts = max(1, min(n_asked, -(-4 * cores // shares)))
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    held = _dealt(indexed, "share", shares).select("dims", "share", numbers(parts).alias("part"), F.lit(0).alias("kind"), "n", "ids", "packed")
+    streamed = _dealt(asked, "part", parts).select("dims", numbers(shares).alias("share"), "part", F.lit(1).alias("kind"), "n", "ids", "packed")
+    pairs = held.unionByName(streamed).repartition("share", "part", "dims").sortWithinPartitions("share", "part", "dims", "kind")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                of, kind, n = tuple(batch.column(i)[r].as_py() for i in (1, 2, 0)), batch.column(3)[r].as_py(), batch.column(4)[r].as_py()
+                ids, packed, dims = np.frombuffer(batch.column(5)[r].as_buffer(), np.int64), batch.column(6)[r].as_buffer(), of[2]
+                if of != key:
+                    key, rows = of, []
+                if kind == 0:
+                    # copied, as the buffers of the batch go
+                    rows.append((ids.copy(), np.frombuffer(packed, "<u8").reshape(dims, bits, -1).copy()))
+                    continue
+                q, best = np.frombuffer(packed, np.int64).reshape(n, dims), []
+                for there, slices in rows:
+                    valid = np.zeros((n, slices.shape[2] * 64), bool)
+                    valid[:, : len(there)] = ids[:, None] != there
+                    at, row, score = _search(q, slices, np.ascontiguousarray(np.packbits(valid, axis=1, bitorder="little")).view("<u8"), k)
+                    best.append((at, there[row], score))
+                if best:
+                    at, found, score = (np.concatenate(x) for x in zip(*best, strict=True))
+                    order = np.lexsort((found, -score, at))
+                    at, found, score = at[order], found[order], score[order]
+                    first = np.searchsorted(at, at)
+                    kept = np.arange(len(at)) - first < k
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at[kept]]), pa.array(found[kept]), pa.array(score[kept])], ["query_id", "vec_id", "score"])
+
+    hits = pairs.mapInArrow(searched, "query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -115,54 +243,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0)
     vec_id.  Vectors that are null or empty or hold a null or non-finite component
     take no part, nor do rows without vec_id.  Vectors of different lengths are
     searched apart.  Repeated candidates count as often as they occur; a query that
-    repeats is asked once.
-
-    Row blocks meet query blocks in an equi-join on block numbers, each pair once;
-    no task holds more than a pair of blocks, and each pair passes on k rows a query
-    (and those that tie), which are ranked with a limit before the shuffle.
+    repeats is asked once, and the answers of rows with one vec_id and different
+    vectors are ranked together.  Other columns are not looked at.
     """
-    spark = vectors.sparkSession
-    good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v"), queries.alias("asked")).where("v is not null and vec_id is not null")
-    good = saved(good.withColumn("dims", F.size("v")), "quantised")
-    facts = good.agg(F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"), F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("q")).first()
-    bits = int(facts["most"] or 0).bit_length() + 1
-    blocks, asks = -(-facts["n"] // ROWS) or 1, -(-facts["q"] // QUERIES) or 1
-
-    def packed(name: str):
-        def pack(key, table):
-            dims = key[0].as_py()
-            ids = table.column("vec_id").combine_chunks()
-            values = table.column("v").combine_chunks().flatten()
-            return pa.table({"dims": pa.array([dims], pa.int32()), name: pa.array([key[1].as_py()], pa.int64()), "ids": lists(ids.to_numpy(), np.array([len(ids)])), "values": lists(values.to_numpy(), np.array([len(values)]))})
-
-        return pack
-
-    shape = "dims int, {} long, ids array<long>, values array<long>"
-    h = F.xxhash64("vec_id", "v")
-    rows = good.withColumn("block", F.pmod(h, F.lit(blocks))).groupBy("dims", "block").applyInArrow(packed("block"), shape.format("block"))
-    q = good.where("asked").dropDuplicates(["vec_id", "v"]).withColumn("ask", F.pmod(h, F.lit(asks))).groupBy("dims", "ask").applyInArrow(packed("ask"), shape.format("ask"))
-    rows, q = saved(rows, "rows"), saved(q.withColumnsRenamed({"ids": "qids", "values": "qvalues"}), "queries")
-    # each pair of blocks once: rows go to every block of queries by number
-    pairs = rows.withColumn("ask", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(asks - 1).cast("long")))).join(q, ["dims", "ask"]).repartition("block", "ask")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = {n: i for i, n in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                get = lambda c, i=i: batch.column(name[c])[i].values.to_numpy(zero_copy_only=False)  # noqa: E731, B023
-                dims = batch.column(name["dims"])[i].as_py()
-                ids, v, qids, qv = get("ids"), get("values").reshape(-1, dims), get("qids"), get("qvalues").reshape(-1, dims)
-                held = -(-len(ids) // 64) * 64
-                raised = np.zeros((held, dims), np.int64)
-                raised[: len(ids)] = v + (1 << (bits - 1))
-                slices = _slices(raised, bits)
-                for a in range(0, len(qids), QUERIES):
-                    valid = np.zeros((len(qids[a : a + QUERIES]), held), bool)
-                    valid[:, : len(ids)] = qids[a : a + QUERIES, None] != ids
-                    at, row = _search(qv[a : a + QUERIES], slices, bits, np.ascontiguousarray(np.packbits(valid, axis=1, bitorder="little")).view("<u8"), k)
-                    score = (qv[a + at] * v[row]).sum(axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(qids[a + at]), pa.array(ids[row]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    hits = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    indexed, bits = index(vectors, scale)
+    return search(indexed, bits, vectors.where(queries), k, scale)

@@ -131,6 +131,22 @@ def test_top_k(spark):
     assert sorted(map(tuple, got.collect())) == sorted(wanted)
 
 
+def test_top_k_of_equal_vectors(spark):
+    """5,000 equal vectors tie: the smallest identifiers are found, and a task passes on k rows a query."""
+    rows = spark.range(5000).select((4999 - F.col("id")).alias("vec_id"), F.array(F.lit(0.5), F.lit(-0.25)).alias("embedding"))
+    got = bitslices.top_k(rows, F.col("vec_id") % 500 == 0)
+    wanted = [(q, r + 1, v, 128 * 128 + 64 * 64) for q in range(0, 5000, 500) for r, v in enumerate([i for i in range(6) if i != q][:5])]
+    assert sorted(map(tuple, got.collect())) == wanted
+
+
+def test_index_is_searched_again(spark):
+    vectors = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * (i + 1)) for i in range(7))).alias("embedding"))
+    indexed, bits = bitslices.index(vectors)
+    asked = vectors.where("vec_id = 7").withColumn("vec_id", F.lit(-1).cast("long"))
+    assert bitslices.search(indexed, bits, asked, 1).first()["vec_id"] == bitslices.search(indexed, bits, asked, 300).first()["vec_id"]
+    assert bitslices.search(indexed, bits, asked, 400).count() == 300
+
+
 def test_decontamination(spark):
     item = [f"b{i}" for i in range(20)]
     swapped = [*item]
