@@ -94,7 +94,7 @@ def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
-    return quality.judged(docs, _table(spark, sf_dir, "labels")).drop("text")
+    return quality.judged(docs, _table(spark, sf_dir, "labels"), text=False)
 
 
 def op9_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
