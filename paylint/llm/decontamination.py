@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import chunks, lists, longs, mix, split
-from .storage import saved
+from .storage import free, saved
 
 #: Positions of the words that count. Together they meet every window of 13 words with two substitutions, and of 8 with one.
 MASKS = ("111111", "11101011", "11010111")
@@ -146,7 +146,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap with no benchmark item, all columns as they are."""
-    bad = saved(overlaps(docs, benchmark).select(F.col("row_key").alias("_bad")).distinct(), "contaminated")
-    bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.withColumn("_row_key", F.xxhash64("text")).join(bad, F.col("_row_key") == F.col("_bad"), "left_anti").select(*docs.columns)
+    """The rows of docs that overlap with no benchmark item, all columns as they are, whatever their names."""
+    bad, key = free(docs, "_bad", "_row_key")
+    found = saved(overlaps(docs, benchmark).select(F.col("row_key").alias(bad)).distinct(), "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    return docs.withColumn(key, F.xxhash64("text")).join(found, F.col(key) == F.col(bad), "left_anti").drop(key)

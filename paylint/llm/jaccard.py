@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .arrays import chunks, lists, longs, mix, ngrams, split
 from .components import components
-from .storage import dropped, saved
+from .storage import dropped, free, saved
 
 WORDS = 5
 #: Similarity in percent.
@@ -46,6 +46,8 @@ PARITY = 2048
 _S32 = np.uint64(32)
 #: Width of the length bands of step 4.
 BAND = 1.05
+#: A list of rows to drop is broadcast up to this many; a longer one is joined by shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -271,6 +273,34 @@ def classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+def distinct(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
+    """docs (doc_id, text, any others) with one row of each group that links connect: that with the smallest doc_id.
+
+    A null doc_id comes after all others; of rows with equal doc_id and different
+    texts that with the smaller hash of both stays.  Of rows with equal doc_id and
+    text one stays, whichever comes first in the order of a shuffle.  Rows without
+    words link with nothing, so all of them stay, repeated ones too.  Rows are told
+    apart by doc_id and a hash of doc_id and text, never by doc_id alone.
+    """
+    own, other, link = free(docs, "_own", "_other", "_link")
+    keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
+    found = saved(classes(keyed.select(F.col(own).alias("doc_id"), "text"), words, similar).where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")).distinct(), "classes")
+    names = keyed.select(F.col(own).alias("id"), F.col("doc_id").alias("doc")).groupBy("id", "doc").agg(F.count(F.lit(1)).alias("n"))
+    named = saved(found.join(names, "id"), "groups")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("least"), F.sum("n").alias("of")).where("of > 1")
+    # only rows of groups of several are listed: those to drop, and those that stay but are repeated
+    listed = saved(named.join(first, "group").select(F.col("id").alias(other), F.col("doc").alias(link), (F.col("id") != F.col("least.id")).alias("drop"), "n").where("drop or n > 1"), "listed")
+    same = F.col(own).eqNullSafe(F.col(other)) & F.col("doc_id").eqNullSafe(F.col(link))
+
+    def rows(which: str, how: str) -> DataFrame:
+        some = listed.where(which).select(other, link)
+        some = F.broadcast(some) if some.count() <= BROADCAST_ROWS else some
+        return keyed.join(some, same, how).select(*(F.col(f"`{c}`") for c in keyed.columns))
+
+    single = rows("true", "left_anti").drop(own)
+    return single.unionByName(rows("not drop", "left_semi").dropDuplicates(["doc_id", "text"]).drop(own))
+
+
 def _across(rows: DataFrame, found: DataFrame, similar: int) -> DataFrame:
     """The pairs of a bucket's sets that are in different components and pass the filters, found from the sets outside the leader's component."""
     of = found.select(F.col("node"), "label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import saved
+from .storage import free, saved
 
 #: Sources with statistics of at most this many rows are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 50_000
@@ -65,16 +65,18 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, s
     lost task draws the same again; rows with equal doc_id get equal counts.  The
     only shuffle of texts deals rows by the hash of (seed, doc_id, copy), which no
     hot source can skew; inside a partition rows are sorted by that hash.  Empty
-    tables give empty results; columns named copy, rate or shuffle_key are replaced.
+    tables give empty results; columns named copy, rate or shuffle_key are replaced,
+    all others pass.  Null and empty texts have no size; texts travel whole.
     """
     docs = docs.drop("copy", "rate", "shuffle_key")
-    r = rates(docs, weights, power, total=total)
-    r = r.withColumnRenamed("source", "_source")
+    source, rate, at, one = free(docs, "_source", "_rate", "_at", "_one")
+    r = rates(docs, weights, power, total=total).withColumnsRenamed({"source": source, "rate": rate})
     small = r.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    rated = docs.join(F.broadcast(r) if small else r, F.col("source").eqNullSafe(F.col("_source")), "left")
+    rated = docs.join(F.broadcast(r) if small else r, F.col("source").eqNullSafe(F.col(source)), "left")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
-    n_copies = poisson(F.coalesce("rate", F.lit(0.0)), F.lit(seed), key)
-    copies = rated.select(*docs.columns, F.posexplode(F.array_repeat(F.lit(1), n_copies)).alias("_at", "_one"))
-    keyed = copies.select(*docs.columns, (F.col("_at") + 1).alias("copy")).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"))))
+    n_copies = poisson(F.coalesce(rate, F.lit(0.0)), F.lit(seed), key)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    copies = rated.select(*names, F.posexplode(F.array_repeat(F.lit(1), n_copies)).alias(at, one))
+    keyed = copies.select(*names, (F.col(at) + 1).alias("copy")).withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy").cast("string"))))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return keyed.repartition(n, "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

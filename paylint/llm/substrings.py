@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import Words, chunks, longs, mix, ngrams, split, utf8
-from .storage import saved
+from .storage import free, saved
 
 WINDOW = 13
 MINIMISER = 4
@@ -199,14 +199,16 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     replaced.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    keyed = docs.select(*names, F.xxhash64("text").alias("_row_key"))
+    key, doc, own, first_, last_ = free(docs, "_row_key", "_doc", "_key", "_first", "_last")
+    columns = [F.col(f"`{c}`") for c in names]
+    keyed = docs.select(*columns, F.xxhash64("text").alias(key))
     found = spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row_key")), window)
-    grouped = found.groupBy("doc_id", "row_key").agg(F.collect_list("first").alias("_first"), F.collect_list("last").alias("_last")).withColumnRenamed("doc_id", "_doc").withColumnRenamed("row_key", "_key")
-    joined = keyed.join(grouped, (F.col("doc_id") == F.col("_doc")) & (F.col("_row_key") == F.col("_key")), "left").select(*names, "_first", "_last")
+    grouped = found.groupBy("doc_id", "row_key").agg(F.collect_list("first").alias(first_), F.collect_list("last").alias(last_)).withColumnsRenamed({"doc_id": doc, "row_key": own})
+    joined = keyed.join(grouped, (F.col("doc_id") == F.col(doc)) & (F.col(key) == F.col(own)), "left").select(*columns, first_, last_)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(batch.schema.get_field_index("text")))
+            data, offsets = utf8(batch.column(names.index("text")))
             whole, at = data.tobytes(), offsets.tolist()
             n_words, n_removed, kept = [], [], []
             for i, (first, last) in enumerate(zip(batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1), strict=True)):
@@ -220,10 +222,11 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 n_words.append(n)
                 n_removed.append(n - len(words))
                 kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], [*batch.schema.names[:-2], "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).view(pa.string())], [*names, "n_words", "n_removed", "kept"])
 
-    schema = joined.select(*names).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    return joined.mapInArrow(cut, schema)
+    schema = joined.select(*columns).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    # columns are passed by place, as a name may have a dot
+    return joined.toDF(*(f"c{i}" for i in range(len(names) + 2))).mapInArrow(cut, schema)
 
 
 def digests(cut: DataFrame) -> DataFrame:

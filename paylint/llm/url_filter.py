@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from .storage import free
 
 #: Entry tables of at most this many rows are broadcast for the exact join; longer ones are shuffled.
 BROADCAST_ENTRIES = 100_000
@@ -55,7 +56,8 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, u
     differ only in the verdict, block wins.
     """
     rules = rules.where("host is not null and path is not null and verdict is not null")
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    own, entry = free(pages, "_url", "_entry")
     entries = rules.select(
         F.concat(F.lit("r:"), "host", "path").alias("key"),
         F.struct(F.lit(True).alias("is_rule"), F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"),
@@ -75,7 +77,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, u
     probes = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")).select("_url", F.explode(F.array_distinct(F.array(F.concat(F.lit("u:"), canonical(F.col("_url"))), *tried))).alias("key"))
     hits = bloom.possible(probes.where("key is not null"), F.xxhash64("key"), filter_, blocks)
     found = hits.join(F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries.hint("shuffle_hash"), "key")
-    verdicts = found.groupBy("_url").agg(F.max("entry").alias("_entry"))
-    return pages.select(*kept).join(verdicts, pages[url] == verdicts["_url"], "left").select(
-        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col("_entry.rule").alias("rule"), F.coalesce("_entry.verdict", F.lit("allow")).alias("verdict")
+    verdicts = found.groupBy("_url").agg(F.max("entry").alias(entry)).withColumnRenamed("_url", own)
+    return pages.select(*kept).join(verdicts, F.col(url) == F.col(own), "left").select(
+        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(f"{entry}.rule").alias("rule"), F.coalesce(f"{entry}.verdict", F.lit("allow")).alias("verdict")
     )

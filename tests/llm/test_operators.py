@@ -80,6 +80,14 @@ def test_jaccard_of_families(spark):
     assert [got[i] for i, _ in rows] == least
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Copies without identifier, repeated rows, and texts that share their identifier with a copy."""
+    a, b, c = " ".join(BASE), " ".join(BASE[:-1] + ["end"]), " ".join(f"own{i}" for i in range(50))
+    rows = [(1, a, 0), (2, b, 1), (2, c, 2), (3, c, 3), (None, a, 4), (None, a, 5), (None, "alone in this table here now", 6), (None, "alone in this table here now", 7), (4, "", 8), (4, "", 9), (None, None, 10), (5, "one two", 11), (5, "one two", 12), (1, a, 13)]
+    got = sorted((r["doc_id"] or 0, (r["text"] or "")[:7]) for r in jaccard.distinct(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect())
+    assert got == sorted([(1, a[:7]), (2, c[:7]), (0, "alone i"), (4, ""), (4, ""), (0, ""), (5, "one two")])
+
+
 def test_substrings(docs):
     rows = [(i, WORDS.findall(t or "")) for i, t in texts()]
     first = {}
@@ -219,11 +227,22 @@ def test_chat(spark):
     assert got[1, "a"]["message"] == '{"arguments":{"n":3,"q":"x"},"id":"a","name":"s","result":"r\\"","role":"tool"}'
 
 
+def test_columns_of_any_name(spark, docs):
+    """Columns that have the names an operator uses inside pass unchanged."""
+    names = ["_url", "_entry", "_h", "_e", "_at", "_one", "_source", "_rate", "_row_key", "_first", "_last", "_doc", "_key", "_bad", "_copy", "row", "part", "share", "dims", "component_id", "host", "a.b"]
+    odd = docs.withColumns({n: F.lit(f"kept {n}") for n in names}).withColumn("url", F.lit("http://a.example.com/en/"))
+    benchmark = spark.createDataFrame([(1, " ".join(BASE[40:60]))], "item_id long, text string")
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    for out in (mixing.mix(odd, spark.createDataFrame([("s0", 1.0), ("s1", 1.0)], "source string, weight double")), decontamination.clean(odd, benchmark), substrings.removed(odd), url_filter.judge(odd, rules), jaccard.classes(odd), jaccard.distinct(odd), tokens.encoded(odd, queries.tokenizer_path())):
+        rows = out.collect()
+        assert rows and all(r[n] == f"kept {n}" for r in rows for n in names if n in out.columns and n not in ("host", "component_id"))
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     benchmark = spark.createDataFrame([], "item_id long, text string")
-    assert jaccard.classes(docs).count() == 0
+    assert jaccard.classes(docs).count() == 0 and jaccard.distinct(docs).count() == 0
     assert substrings.removed(docs).count() == 0
     assert tokens.encoded(docs, queries.tokenizer_path()).count() == 0
     assert mixing.mix(docs).count() == 0
