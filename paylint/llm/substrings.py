@@ -12,8 +12,8 @@ runs of 4 words; neighbouring windows mostly share it, and equal windows always
     minimiser go as one packed string of words to the minimiser's bucket.  Windows
     of a minimiser that very many documents have go one by one, dealt by their own
     hash, so such a minimiser doesn't gather in one task.
-3.  In the buckets, sorting brings equal windows together; all but those of the
-    smallest document are covered.
+3.  In the buckets, sorting brings equal windows together, which are compared word
+    by word; all but those of the smallest document are covered.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .arrays import Words, chunks, longs, mix, ngrams, split, utf8
+from .arrays import Words, chunks, lists, longs, mix, ngrams, split, utf8
 from .storage import free, saved
 
 WINDOW = 13
 MINIMISER = 4
-#: A minimiser that tasks report this often is dealt by window.
-HOT = 256
+#: A minimiser in more documents than this is dealt by window.
+HOT = 512
+#: Words whose bytes are compared at once.
+COMPARED = 1 << 18
 _SEED = np.uint64(0xA54FF53A5F1D36F1)
 
 
@@ -56,16 +58,57 @@ def _fingerprints(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return ngrams(h, window), ngrams(mix(h, _SEED), window)
 
 
-def _groups(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """True where an equal window (a, b) has a smaller doc."""
+def _equal_runs(w: Words, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each run whether the n words from i on are those from j on, byte by byte."""
+    out = np.ones(len(n), bool)
+    ends = np.cumsum(n)
+    cuts = np.searchsorted(ends, np.arange(COMPARED, ends[-1] if len(ends) else 0, COMPARED))
+    for part in np.split(np.arange(len(n)), np.unique(cuts)):
+        run = np.repeat(np.arange(len(part)), n[part])
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+        a, b = i[part][run] + inner, j[part][run] + inner
+        long = w.end[a] - w.start[a]
+        unlike = long != w.end[b] - w.start[b]
+        long = np.where(unlike, 0, long)
+        inner = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long)
+        bytes_ = np.repeat(run, long)[w.data[np.repeat(w.start[a], long) + inner] != w.data[np.repeat(w.start[b], long) + inner]]
+        out[part] = np.bincount(np.concatenate([run[unlike], bytes_]), minlength=len(part)) == 0
+    return out
+
+
+def _groups(a: np.ndarray, b: np.ndarray, doc: np.ndarray, w: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """True where an equal window has a smaller doc; at: the windows' first words.
+
+    Sorting by fingerprint (a, b) and doc brings equal windows together.  Each is
+    compared with the first of its group word by word; neighbours that follow one
+    another in both places are compared as one run.  Windows whose fingerprint is
+    shared by different words are counted by their words.
+    """
     if not len(a):
         return np.zeros(0, bool)
     order = np.lexsort((doc, b, a))
     sa, sb, sd = a[order], b[order], doc[order]
     new = np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])])
-    least = sd[np.flatnonzero(new)][np.cumsum(new) - 1]
+    group = np.cumsum(new) - 1
+    first = order[np.flatnonzero(new)][group]
     out = np.empty(len(a), bool)
-    out[order] = sd > least
+    out[order] = sd > doc[first]
+    # all but the first of each group against the first, in the order of their places
+    later = np.flatnonzero(~new)
+    later = later[np.argsort(at[order[later]], kind="stable")]
+    i, j = at[order[later]], at[first[later]]
+    breaks = np.ones(len(i), bool)
+    breaks[1:] = (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)
+    begin, end = _runs(breaks)
+    same = _equal_runs(w, i[begin], j[begin], i[end] - i[begin] + window)
+    if not same.all():
+        shared = np.unique(group[later[np.repeat(~same, end - begin + 1)]])
+        some = order[np.isin(group, shared)]
+        words = [b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[k : k + window], w.end[k : k + window], strict=True)) for k in at[some].tolist()]
+        least: dict[bytes, int] = {}
+        for x, d in zip(words, doc[some].tolist(), strict=True):
+            least[x] = min(d, least.get(x, d))
+        out[some] = [d > least[x] for x, d in zip(words, doc[some].tolist(), strict=True)]
     return out
 
 
@@ -76,7 +119,7 @@ def _runs(breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _spread(docs: DataFrame, window: int) -> DataFrame:
-    """(mini, lo, hi): minimisers with the smallest and largest doc_id of a chunk that has them."""
+    """(mini, lo, hi, n): minimisers with the smallest and largest doc_id of a chunk that has them, and in how many runs of windows they are."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
@@ -88,13 +131,17 @@ def _spread(docs: DataFrame, window: int) -> DataFrame:
             order = np.lexsort((doc, mini))
             mini, doc = mini[order], doc[order]
             first, last = _runs(np.concatenate([[True], mini[1:] != mini[:-1]]) if len(mini) else np.zeros(0, bool))
-            yield pa.RecordBatch.from_arrays([longs(mini[first]), pa.array(doc[first]), pa.array(doc[last])], ["mini", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([longs(mini[first]), pa.array(doc[first]), pa.array(doc[last]), pa.array(last - first + 1, pa.int64())], ["mini", "lo", "hi", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(emit, "mini long, lo long, hi long")
+    return docs.select("doc_id", "text").mapInArrow(emit, "mini long, lo long, hi long, n long")
 
 
 def _travelling(docs: DataFrame, repeated, hot, window: int) -> DataFrame:
-    """(bucket, doc_id, row_key, at, words): packed super-k-mers; bucket null: words at to at + n are covered already, n in words."""
+    """(bucket, doc_id, row_key, at, words): packed super-k-mers; bucket null: words at to at + n are covered already, n in words.
+
+    at lists the places of equal windows that a document has and that go alone, so a
+    line that a text repeats leaves it once; it has one place for all others.
+    """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in chunks(batches, "text"):
@@ -106,7 +153,7 @@ def _travelling(docs: DataFrame, repeated, hot, window: int) -> DataFrame:
             row = np.repeat(np.arange(rows.num_rows), w.n)[at]
             doc = rows.column(0).to_numpy()[row]
             a, b = _fingerprints(h, window) if len(h) else (h, h)
-            done = _groups(a[at], b[at], doc)
+            done = _groups(a[at], b[at], doc, w, at, window)
             out = []
             for covered in (True, False):
                 i = np.flatnonzero(done == covered)
@@ -118,15 +165,28 @@ def _travelling(docs: DataFrame, repeated, hot, window: int) -> DataFrame:
                     breaks[1:] |= (m[1:] != m[:-1]) | alone[1:]
                 first, last = _runs(breaks)
                 begin, end = p[first], p[last] + window
+                places = begin - w.of[:-1][r[first]]
+                sizes = np.ones(len(first), np.int64)
                 if covered:
                     bucket, packed = pa.nulls(len(first), pa.int64()), [b"%d" % n for n in (end - begin).tolist()]
                 else:
-                    bucket = longs(np.where(alone[first], a[p[first]], m[first]))
+                    keys = np.where(alone[first], a[p[first]], m[first])
+                    # windows that go alone are put together by text and window; each has its words compared where it ends up
+                    order = np.lexsort((begin, np.where(alone[first], r[first], -1 - np.arange(len(first))), keys))
+                    first, begin, end, places, keys, single = first[order], begin[order], end[order], places[order], keys[order], alone[first][order]
+                    new = np.ones(len(first), bool)
+                    new[1:] = ~single[1:] | (keys[1:] != keys[:-1]) | (r[first][1:] != r[first][:-1]) | (b[begin][1:] != b[begin][:-1])
+                    same = np.flatnonzero(~new)
+                    new[same[~_equal_runs(w, begin[same], begin[same - 1], np.full(len(same), window))]] = True
+                    lead = np.flatnonzero(new)
+                    sizes = np.diff(np.append(lead, len(first)))
+                    first, begin, end = first[lead], begin[lead], end[lead]
+                    bucket = longs(keys[lead])
                     packed = [b" ".join(data[s:e].tobytes().split()) for s, e in zip(w.start[begin].tolist(), w.end[end - 1].tolist(), strict=True)]
-                out.append(pa.RecordBatch.from_arrays([bucket, rows.column(0).take(pa.array(r[first])), rows.column(2).take(pa.array(r[first])), pa.array(begin - w.of[:-1][r[first]]), pa.array(packed, pa.binary())], ["bucket", "doc_id", "row_key", "at", "words"]))
+                out.append(pa.RecordBatch.from_arrays([bucket, rows.column(0).take(pa.array(r[first])), rows.column(2).take(pa.array(r[first])), lists(places, sizes), pa.array(packed, pa.binary())], ["bucket", "doc_id", "row_key", "at", "words"]))
             yield from out
 
-    return docs.select("doc_id", "text", "row_key").mapInArrow(emit, "bucket long, doc_id long, row_key long, at long, words binary")
+    return docs.select("doc_id", "text", "row_key").mapInArrow(emit, "bucket long, doc_id long, row_key long, at array<long>, words binary")
 
 
 def _covered(travelling: DataFrame, window: int) -> DataFrame:
@@ -139,14 +199,19 @@ def _covered(travelling: DataFrame, window: int) -> DataFrame:
         at = np.flatnonzero(w.windows(window))
         a, b = _fingerprints(h, window) if len(h) else (h, h)
         row = np.repeat(np.arange(rows.num_rows), w.n)[at]
-        hit = np.flatnonzero(_groups(a[at], b[at], rows.column(1).to_numpy()[row]))
+        hit = np.flatnonzero(_groups(a[at], b[at], rows.column(1).to_numpy()[row], w, at, window))
         at, row = at[hit], row[hit]
         breaks = np.ones(len(at), bool)
         breaks[1:] = (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1])
         first, last = _runs(breaks)
-        r = row[first]
-        begin = rows.column(3).to_numpy()[r] + at[first] - w.of[:-1][r]
-        return pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(r)), rows.column(2).take(pa.array(r)), pa.array(begin), pa.array(begin + at[last] - at[first] + window)], ["doc_id", "row_key", "first", "last"])
+        places = rows.column(3)
+        of, places = places.offsets.to_numpy(), places.values.to_numpy()
+        n = np.diff(of)[row[first]]
+        run = np.repeat(np.arange(len(first)), n)
+        r = row[first][run]
+        inner = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        begin = places[of[r] + inner] + at[first][run] - w.of[:-1][r]
+        return pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(r)), rows.column(2).take(pa.array(r)), pa.array(begin), pa.array(begin + (at[last] - at[first])[run] + window)], ["doc_id", "row_key", "first", "last"])
 
     def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -165,8 +230,7 @@ def _covered(travelling: DataFrame, window: int) -> DataFrame:
         if held:
             yield judge(_joined(held))
 
-    n = int(travelling.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = travelling.where("bucket is not null").repartition(n, "bucket").sortWithinPartitions("bucket")
+    dealt = travelling.where("bucket is not null").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(sorted_buckets, "doc_id long, row_key long, first long, last long")
 
 
@@ -177,13 +241,13 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, row_key, first, last): the word runs [first, last) of docs (doc_id, text, row_key) that earlier documents have."""
     docs = docs.where("doc_id is not null and text is not null")
-    minis = saved(_spread(docs, window).groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("mini", "n"), "minimisers")
+    minis = saved(_spread(docs, window).groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where("lo < hi").select("mini", "n"), "minimisers")
     filters = []
     for some in (minis, minis.where(F.col("n") > HOT)):
         blocks = bloom.blocks_for(some.count())
         filters.append(docs.sparkSession.sparkContext.broadcast(bloom.collected(bloom.build(some, F.col("mini"), blocks), blocks)))
     travelling = saved(_travelling(docs, *filters, window), "superkmers")
-    local = travelling.where("bucket is null").select("doc_id", "row_key", F.col("at").alias("first"), (F.col("at") + F.col("words").cast("string").cast("long")).alias("last"))
+    local = travelling.where("bucket is null").select("doc_id", "row_key", F.col("at")[0].alias("first"), (F.col("at")[0] + F.col("words").cast("string").cast("long")).alias("last"))
     return local.union(_covered(travelling, window))
 
 
@@ -195,7 +259,7 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     a smaller doc_id; all windows are judged on the input.  Texts shorter than a
     window stay.  Null texts have no words.  Rows with the same doc_id never remove
     from each other; rows with a null doc_id neither remove nor lose words.  Windows
-    are compared by 128-bit hashes.  Columns named n_words, n_removed or kept are
+    are sorted by hashes and compared by their words.  Columns named n_words, n_removed or kept are
     replaced.
     """
     names = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]

@@ -89,7 +89,19 @@ def test_one_row_of_each_group_stays(spark):
 
 
 def test_substrings(docs):
-    rows = [(i, WORDS.findall(t or "")) for i, t in texts()]
+    check_substrings(docs, texts())
+
+
+def test_substrings_of_hot_minimisers(spark, monkeypatch):
+    """All minimisers dealt by window: lines that a text repeats, in one document and in many."""
+    monkeypatch.setattr(substrings, "HOT", 0)
+    line = [f"l{i}" for i in range(9)]
+    rows = [(i, " ".join([f"d{i}", *(line * (40 if i == 3 else 3)), *BASE[: 20 + i], "end", *(line * 2)])) for i in range(12)]
+    check_substrings(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def check_substrings(docs, given):
+    rows = [(i, WORDS.findall(t or "")) for i, t in given]
     first = {}
     for i, w in rows:
         for k in range(len(w) - 12):
@@ -103,6 +115,28 @@ def test_substrings(docs):
     assert sorted(map(tuple, substrings.digests(substrings.removed(docs)).collect())) == sorted(wanted)
 
 
+def test_windows_of_one_fingerprint():
+    """Fingerprints that different windows share change nothing: the words decide."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    rows = [" ".join(rng.choice(["a", "bb", "é", "dd"], 40)) + ("\t" if i % 2 else " ") + "one two three four five" for i in range(30)]
+    data, offsets = arrays.utf8(pa.array(rows))
+    w = arrays.split(data, offsets)
+    at = np.flatnonzero(w.windows(5))
+    doc = np.repeat(np.arange(30) // 2, w.n)[at]
+    words = [WORDS.findall(t) for t in rows]
+    said = [tuple(words[r][k : k + 5]) for r in range(30) for k in range(len(words[r]) - 4)]
+    least = {}
+    for s, d in zip(said, doc.tolist()):
+        least[s] = min(d, least.get(s, d))
+    wanted = [d > least[s] for s, d in zip(said, doc.tolist())]
+    a, b = substrings._fingerprints(w.hashes(), 5)
+    for mask in (2**64 - 1, 7, 1, 0):
+        got = substrings._groups(a[at] & np.uint64(mask), b[at] & np.uint64(mask), doc, w, at, 5)
+        assert got.tolist() == wanted and any(wanted) and not all(wanted)
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_tokens(spark, docs, encoding):
     from tokenizers import Tokenizer
