@@ -2,9 +2,10 @@
 
 All five bits of a key lie in one 256-bit block, so a probe is one lookup.  Keys
 are 64-bit hashes; the block comes from the low 24 bits and the bits from the
-top 40.  The number of blocks is bounded by ``MAX_BLOCKS`` (32 bytes each), so
-the filter may always be broadcast; a list too long for it only lets more keys
-through, and whoever uses the filter joins exactly afterwards.
+top 40.  A filter of up to ``MAX_BLOCKS`` (32 bytes each) is broadcast; a larger one,
+of up to ``MOST_BLOCKS``, is joined by block with a shuffle.  A list too long for
+its filter only lets more keys through, and whoever uses the filter joins exactly
+afterwards.
 """
 
 from __future__ import annotations
@@ -13,10 +14,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free
+
 WORDS = 4
 PROBES = 5
 BITS_PER_KEY = 16
 MAX_BLOCKS = 1 << 18
+MOST_BLOCKS = 1 << 24
 
 
 def blocks_for(keys: int, max_blocks: int = MAX_BLOCKS) -> int:
@@ -49,12 +53,14 @@ def build(keys: DataFrame, h: Column, blocks: int) -> DataFrame:
 
 
 def possible(df: DataFrame, h: Column, filter_: DataFrame, blocks: int) -> DataFrame:
-    """The rows of df whose key may be in the filter."""
-    names = df.columns
-    probe = df.withColumn("_h", h).withColumn("block", _block(F.col("_h"), blocks)).join(F.broadcast(filter_), "block")
-    for i, m in enumerate(_masks(F.col("_h"))):
-        probe = probe.where(F.col(f"w{i}").bitwiseAND(m) == m)
-    return probe.select(*names)
+    """The rows of df whose key may be in the filter; null keys are in none."""
+    key, block, *words = free(df, "_hash", "_block", *(f"_w{i}" for i in range(WORDS)))
+    held = filter_.withColumnsRenamed({"block": block} | {f"w{i}": w for i, w in enumerate(words)})
+    held = F.broadcast(held) if blocks <= MAX_BLOCKS else held
+    probe = df.withColumn(key, h).where(F.col(key).isNotNull()).withColumn(block, _block(F.col(key), blocks)).join(held, block)
+    for w, m in zip(words, _masks(F.col(key)), strict=True):
+        probe = probe.where(F.col(w).bitwiseAND(m) == m)
+    return probe.select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def collected(filter_: DataFrame, blocks: int) -> np.ndarray:

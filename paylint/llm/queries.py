@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from . import bitslices, chat, decontamination, jaccard, mixing, pii, quality, substrings, tokens, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-#: Pages on hosts of this form stand for a list of URLs to block.
+#: Pages on hosts of this form stand for a list of URLs to block in op1_listed_labels.
 LISTED_HOSTS = "spam-%"
+#: In op1_url_filter the list has the URLs of pages that hold one of these, as a filter of contents would report them.
+LISTED_MARKS = ("%%%", "!!")
 TOOLS = {
     "search": [{"name": "query", "type": "string", "required": True}, {"name": "limit", "type": "integer", "minimum": 1, "maximum": 6}],
     "fetch": [{"name": "id", "type": "integer", "required": True}, {"name": "format", "type": "string", "enum": ["text", "html"]}],
@@ -27,10 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    """All URLs, with those of pages of a certain content as the list: other forms of a listed URL are blocked too."""
+    pages = _table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    listed = pages.where(url_filter.host_of(F.col("url")).like(LISTED_HOSTS)).select("url")
-    return url_filter.judge(pages, rules, listed).select("page_id", "host", "path", "rule", "verdict")
+    listed = pages.where(F.contains("html", F.lit(LISTED_MARKS[0])) | F.contains("html", F.lit(LISTED_MARKS[1]))).select("url")
+    return url_filter.judge(pages.select("page_id", "url"), rules, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op1_listed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,16 +121,16 @@ def queries() -> dict:
 
 
 _URL_PARTS = """
-parts AS (SELECT page_id, url,
+parts AS (SELECT page_id, url, html,
     coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
-  FROM (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages))"""
+  FROM (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, html FROM pages))"""
 
 OP1 = f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {', '.join(repr(r) for r in RULES)}), {_URL_PARTS},
 fit AS (SELECT p.url, max_by(rhost || rpath, length(rhost || rpath) * 10000 + length(rhost)) AS rule, max_by(rverdict, length(rhost || rpath) * 10000 + length(rhost)) AS rverdict
   FROM (SELECT DISTINCT url, host, path FROM parts) p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY p.url),
-listed AS (SELECT DISTINCT host || rtrim(path, '/') AS c FROM parts WHERE host LIKE '{LISTED_HOSTS}')
+listed AS (SELECT DISTINCT host || rtrim(path, '/') AS c FROM parts WHERE {' OR '.join(f"contains(html, '{m}')" for m in LISTED_MARKS)})
 SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.rverdict, CASE WHEN host <> '' AND host || rtrim(path, '/') IN (SELECT c FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM parts LEFT JOIN fit ON parts.url = fit.url"""
 

@@ -44,11 +44,13 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, u
     with the longer host.  listed: (url), blocked where no rule fits and the
     canonical URL is the same.  All other pages are allowed.
 
-    Rules and listed URLs are entries of one blocked Bloom filter.  Each distinct
-    URL probes it with its canonical form and with the host suffixes and path
-    prefixes of the shapes (labels in the host, length of the path) that rules
-    have; possible hits meet the entries in an exact hash join.  The driver sees
-    the number of entries and the distinct shapes only.
+    Rules and listed URLs are entries of one blocked Bloom filter.  A rule's key is
+    its host and its path up to the last slash.  Each distinct URL probes the filter
+    with its canonical form, and with every suffix of its host and every prefix of
+    its path that ends in a slash: how many these are follows from the URL, however
+    many rules there are.  Possible hits meet the entries in an exact hash join,
+    after which the rest of a rule's path is compared.  The driver sees the number
+    of entries only.
 
     Null or odd URLs have an empty host and path, no rule and the verdict allow.
     Repeated rows stay.  Columns of pages named host, path, rule or verdict are
@@ -58,25 +60,28 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame | None = None, u
     rules = rules.where("host is not null and path is not null and verdict is not null")
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     own, entry = free(pages, "_url", "_entry")
+    cut = F.regexp_extract("path", "^(.*/)?", 0)
     entries = rules.select(
-        F.concat(F.lit("r:"), "host", "path").alias("key"),
+        F.concat(F.lit("r:"), "host", cut).alias("key"),
+        F.col("path").alias("rest"),
         F.struct(F.lit(True).alias("is_rule"), F.length(F.concat("host", "path")).alias("long"), F.length("host").alias("host_long"), (F.col("verdict") == "block").alias("blocks"), F.concat("host", "path").alias("rule"), "verdict").alias("entry"),
     )
     if listed is not None:
         entries = entries.unionByName(
-            listed.select(F.concat(F.lit("u:"), canonical(F.col("url"))).alias("key")).where("key is not null").distinct().select("key", F.struct(F.lit(False).alias("is_rule"), F.lit(0).alias("long"), F.lit(0).alias("host_long"), F.lit(True).alias("blocks"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")).alias("entry"))
+            listed.select(F.concat(F.lit("u:"), canonical(F.col("url"))).alias("key")).where("key is not null").distinct().select("key", F.lit("").alias("rest"), F.struct(F.lit(False).alias("is_rule"), F.lit(0).alias("long"), F.lit(0).alias("host_long"), F.lit(True).alias("blocks"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict")).alias("entry"))
         )
-    shapes = rules.select(F.size(F.split("host", "\\.")).alias("labels"), F.length("path").alias("long")).distinct().collect()
     n = entries.count()
-    blocks = bloom.blocks_for(n)
+    blocks = bloom.blocks_for(n, bloom.MOST_BLOCKS)
     filter_ = bloom.build(entries, F.xxhash64("key"), blocks)
 
-    host, path = F.col("_host"), F.col("_path")
-    tried = [F.concat(F.lit("r:"), F.substring_index(host, ".", -s["labels"]), F.substring(path, 1, s["long"])) for s in shapes]
     urls = pages.select(F.col(url).alias("_url")).where("_url is not null").distinct()
-    probes = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path")).select("_url", F.explode(F.array_distinct(F.array(F.concat(F.lit("u:"), canonical(F.col("_url"))), *tried))).alias("key"))
+    parts = urls.select("_url", host_of(F.col("_url")).alias("_host"), path_of(F.col("_url")).alias("_path"))
+    suffixes = F.expr("transform(sequence(1, size(split(_host, '[.]'))), i -> substring_index(_host, '.', -i))")
+    prefixes = F.expr("transform(sequence(0, size(split(_path, '/')) - 1), k -> if(k = 0, '', concat(substring_index(_path, '/', k), '/')))")
+    tried = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(F.lit("r:"), s, p))))
+    probes = parts.select("_url", "_path", F.explode(F.array_distinct(F.concat(F.array(F.concat(F.lit("u:"), canonical(F.col("_url")))), tried))).alias("key"))
     hits = bloom.possible(probes.where("key is not null"), F.xxhash64("key"), filter_, blocks)
-    found = hits.join(F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries.hint("shuffle_hash"), "key")
+    found = hits.join(F.broadcast(entries) if n <= BROADCAST_ENTRIES else entries.hint("shuffle_hash"), "key").where(F.startswith("_path", "rest"))
     verdicts = found.groupBy("_url").agg(F.max("entry").alias(entry)).withColumnRenamed("_url", own)
     return pages.select(*kept).join(verdicts, F.col(url) == F.col(own), "left").select(
         *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(f"{entry}.rule").alias("rule"), F.coalesce(f"{entry}.verdict", F.lit("allow")).alias("verdict")
