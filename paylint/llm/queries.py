@@ -13,7 +13,7 @@ LISTED_HOSTS = "spam-%"
 #: In op1_url_filter the list has the URLs of pages that hold one of these, as a filter of contents would report them.
 LISTED_MARKS = ("%%%", "!!")
 TOOLS = {
-    "search": [{"name": "query", "type": "string", "required": True}, {"name": "limit", "type": "integer", "minimum": 1, "maximum": 6}],
+    "search": [{"name": "query", "type": "string", "required": True}, {"name": "limit", "type": "integer", "minimum": 1, "maximum": 6}, {"name": "filter", "type": "object", "properties": [{"name": "lang", "type": "string", "required": True, "enum": ["en", "de"]}, {"name": "tags", "type": "array", "items": "string"}]}],
     "fetch": [{"name": "id", "type": "integer", "required": True}, {"name": "format", "type": "string", "enum": ["text", "html"]}],
 }
 
@@ -51,22 +51,29 @@ def listed_pages(pages: DataFrame) -> DataFrame:
 def tool_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results made of a conversation's turns: an assistant's turn calls a tool, the user's next turn is the result.
 
-    A call uses the result of the assistant's turn before.  Every eleventh call has
-    an unknown tool, every seventh broken arguments, every thirteenth turn of a user
-    answers a call that was never made.
+    A call uses the result of the assistant's turn before, each third also that of
+    the one before it, some none, and some one that comes only later, with which
+    they make a cycle or not.  Some repeat an identifier.  Some have an unknown tool,
+    broken or nested arguments, or a wrong format; some turns of users answer a call
+    that was never made.
     """
+    rule = lambda n, r=0: (F.coalesce("conv_id", F.lit(0)) * 5 + F.col("turn")) % n == r
+    name = lambda turn: F.concat(F.lit("call_"), turn.cast("string"))
+    turn = F.col("turn")
+    parents = F.array(F.when((turn >= 2) & ~rule(6), name(turn - 2)), F.when((turn >= 4) & rule(3), name(turn - 4)), F.when(rule(19) | rule(23, 1), name(turn + 2)))
+    broken = F.concat(F.lit('{"query":'), turn.cast("string"), F.lit(',"limit":0,"id":"x"}'))
+    nested = F.to_json(F.struct(F.col("text").alias("query"), F.struct(F.when(rule(2), "en").otherwise("fr").alias("lang"), F.array(F.lit("a"), F.lit("b")).alias("tags")).alias("filter"), F.lit("c").alias("id")))
+    plain = F.to_json(F.struct(F.col("text").alias("query"), turn.alias("limit"), F.col("conv_id").alias("id"), F.when(rule(10), "pdf").otherwise("text").alias("format")))
     calls = conversations.where("role = 'assistant'").select(
         "conv_id",
-        F.concat(F.lit("call_"), F.col("turn").cast("string")).alias("call_id"),
+        F.when(rule(17) & (turn >= 2), name(turn - 2)).otherwise(name(turn)).alias("call_id"),
         "turn",
-        F.when(F.col("turn") >= 2, F.concat(F.lit("call_"), (F.col("turn") - 2).cast("string"))).alias("parent_id"),
-        F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "draw").when(F.col("turn") % 4 == 1, "search").otherwise("fetch").alias("name"),
-        F.when((F.col("conv_id") + F.col("turn")) % 7 == 0, F.concat(F.lit('{"query":'), F.col("turn").cast("string"), F.lit(',"limit":0,"id":"x"}')))
-        .otherwise(F.to_json(F.struct(F.col("text").alias("query"), F.col("turn").alias("limit"), F.col("conv_id").alias("id"), F.lit("text").alias("format"))))
-        .alias("arguments"),
+        F.filter(parents, lambda p: p.isNotNull()).alias("parents"),
+        F.when(rule(11), "draw").when(turn % 4 == 1, "search").otherwise("fetch").alias("name"),
+        F.when(rule(7), broken).when(rule(8, 1), nested).when(rule(29), "not {json").otherwise(plain).alias("arguments"),
     )
-    number = F.when((F.col("conv_id") + F.col("turn")) % 13 == 0, F.col("turn") + 1000).otherwise(F.col("turn") - 1)
-    results = conversations.where("role = 'user' and turn > 0").select("conv_id", F.concat(F.lit("call_"), number.cast("string")).alias("call_id"), "turn", F.col("text").alias("content"))
+    number = F.when(rule(13), turn + 1000).otherwise(turn - 1)
+    results = conversations.where("role = 'user' and turn > 0").select("conv_id", name(number).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paylint.llm import arrays, bitslices, chat, decontamination, jaccard, mixing, pii, quality, queries, substrings, tokens, url_filter
+from paylint.llm import arrays, bitslices, decontamination, jaccard, mixing, pii, quality, queries, substrings, tokens, url_filter
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 BASE = [f"word{i % 37}x{i}" for i in range(120)]
@@ -253,14 +253,6 @@ def test_url_filter(spark):
     ]
 
 
-def test_chat(spark):
-    calls = [(1, "a", 0, None, "s", '{"q":"x","n":3}'), (1, "b", 2, "a", "s", '{"q":5}'), (1, "c", 3, "b", "t", "bad"), (1, "d", 4, "e", "s", "{}"), (1, "e", 5, "d", "s", "{}"), (None, "f", 1, None, "s", '{"q":"y"}'), (1, "a", 9, None, "s", "{}")]
-    results = [(1, "a", 1, 'r"'), (1, "zz", 3, "lost")]
-    got = {(r["conv_id"], r["call_id"]): r for r in chat.link(spark.createDataFrame(calls, "conv_id long, call_id string, turn long, parent_id string, name string, arguments string"), spark.createDataFrame(results, "conv_id long, call_id string, turn long, content string"), {"s": [{"name": "q", "type": "string", "required": True}]}).collect()}
-    assert {k: (r["status"], r["level"]) for k, r in got.items()} == {(1, "a"): ("ok", 0), (1, "b"): ("bad_arguments", 1), (1, "c"): ("unknown_tool", 2), (1, "d"): ("cycle", None), (1, "e"): ("cycle", None), (None, "f"): ("no_result", 0), (1, "zz"): ("no_call", None)}
-    assert got[1, "a"]["message"] == '{"arguments":{"n":3,"q":"x"},"id":"a","name":"s","result":"r\\"","role":"tool"}'
-
-
 def test_columns_of_any_name(spark, docs):
     """Columns that have the names an operator uses inside pass unchanged."""
     names = ["_url", "_entry", "_h", "_e", "_at", "_one", "_source", "_rate", "_row_key", "_first", "_last", "_doc", "_key", "_bad", "_copy", "row", "part", "share", "dims", "component_id", "host", "a.b"]
