@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from .arrays import chunks, lists, longs, mix, split
-from .storage import free, saved
+from .storage import bounded_batches, free, saved
 
 #: Positions of the words that count. Together they meet every window of 13 words with two substitutions, and of 8 with one.
 MASKS = ("111111", "11101011", "11010111")
@@ -21,6 +21,8 @@ OVERLAP = 13
 SHORTEST = 8
 #: Rows of benchmark seeds, items and contaminated documents that are broadcast at most.
 BROADCAST_ROWS = 500_000
+#: Words from the first hit of a stretch to its last, at most; a longer one is cut, with enough words on either side for any overlap around a hit.
+STRETCH = 256
 _SPAN = max(map(len, MASKS))
 
 
@@ -78,7 +80,10 @@ def _segments(docs: DataFrame, filter_) -> DataFrame:
             order = np.argsort(at, kind="stable")
             at, seeds = at[order], seeds[order]
             row = np.searchsorted(w.of, at, "right") - 1
-            first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 2 * around + _SPAN)]))
+            far = np.concatenate([[True], (row[1:] != row[:-1]) | (at[1:] > at[:-1] + 2 * around + _SPAN)])
+            piece = (at - at[np.flatnonzero(far)][np.cumsum(far) - 1]) // STRETCH
+            far[1:] |= piece[1:] != piece[:-1]
+            first = np.flatnonzero(far)
             last = np.append(first[1:], len(at)) - 1
             r = row[first]
             start = np.maximum(at[first] - around, w.of[:-1][r])
@@ -94,21 +99,23 @@ def _segments(docs: DataFrame, filter_) -> DataFrame:
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Verify each (segment, item, diagonal): the window of the overlap's length with the most equal words."""
+    """Verify each (stretch, item) with its diagonals: the window of the overlap's length with the most equal words, the earliest of these."""
     for batch in batches:
         at, n, equal = [], [], []
-        for words, item, diagonal in zip(batch.column(3), batch.column(5), batch.column(6), strict=True):
-            d, t, k = words.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False), diagonal.as_py()
-            a, z = max(0, k), min(len(d), k + len(t))
+        for words, item, diagonals in zip(batch.column(3), batch.column(5), batch.column(6), strict=True):
+            d, t = words.values.to_numpy(zero_copy_only=False), item.values.to_numpy(zero_copy_only=False)
             long = min(OVERLAP, len(t))
-            if z - a < long:
-                at.append(0), n.append(long), equal.append(0)
-                continue
-            same = np.concatenate([[0], np.cumsum(d[a:z] == t[a - k : z - k])])
-            sums = same[long:] - same[:-long]
-            i = int(np.argmax(sums))
-            at.append(a + i), n.append(long), equal.append(int(sums[i]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(at) + batch.column(2).to_numpy()), batch.column(4), pa.array(n, pa.int64()), pa.array(equal, pa.int64())], ["row_key", "doc_id", "doc_at", "item_id", "n_words", "n_equal"])
+            best = (0, 0)
+            for k in diagonals.values.to_numpy().tolist():
+                a, z = max(0, k), min(len(d), k + len(t))
+                if z - a < long:
+                    continue
+                same = np.concatenate([[0], np.cumsum(d[a:z] == t[a - k : z - k])])
+                sums = same[long:] - same[:-long]
+                i = int(np.argmax(sums))
+                best = max(best, (int(sums[i]), -(a + i)))
+            equal.append(best[0]), at.append(-best[1]), n.append(long)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.array(at, np.int64) + batch.column(2).to_numpy()), batch.column(4), pa.array(n, pa.int64()), pa.array(equal, pa.int64())], ["row_key", "doc_id", "doc_at", "item_id", "n_words", "n_equal"])
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -127,6 +134,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of the benchmark's seeds doesn't hold, so only stretches around possible hits
     are shuffled; the benchmark's side is broadcast only up to BROADCAST_ROWS rows.
     """
+    bounded_batches(docs.sparkSession)
     items, seeds = _items(benchmark)
     n = seeds.count()
     small = lambda df, rows: F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -134,10 +142,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     filter_ = docs.sparkSession.sparkContext.broadcast(bloom.collected(bloom.build(seeds, F.col("seed"), blocks), blocks))
     segments = saved(_segments(docs, filter_).dropDuplicates(["row_key", "doc_id", "start"]), "segments")
     hits = segments.select("row_key", "doc_id", "start", F.explode(F.arrays_zip("seeds", "at")).alias("hit")).select("row_key", "doc_id", "start", F.col("hit.seeds").alias("seed"), F.col("hit.at").alias("at"))
-    diagonals = saved(hits.join(small(seeds, n), "seed").select("row_key", "doc_id", "start", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "diagonals")
+    diagonals = saved(hits.join(small(seeds, n), "seed").select("row_key", "doc_id", "start", "item_id", (F.col("at") - F.col("item_at")).alias("diagonal")).groupBy("row_key", "doc_id", "start", "item_id").agg(F.collect_set("diagonal").alias("diagonals")), "diagonals")
     d = diagonals.withColumnRenamed("doc_id", "_d").withColumnRenamed("row_key", "_k").withColumnRenamed("start", "_s")
     placed = d.join(segments.select("row_key", "doc_id", "start", "words"), (F.col("_k") == F.col("row_key")) & F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_s") == F.col("start")))
-    placed = placed.join(small(items.withColumnRenamed("words", "item"), n), "item_id").select("row_key", "doc_id", "start", "words", "item_id", "item", "diagonal")
+    placed = placed.join(small(items.withColumnRenamed("words", "item"), n), "item_id").select("row_key", "doc_id", "start", "words", "item_id", "item", "diagonals")
     judged = placed.mapInArrow(_best, "row_key long, doc_id long, doc_at long, item_id long, n_words long, n_equal long")
     allowed = F.when(F.col("n_words") >= OVERLAP, substitutions(OVERLAP)).otherwise(substitutions(SHORTEST))
     hit = judged.where(F.col("n_equal") >= F.col("n_words") - allowed)

@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows of an Arrow batch, at most: with texts of some kilobytes a batch has some megabytes.
+BATCH = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH: workers hold whole batches of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = int(spark.conf.get(key))
+    if not 0 < rows <= BATCH:
+        spark.conf.set(key, BATCH)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """The names with as many underscores in front that no column of df has them."""
     taken = {c.lower() for c in df.columns}
