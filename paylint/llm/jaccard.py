@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import bloom
 from .arrays import chunks, lists, longs, mix, ngrams, split
 from .components import components
-from .storage import dropped, free, saved
+from .storage import bounded_batches, dropped, free, saved
 
 WORDS = 5
 #: Similarity in percent.
@@ -92,7 +92,7 @@ def prefix_length(n: int, similar: int = SIMILAR) -> int:
 
 
 def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """kind 0: (id = doc_id, n = set size, key = set id) of each row; kind 1: (n = texts, key = shingle) of what a task saw often."""
+    """kind 0: (id = doc_id, own, n = set size, key = set id) of each row of docs (doc_id, text, own); kind 1: (n = texts, key = shingle) of what a task saw often."""
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often_tokens, often_counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -100,7 +100,7 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for rows, data, offsets in chunks(batches, "text"):
             sets = list(_sets(data, offsets, words))
             ids = [_set_id(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), rows.column(0).cast(pa.int64()), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(ids, pa.int64())], ["kind", "id", "n", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int8)), rows.column(0).cast(pa.int64()), rows.column(2), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(ids, pa.int64())], ["kind", "id", "own", "n", "key"])
             new = [s for s, i in zip(sets, ids, strict=True) if i is not None and i not in copies]
             copies.update(i for i in ids if i is not None)
             if new:
@@ -113,9 +113,9 @@ def profiles(docs: DataFrame, words: int = WORDS) -> DataFrame:
                     often_tokens, often_counts = map(list, zip(_summed(often_tokens, often_counts), strict=True))
         t, n = _summed(often_tokens, often_counts)
         t, n = t[n >= SEEN], n[n >= SEEN]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.nulls(len(t), pa.int64()), pa.array(n), longs(t)], ["kind", "id", "n", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.nulls(len(t), pa.int64()), pa.nulls(len(t), pa.int64()), pa.array(n), longs(t)], ["kind", "id", "own", "n", "key"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "kind byte, id long, n long, key long")
+    return docs.select("doc_id", "text", "own").mapInArrow(profile, "kind byte, id long, own long, n long, key long")
 
 
 def _summed(tokens: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,6 +251,13 @@ def classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     smallest id of its component, or null; other columns are not looked at.
     Shingles are compared by 64-bit hashes.
     """
+    found = _labelled(docs.select("doc_id", "text", F.lit(0).cast("long").alias("own")), words, similar)
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _labelled(docs: DataFrame, words: int, similar: int) -> DataFrame:
+    """(id, own, n, component_id, label) for each row of docs (doc_id, text, own); label tells components apart, also those without an id."""
+    bounded_batches(docs.sparkSession)
     profiled = saved(profiles(docs, words), "profiles")
     order = _order(profiled)
     dealt = _prefixes(docs, order, words, similar).repartition("token")
@@ -268,9 +275,9 @@ def classes(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Data
     named = least.join(found.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "least", F.coalesce("label", "sid").alias("label"))
     named = saved(named, "named")
     by_label = saved(named.groupBy("label").agg(F.min("least").alias("component_id")), "smallest")
-    by_set = saved(named.join(by_label, "label").select(F.col("sid").alias("key"), "component_id"), "sets")
+    by_set = saved(named.join(by_label, "label").select(F.col("sid").alias("key"), "component_id", "label"), "sets")
     rows = profiled.where("kind = 0").join(by_set, "key", "left")
-    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.select("id", "own", "n", F.coalesce("component_id", "id").alias("component_id"), "label")
 
 
 def distinct(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> DataFrame:
@@ -284,12 +291,15 @@ def distinct(docs: DataFrame, words: int = WORDS, similar: int = SIMILAR) -> Dat
     """
     own, other, link = free(docs, "_own", "_other", "_link")
     keyed = docs.withColumn(own, F.xxhash64("doc_id", "text"))
-    found = saved(classes(keyed.select(F.col(own).alias("doc_id"), "text"), words, similar).where("n_shingles > 0").select(F.col("doc_id").alias("id"), F.col("component_id").alias("group")).distinct(), "classes")
-    names = keyed.select(F.col(own).alias("id"), F.col("doc_id").alias("doc")).groupBy("id", "doc").agg(F.count(F.lit(1)).alias("n"))
-    named = saved(found.join(names, "id"), "groups")
-    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "id")).alias("least"), F.sum("n").alias("of")).where("of > 1")
-    # only rows of groups of several are listed: those to drop, and those that stay but are repeated
-    listed = saved(named.join(first, "group").select(F.col("id").alias(other), F.col("doc").alias(link), (F.col("id") != F.col("least.id")).alias("drop"), "n").where("drop or n > 1"), "listed")
+    found = saved(_labelled(keyed.select("doc_id", "text", F.col(own).alias("own")), words, similar).where("n > 0").select("id", "own", "component_id", "label"), "classes")
+    # the smallest identifier decides but where rows share it, or where a group has none
+    shared = found.where("id = component_id").groupBy("id").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most")
+    led = found.where("id is not null").join(shared.select(F.col("id").alias("_id"), "least"), F.col("id") == F.col("_id"), "left").select("id", "own", F.expr("component_id < id or own != coalesce(least, own)").alias("drop"))
+    bare = found.where("id is null").groupBy("label").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least < most").select(F.col("label").alias("_label"), "least")
+    bare = found.where("id is null").join(bare, F.col("label") == F.col("_label"), "left").select("id", "own", F.expr("component_id is not null or own != coalesce(least, own)").alias("drop"))
+    # only rows to drop, and those that stay but are repeated, are listed
+    counted = led.union(bare).groupBy("id", "own", "drop").agg(F.count(F.lit(1)).alias("n")).where("drop or n > 1")
+    listed = saved(counted.select(F.col("own").alias(other), F.col("id").alias(link), "drop"), "listed")
     same = F.col(own).eqNullSafe(F.col(other)) & F.col("doc_id").eqNullSafe(F.col(link))
 
     def rows(which: str, how: str) -> DataFrame:

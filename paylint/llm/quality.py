@@ -16,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import split, utf8
-from .storage import saved
+from .storage import bounded_batches, saved
 
 #: Labelled documents the text classifier is fitted on, at most: those with the smallest hash of doc_id.
 LABELLED = 20_000
 #: Site tables of at most this many rows are broadcast; longer ones are joined by shuffle.
 BROADCAST_SITES = 100_000
 #: Texts are measured in pieces of about so many bytes at a time.
-PIECE = 2 << 20
+PIECE = 1 << 20
 #: Evidence of one document counts for at most so many log odds.
 MOST = 12.0
 KEEP = 0.5
@@ -119,16 +119,20 @@ def goods(labels: DataFrame) -> DataFrame:
     return labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(good).alias("good"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Evidence:
-    """The text classifier from labels (doc_id, quality, and toxic if there is one).
+def chosen(labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
+    """(doc_id, good) of `labelled` labels at most, those with the smallest hash of doc_id: few enough to be broadcast."""
+    return saved(goods(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled), "labels")
 
-    At most `labelled` labels (those with the smallest hash of doc_id) are broadcast
-    to the scan of docs.  Their texts are written once; the driver gets one row of
+
+def fit(docs: DataFrame, good: DataFrame) -> Evidence:
+    """The text classifier from labels (doc_id, good), as chosen() gives them.
+
+    They are broadcast to the scan of docs.  Their texts are written once; the driver gets one row of
     features for each label, and one count for each of 2^BITS hashes of words.  Of
     rows with equal doc_id that with the least text counts.
     """
-    chosen = saved(goods(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled).select(F.col("doc_id").alias("_doc"), "good"), "labels")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc")).groupBy("doc_id", "good").agg(F.min("text").alias("text"))
+    bounded_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(good.withColumnRenamed("doc_id", "_doc")), F.col("doc_id") == F.col("_doc")).groupBy("doc_id", "good").agg(F.min("text").alias("text"))
     rows = saved(rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2))), "labelled")
     odds = _odds(rows.where("half = 0"))
 
@@ -225,9 +229,10 @@ def judged(docs: DataFrame, labels: DataFrame, host: str | Column = "source", pa
 
     The log odds of a document are its text's evidence plus how far its path's
     posterior, without the document itself, is from the global mean; keep means a
-    probability of the threshold or more.  A labelled document counts in the
-    posteriors of its sites with its label, any other with the probability of its
-    text.  Null hosts and paths are sites of their own.  Null and empty texts are
+    probability of the threshold or more.  A document with one of the labels that
+    the classifier is fitted on (`labelled` at most, those with the smallest hash of
+    doc_id) counts in the posteriors of its sites with its label, any other with the
+    probability of its text.  Null hosts and paths are sites of their own.  Null and empty texts are
     measured as texts without words, texts of any length as a whole.  Repeated rows
     are judged alike.  Without labels of both kinds texts give no evidence; an empty
     table gives no rows.  Columns of docs with the names of the results are
@@ -237,13 +242,14 @@ def judged(docs: DataFrame, labels: DataFrame, host: str | Column = "source", pa
     path = F.col(path) if isinstance(path, str) else path
     names = [c for c in docs.columns if c not in ADDED and (text or c != "text")]
     kept = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")
-    rows = docs.select(kept, F.col("doc_id").cast("long").alias("doc"), host.alias("host"), path.alias("path"), evidence(fit(docs, labels, labelled), F.col("text")).alias("e"))
-    return combined(rows, goods(labels), threshold).select("row.*", *ADDED)
+    good = chosen(labels, labelled)
+    rows = docs.select(kept, F.col("doc_id").cast("long").alias("doc"), host.alias("host"), path.alias("path"), evidence(fit(docs, good), F.col("text")).alias("e"))
+    return combined(rows, good, threshold).select("row.*", *ADDED)
 
 
 def combined(rows: DataFrame, good: DataFrame, threshold: float = KEEP) -> DataFrame:
-    """rows (row, doc, host, path, e: log odds of the text) with the results, given labels (doc_id, good). Texts are measured once: rows are written first."""
-    rows = saved(rows.join(good.withColumnRenamed("doc_id", "_doc"), F.col("doc") == F.col("_doc"), "left").drop("_doc"), "evidence")
+    """rows (row, doc, host, path, e: log odds of the text) with the results, given labels (doc_id, good) few enough to be broadcast. Texts are measured once: rows are written first."""
+    rows = saved(rows.join(F.broadcast(good.withColumnRenamed("doc_id", "_doc")), F.col("doc") == F.col("_doc"), "left").drop("_doc"), "evidence")
     own = F.coalesce(F.col("good").cast("double"), 1 / (1 + F.exp(-F.col("e"))))
     at = sites(rows.select("host", "path", own.alias("p"))).withColumnsRenamed({"host": "_host", "path": "_path"})
     at = F.broadcast(at) if at.count() <= BROADCAST_SITES else at

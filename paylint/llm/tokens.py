@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import chunks, give_back, lists
-from .storage import new_path
+from .storage import bounded_batches, new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 350_000
+CACHE = 200_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
 #: Texts are encoded in pieces of about so many bytes at a time.
@@ -179,6 +179,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, enc
     other, ordered by the hash of the text.  Texts are shuffled once, by range.
     Null texts are empty: they hold the end id alone.
     """
+    bounded_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("_h"))
     ordered = keyed.repartitionByRange("doc_id", "_h").sortWithinPartitions("doc_id", "_h")
 
