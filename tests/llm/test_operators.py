@@ -212,18 +212,6 @@ def test_pii(spark):
     assert all(got[i]["base"] == got[i]["spans"] == "" for i in (5, 6, 7, 8))
 
 
-def test_field_learns_shapes(spark):
-    rows = [(i, f"some words {i % 250}.{i % 200}.7.{i % 99} more and user{i}@mail{i % 9}.org then more words") for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    field = pii.train(docs.where("doc_id < 200"))
-    import pyarrow as pa
-
-    data, offsets = arrays.utf8(pa.array([t for i, t in rows if i >= 200]))
-    w = arrays.split(data, offsets)
-    found = list(pii._added(field, w, pii.shapes(w), 0.0))
-    assert sum(k == 0 for *_, k in found) >= 99 and sum(k == 1 for *_, k in found) >= 99 and len(found) <= 202
-
-
 def test_quality(spark):
     good = [(i, " ".join(f"w{(i * 7 + j * j) % 211}" for j in range(60)), "en", f"s{i % 3}") for i in range(80)]
     bad = [(100 + i, "BUY!! NOW!! " * 30, "en", f"s{i % 3}") for i in range(40)]
