@@ -178,8 +178,11 @@ def _travelling(docs: DataFrame, repeated, hot, window: int) -> DataFrame:
                     new[1:] = ~single[1:] | (keys[1:] != keys[:-1]) | (r[first][1:] != r[first][:-1]) | (b[begin][1:] != b[begin][:-1])
                     same = np.flatnonzero(~new)
                     new[same[~_equal_runs(w, begin[same], begin[same - 1], np.full(len(same), window))]] = True
-                    lead = np.flatnonzero(new)
-                    sizes = np.diff(np.append(lead, len(first)))
+                    # back in the order of the text, in which neighbours share words and compress well
+                    lead, sizes = np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(first)))
+                    back = np.argsort(begin[lead])
+                    places = places[np.argsort(np.argsort(back)[np.cumsum(new) - 1], kind="stable")]
+                    lead, sizes = lead[back], sizes[back]
                     first, begin, end = first[lead], begin[lead], end[lead]
                     bucket = longs(keys[lead])
                     packed = [b" ".join(data[s:e].tobytes().split()) for s, e in zip(w.start[begin].tolist(), w.end[end - 1].tolist(), strict=True)]
