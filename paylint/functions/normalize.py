@@ -40,29 +40,39 @@ def text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip(half_width(c)), " {2,}", " "), "㈜", "(주)")
 
 
-def _number(c: Column) -> Column:
-    return F.when(c.rlike(r"^[0-9]+(\.[0-9]*)?$|^\.[0-9]+$"), c.cast("decimal(30,8)"))
+def _part(c: Column, unit: str, scale: int) -> tuple[Column, Column]:
+    """What stands before a unit, scaled (a bare unit counts one; null if it is no number), and what comes after it."""
+    there, x = c.contains(unit), F.substring_index(c, unit, 1)
+    value = F.when(~there, F.lit(0)).when(x == "", F.lit(scale)).otherwise(x.try_cast("decimal(30,8)") * scale)
+    return value, F.when(there, F.substring_index(c, unit, -1)).otherwise(c)
 
 
-def _small(seg: Column) -> Column:
-    """A segment below ten thousand: digits with the units 천, 백, 십 (a bare unit counts one); null if it is neither."""
-    form = r"^(?:([0-9.]*)천)?(?:([0-9.]*)백)?(?:([0-9.]*)십)?([0-9.]*)$"
+def _small(c: Column) -> Column:
+    """A segment below ten thousand: a number, or numbers before 천, 백, 십; null if there is none."""
 
-    def part(i: int, unit: str, scale: int) -> Column:
-        x = F.regexp_extract(seg, form, i)
-        return F.when(~seg.contains(unit), F.lit(0)).when(x == "", F.lit(scale)).otherwise(_number(x) * scale)
+    def added(seg: Column) -> Column:
+        total, rest = F.lit(0), seg
+        for unit, scale in (("천", 1000), ("백", 100), ("십", 10)):
+            value, rest = _part(rest, unit, scale)
+            total = total + value
+        return total + F.when(rest == "", F.lit(0)).otherwise(rest.try_cast("decimal(30,8)"))
 
-    rest = F.regexp_extract(seg, form, 4)
-    return F.when(seg.rlike(form), part(1, "천", 1000) + part(2, "백", 100) + part(3, "십", 10) + F.when(rest == "", F.lit(0)).otherwise(_number(rest)))
+    return F.when(c.rlike("[천백십]"), let(c, added)).otherwise(c.try_cast("decimal(30,8)"))
 
 
 #: What a unit in a column's header multiplies plain numbers by.
 UNITS = {"억": 10**8, "만": 10**4, "천": 10**3}
-_PLAIN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
+#: Numbers as they may stand alone, without commas and spaces.
+_PLAIN = r"^[+-]?([0-9]+(_[0-9]+)*\.?([0-9]+(_[0-9]+)*)?|\.[0-9]+(_[0-9]+)*)([eE][+-]?[0-9]+)?$"
+_UNITED = r"^([0-9.천백십]+억)?([0-9.천백십]+만)?([0-9.천백십]*|[+-][0-9.]+)원?$"
 
 
 def _money(c: Column) -> Column:
-    return F.regexp_replace(F.translate(strip(half_width(c)), "，．￦", ",.₩"), r"[₩\\,\s]|KRW", "")
+    return strip(F.regexp_replace(F.translate(strip(c), "０１２３４５６７８９，．", "0123456789,."), r"[₩\\]|KRW", ""))
+
+
+def _bare(t: Column) -> Column:
+    return F.translate(t, ", ", "")
 
 
 def _scale(unit: str | None) -> int | None:
@@ -73,35 +83,51 @@ def amount(c: Column, unit: str | None = None) -> Column:
     """A whole amount of money as DECIMAL(20,0), null if the text is none: 1,000,000  ₩5,000  5천만원  1억 2천만  1.5억  -500.
 
     unit: that of the column's header (억, 만 or 천, with or without 원); it scales plain numbers.
+    Cells of digits alone are cast without any further look.
     """
     scale = _scale(unit)
-    if scale is None:
-        return let(_money(c), _amount)
     whole = lambda x: F.when(x == F.floor(x), x).try_cast("decimal(20,0)")
-    return let(_money(c), lambda t: F.when(t.rlike(_PLAIN), let(t.try_cast("decimal(28,8)") * scale, whole)).otherwise(_amount(t)))
+    number = lambda t: F.translate(_bare(t), "_", "").try_cast("decimal(30,8)")
+
+    def read(t: Column) -> Column:
+        plain = _bare(t).rlike(_PLAIN)
+        if scale is not None:
+            return F.when(plain, let(number(t) * scale, whole)).otherwise(_united(t))
+        return F.when(plain, let(number(t), whole)).otherwise(_united(t))
+
+    if scale is not None:
+        return let(_money(c), read)
+    return F.when(c.rlike("^[0-9]{1,18}$"), c.try_cast("decimal(20,0)")).otherwise(let(_money(c), read))
 
 
 def amount_certain(c: Column, unit: str | None = None) -> Column:
     """False for plain numbers that the header's unit scales."""
-    return F.lit(True) if _scale(unit) is None else ~_money(c).rlike(_PLAIN)
+    return F.lit(True) if _scale(unit) is None else ~_bare(_money(c)).rlike(_PLAIN)
+
 
+def _united(text: Column) -> Column:
+    """Amounts with 억, 만, 천, 백, 십 or 원; nothing is zero but what begins with 0."""
 
-def _amount(t: Column) -> Column:
-    form = r"^(-?)(?:([0-9.천백십]*)억)?(?:([0-9.천백십]*)만)?([0-9.천백십]*)원?$"
+    def total(t: Column) -> Column:
+        bare = F.regexp_replace(t, "원$", "")
+        eok, rest = F.when(bare.contains("억"), F.substring_index(bare, "억", 1)), F.substring_index(bare, "억", -1)
+        man, rest = F.when(rest.contains("만"), F.substring_index(rest, "만", 1)), F.substring_index(rest, "만", -1)
+        zero = F.lit(0).cast("decimal(30,8)")
+        add = lambda there, seg, scale: F.when(there, _small(seg) * scale).otherwise(zero)
+        return add(eok.isNotNull(), eok, 10**8) + add(man.isNotNull(), man, 10**4) + add(rest != "", rest, 1)
 
-    def part(i: int, unit: str | None, scale: int) -> Column:
-        x = F.regexp_extract(t, form, i)
-        if unit is None:
-            return F.when(x == "", F.lit(0)).otherwise(let(x, _small))
-        return F.when(~t.contains(unit), F.lit(0)).when(x == "", F.lit(scale)).otherwise(let(x, _small) * scale)
+    def signed(t: Column) -> Column:
+        return let(total(t), lambda x: F.when(((x != 0) | t.startswith("0")) & (x == F.floor(x)), x).try_cast("decimal(20,0)"))
 
-    total = part(2, "억", 10**8) + part(3, "만", 10**4) + part(4, None, 1)
+    return let(F.regexp_replace(text, r"[,_\s]", ""), lambda t: F.when(t.rlike(_UNITED) & t.rlike("[억만천백십원]"), signed(t)))
 
-    def signed(whole: Column) -> Column:
-        shown = (whole != 0) | F.regexp_replace(t, "^-", "").startswith("0")
-        return F.when(shown & (whole == F.floor(whole)), F.when(t.startswith("-"), -whole).otherwise(whole)).cast("decimal(20,0)")
 
-    return let(F.when(t.rlike(form) & t.rlike("[0-9억만천백십]"), total), signed)
+_SHORT = r"^([0-9]{2})[-./]([0-9]{1,2})[-./]([0-9]{1,2})$"
+
+
+def _made(t: Column, form: str, to: str) -> Column:
+    """The date that the groups of a layout make, null if the text isn't in it or the day doesn't exist."""
+    return F.when(t.rlike(form), F.regexp_replace(t, form, to).try_cast("date"))
 
 
 def date(c: Column, period: tuple[str, str] | None = None) -> Column:
@@ -110,37 +136,43 @@ def date(c: Column, period: tuple[str, str] | None = None) -> Column:
     Two digits are a year from 2000 on; such a day is certain within the period, and
     outside it if month and day don't make another day the other way round.
     """
-    return let(strip(c), lambda t: _date(t, period))
-
-
-_SHORT = r"^([0-9]{2})[-./]([0-9]{1,2})[-./]([0-9]{1,2})$"
-
+    sure = lambda day, certain: F.struct(day.alias("value"), (day.isNotNull() & certain).alias("certain"))
+    return F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), sure(c.try_cast("date"), F.lit(True))).otherwise(let(strip(c), lambda t: _date(t, period, sure)))
+
+
+def _date(t: Column, period: tuple[str, str] | None, sure) -> Column:
+    ymd = "$1-$2-$3"
+    fifth = F.substring(t, 5, 1)
+    # the fifth character tells which layouts can fit
+    year_first = (
+        F.when(fifth == "-", _made(t, r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})([ T][0-9]{2}:[0-9]{2}.*)?$", ymd))
+        .when(fifth.isin(".", "/"), _made(t, r"^([0-9]{4})[./]\s*([0-9]{1,2})[./]\s*([0-9]{1,2})\.?$", ymd))
+        .when(fifth == "년", _made(t, r"^([0-9]{4})년\s*([0-9]{1,2})월\s*([0-9]{1,2})일?$", ymd))
+        .otherwise(F.coalesce(_made(t, r"^([0-9]{4})([0-9]{2})([0-9]{2})$", ymd), F.when(t.rlike("^0*[3-6][0-9]{4}$") & t.try_cast("int").between(30000, 60000), F.date_add(F.lit("1899-12-30").cast("date"), t.try_cast("int")))))
+    )
+    slash = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
+    month_first, day_first = _made(t, slash, "$3-$1-$2"), _made(t, slash, "$3-$2-$1")
+    a, b = (F.substring_index(F.substring_index(t, "/", i), "/", -1).try_cast("int") for i in (1, 2))
+    one = F.coalesce(a.between(1, 12) != b.between(1, 12), F.lit(False))
+    short, swapped = _made(t, _SHORT, "20$1-$2-$3"), _made(t, _SHORT, "20$1-$3-$2")
+    within = short.between(*(F.lit(x).cast("date") for x in period)) if period else F.lit(False)
+    return (
+        F.when(t.rlike(slash), sure(F.coalesce(month_first, day_first), one))
+        .when(t.rlike(_SHORT), sure(short, within | F.coalesce(swapped == short, F.lit(True))))
+        .otherwise(sure(year_first, F.lit(True)))
+    )
 
-def short_year(c: Column) -> Column:
-    return strip(c).rlike(_SHORT)
 
+def simple_date(c: Column) -> Column:
+    """STRUCT<value DATE, ambiguous BOOLEAN> by the older list of layouts: two-digit months and days, month first between slashes; two-digit years are ambiguous."""
 
-def _date(t: Column, period: tuple[str, str] | None) -> Column:
-    def made(form: str, y: int, m: int, d: int, century: str = "") -> Column:
-        g = lambda i: F.regexp_extract(t, form, i)
-        return F.when(t.rlike(form), F.try_to_date(F.concat_ws("-", F.concat(F.lit(century), g(y)), F.lpad(g(m), 2, "0"), F.lpad(g(d), 2, "0")), "yyyy-MM-dd"))
+    def read(t: Column) -> Column:
+        ymd = "$1-$2-$3"
+        forms = [r"^([0-9]{4})-([0-9]{2})-([0-9]{2})([ T][0-9]{2}:[0-9]{2}.*)?$", "^([0-9]{4})([0-9]{2})([0-9]{2})$", r"^([0-9]{4})\.([0-9]{2})\.([0-9]{2})$", "^([0-9]{4})/([0-9]{2})/([0-9]{2})$"]
+        day = F.coalesce(*(_made(t, f, ymd) for f in forms), _made(t, "^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$", "$3-$1-$2"))
+        return F.struct(day.alias("value"), t.rlike("^[0-9]{2}[-./][0-9]{2}[-./][0-9]{2}$").alias("ambiguous"))
 
-    iso = F.coalesce(
-        made(r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", 1, 2, 3),
-        made(r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[ T][0-9]{1,2}:[0-9]{2}.*$", 1, 2, 3),
-        made(r"^([0-9]{4})[./] ?([0-9]{1,2})[./] ?([0-9]{1,2})\.?$", 1, 2, 3),
-        made(r"^([0-9]{4})([0-9]{2})([0-9]{2})$", 1, 2, 3),
-        made(r"^([0-9]{4})년 *([0-9]{1,2})월 *([0-9]{1,2})일?$", 1, 2, 3),
-        F.when(t.rlike("^[3-6][0-9]{4}$") & t.cast("int").between(30000, 60000), F.date_add(F.lit("1899-12-30").cast("date"), t.cast("int"))),
-    )
-    slash = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})$"
-    month_first, day_first = made(slash, 3, 1, 2), made(slash, 3, 2, 1)
-    a, b = (F.regexp_extract(t, slash, i).try_cast("int") for i in (1, 2))
-    one = a.between(1, 12) != b.between(1, 12)
-    short, swapped = made(_SHORT, 1, 2, 3, "20"), made(_SHORT, 1, 3, 2, "20")
-    within = short.between(*(F.lit(x).cast("date") for x in period)) if period else F.lit(False)
-    sure = F.coalesce(one, F.lit(False)) | (short.isNotNull() & (within | F.coalesce(swapped == short, F.lit(True))))
-    return let(iso, lambda i: let(F.coalesce(i, short, month_first, day_first), lambda v: F.struct(v.alias("value"), (v.isNotNull() & (i.isNotNull() | sure)).alias("certain"))))
+    return let(strip(c), read)
 
 
 def digits(c: Column) -> Column:

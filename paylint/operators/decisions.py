@@ -65,7 +65,7 @@ def valid_edits(edits: DataFrame, issues: DataFrame) -> DataFrame:
     """
     typed = N.strip(F.col("typed"))
     rule = F.col("rule_id")
-    read = F.when(rule.startswith("AMOUNT"), N.amount(typed).cast("string")).when((rule == "DATE_FORMAT") & N.short_year(typed), F.lit(None)).when(rule.startswith("DATE"), N.date(typed)["value"].cast("string")).when(rule.startswith("BIZNO"), F.when(N.check_digit_ok(typed), N.business_number(typed))).otherwise(typed)
+    read = F.when(rule.startswith("AMOUNT"), N.amount(typed).cast("string")).when(rule == "DATE_FORMAT", N.simple_date(typed)["value"].cast("string")).when(rule.startswith("DATE"), N.date(typed)["value"].cast("string")).when(rule.startswith("BIZNO"), F.when(N.check_digit_ok(typed), N.business_number(typed))).otherwise(typed)
     rows = issues.join(edits.select("issue_id", F.col("value").alias("typed")), "issue_id")
     empty = F.coalesce(typed, F.lit("")) == ""
     out = rows.withColumn("stored", F.when(~empty, read)).withColumn("error", F.when(empty, "empty").when(F.col("stored").isNull(), "unreadable"))

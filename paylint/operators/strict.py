@@ -28,13 +28,12 @@ def business_number(c: str) -> list[Column]:
 
 
 def date_format(c: str) -> list[Column]:
-    """On df from cells.parsed(): a date that cannot be read, or in two ways, or with a two-digit year, is to be approved; one in another layout is rewritten."""
-    cell, read = N.strip(F.col(f"`{c}`")), F.col(f"_date_{c}")
+    """A date that the older list of layouts cannot read, or with a two-digit year, is to be approved; one in another layout than ISO is rewritten."""
+    cell, read = N.strip(F.col(f"`{c}`")), N.simple_date(F.col(f"`{c}`"))
     value, there = read["value"].cast("string"), ~F.lower(cell).isin(NO_DATE)
-    clear = read["certain"] & ~N.short_year(cell)
     return [
-        issue(c, "DATE_FORMAT", "approval", there & (value.isNull() | ~clear)),
-        issue(c, "DATE_FORMAT", "auto", there & clear & (value != cell), suggestion=value),
+        issue(c, "DATE_FORMAT", "approval", there & value.isNull()),
+        issue(c, "DATE_FORMAT", "auto", there & (value != cell), suggestion=value),
     ]
 
 

@@ -19,8 +19,7 @@ def c13_strict_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c17_date_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = cells.parsed(payments(spark, sf_dir), dates=["지원일자"])
-    return cells.collected(df, strict.date_format("지원일자")).select("_file", "_row", "tier", "value", "suggestion")
+    return cells.collected(payments(spark, sf_dir), strict.date_format("지원일자")).select("_file", "_row", "tier", "value", "suggestion")
 
 
 def c_short_years_and_units(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +61,7 @@ def oracle_sql() -> dict[str, str]:
         + f""", v AS (SELECT *, coalesce({_RIGHT.replace('CAST(', 'TRY_CAST(')}, FALSE) AS ok FROM keys)
 SELECT _file, _row, CASE WHEN ok THEN 'auto' ELSE 'approval' END AS tier, "사업자번호" AS value, CASE WHEN ok THEN company END AS suggestion FROM v WHERE NOT ok OR company <> "사업자번호" """,
         "c17_date_format": _PAY
-        + """, d AS (SELECT *, o6 = 5 AND CAST(substr(true_day, 9, 2) AS INT) <= 12 AS two FROM keys)
-SELECT _file, _row, CASE WHEN two THEN 'approval' ELSE 'auto' END AS tier, "지원일자" AS value, CASE WHEN NOT two THEN true_day END AS suggestion FROM d WHERE o6 <> 0""",
+        + """SELECT _file, _row, CASE WHEN o6 = 3 THEN 'approval' ELSE 'auto' END AS tier, "지원일자" AS value, CASE WHEN o6 <> 3 THEN true_day END AS suggestion FROM keys WHERE o6 <> 0""",
         "c_short_years_and_units": _PAY
         + """, m AS (SELECT *, CASE _row % 3 WHEN 0 THEN '-' WHEN 1 THEN '.' ELSE '/' END AS sep, '20' || substr(true_day, 3) AS day, (_row - 2) % 5 AS o5 FROM keys),
 s AS (SELECT *, substr(day, 3, 2) || sep || substr(day, 6, 2) || sep || substr(day, 9, 2) AS d, day BETWEEN '2093-01-01' AND '2094-12-31' AS inside FROM m)

@@ -26,7 +26,7 @@ def test_near_payments_of_short_years(spark):
 
 def test_strict_dates_ask_for_short_years(spark):
     df = spark.createDataFrame([("f", "s", 2, "24.03.15"), ("f", "s", 3, "2024.03.15")], "_file string, _sheet string, _row long, x string")
-    found = cells.collected(cells.parsed(df, dates=["x"]), strict.date_format("x"))
+    found = cells.collected(df, strict.date_format("x"))
     assert sorted((r["_row"], r["tier"], r["suggestion"]) for r in found.collect()) == [(2, "approval", None), (3, "auto", "2024-03-15")]
     edits = found.where("_row = 2").select("issue_id", F.lit("24.03.15").alias("value"))
     assert [r["error"] for r in decisions.valid_edits(edits, found).collect()] == ["unreadable"]
