@@ -16,9 +16,13 @@ def let(c: Column, f) -> Column:
     return F.transform(F.array(c), f)[0]
 
 
+#: The characters that Unicode calls white space.
+_SPACES = list(map(chr, [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end; cells that have none there are passed on as they are."""
+    return F.when(F.substring(c, 1, 1).isin(_SPACES) | F.substring(c, -1, 1).isin(_SPACES), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
 def is_blank(c: Column) -> Column:

@@ -27,34 +27,43 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.withColumn("issue_id", F.substring(F.sha2(key, 256), 1, 16))
 
 
+def _is_blank(df: DataFrame | None, c: str) -> Column:
+    """Whether a cell is blank, as parsed() has worked it out for df, if it has."""
+    return F.col(f"`_blank_{c}`") if df is not None and f"_blank_{c}" in df.columns else N.is_blank(F.col(f"`{c}`"))
+
+
 def blank(df: DataFrame, columns: list[str], required: list[str]) -> list[Column]:
-    empty = N.is_blank(F.col(f"`{columns[0]}`"))
+    empty = _is_blank(df, columns[0])
     for c in columns[1:]:
-        empty = empty & N.is_blank(F.col(f"`{c}`"))
+        empty = empty & _is_blank(df, c)
     out = [issue(columns[0], "BLANK", "auto", empty, F.lit("(빈 행)"))]
     for c in columns:
-        cell, squeezed = F.col(f"`{c}`"), N.squeeze(F.col(f"`{c}`"))
-        missing = ~empty & N.is_blank(cell)
+        squeezed = F.col(f"`_squeezed_{c}`") if f"_squeezed_{c}" in df.columns else N.squeeze(F.col(f"`{c}`"))
         if c in required:
-            out.append(issue(c, "BLANK", "request", missing))
-        changed = ~empty & squeezed.isNotNull() & (~N.is_blank(cell) if c in required else F.lit(True))
+            out.append(issue(c, "BLANK", "request", _is_blank(df, c) & ~empty))
+        changed = squeezed.isNotNull() & (~_is_blank(df, c) if c in required else F.lit(True)) & ~empty
         out.append(issue(c, "BLANK", "auto", changed, suggestion=squeezed))
     return out
 
 
-def parsed(df: DataFrame, amounts: list[str] = (), dates: list[str] = (), units: dict[str, str] | None = None, periods: dict[str, tuple[str, str]] | None = None) -> DataFrame:
-    """df with the normalised values that amount() and date() look at, each worked out once for a row.
+def parsed(df: DataFrame, amounts: list[str] = (), dates: list[str] = (), units: dict[str, str] | None = None, periods: dict[str, tuple[str, str]] | None = None, blanks: list[str] = (), numbers: list[str] = ()) -> DataFrame:
+    """df with the normalised values that the checks look at, each worked out once for a row.
 
     units: the unit in the header of a column of amounts.  periods: first and last day of a column of dates.
+    blanks: columns whose blank cells and white space are looked at.  numbers: columns of business numbers.
     """
     units, periods = units or {}, periods or {}
-    money = {f"_amount_{c}": N.amount(F.col(f"`{c}`"), units.get(c)) for c in amounts} | {f"_certain_{c}": N.amount_certain(F.col(f"`{c}`"), units.get(c)) for c in amounts}
-    return df.withColumns(money | {f"_date_{c}": N.date(F.col(f"`{c}`"), periods.get(c)) for c in dates})
+    cell = lambda c: F.col(f"`{c}`")
+    new = {f"_amount_{c}": N.amount(cell(c), units.get(c)) for c in amounts} | {f"_certain_{c}": N.amount_certain(cell(c), units.get(c)) for c in amounts}
+    new |= {f"_date_{c}": N.date(cell(c), periods.get(c)) for c in dates}
+    new |= {f"_blank_{c}": N.is_blank(cell(c)) for c in dict.fromkeys([*blanks, *amounts, *dates, *numbers])} | {f"_squeezed_{c}": N.squeeze(cell(c)) for c in blanks}
+    return df.withColumns(new | {f"_number_{c}": F.struct(N.business_number(cell(c)).alias("canonical"), N.check_digit_ok(cell(c)).alias("ok")) for c in numbers})
 
 
-def amount(c: str) -> list[Column]:
+def amount(c: str, df: DataFrame | None = None) -> list[Column]:
+    """On df from parsed()."""
     cell = F.col(f"`{c}`")
-    value, there = F.col(f"_amount_{c}"), ~N.is_blank(cell)
+    value, there = F.col(f"_amount_{c}"), ~_is_blank(df, c)
     changed, certain = there & (value.cast("string") != cell), F.col(f"_certain_{c}")
     return [
         issue(c, "AMOUNT_NORMALIZE", "approval", there & value.isNull()),
@@ -63,24 +72,27 @@ def amount(c: str) -> list[Column]:
     ]
 
 
-def date(c: str, lo: str | None = None, hi: str | None = None) -> list[Column]:
+def date(c: str, lo: str | None = None, hi: str | None = None, df: DataFrame | None = None) -> list[Column]:
+    """On df from parsed()."""
     cell = F.col(f"`{c}`")
-    parsed, there = F.col(f"_date_{c}"), ~N.is_blank(cell)
-    value = parsed["value"].cast("string")
+    read, there = F.col(f"_date_{c}"), ~_is_blank(df, c)
+    value = read["value"].cast("string")
     changed = there & (value != cell)
     out = [
         issue(c, "DATE_NORMALIZE", "request", there & value.isNull()),
-        issue(c, "DATE_NORMALIZE", "auto", changed & parsed["certain"], suggestion=value),
-        issue(c, "DATE_NORMALIZE", "approval", changed & ~parsed["certain"], suggestion=value),
+        issue(c, "DATE_NORMALIZE", "auto", changed & read["certain"], suggestion=value),
+        issue(c, "DATE_NORMALIZE", "approval", changed & ~read["certain"], suggestion=value),
     ]
     if lo and hi:
-        out.append(issue(c, "DATE_OUT_OF_RANGE", "request", there & ~parsed["value"].between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), value))
+        out.append(issue(c, "DATE_OUT_OF_RANGE", "request", there & ~read["value"].between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), value))
     return out
 
 
-def business_number(c: str) -> list[Column]:
+def business_number(c: str, df: DataFrame | None = None) -> list[Column]:
     cell = F.col(f"`{c}`")
-    there, canonical, ok = ~N.is_blank(cell), N.business_number(cell), N.check_digit_ok(cell)
+    ready = df is not None and f"_number_{c}" in df.columns
+    there = ~_is_blank(df, c)
+    canonical, ok = (F.col(f"`_number_{c}`")["canonical"], F.col(f"`_number_{c}`")["ok"]) if ready else (N.business_number(cell), N.check_digit_ok(cell))
     return [
         issue(c, "BIZNO_FORMAT", "request", there & canonical.isNull()),
         issue(c, "BIZNO_VERIFY", "auto", there & (canonical != cell), suggestion=canonical),

@@ -40,9 +40,9 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = payments(spark, sf_dir)
-    found = [*cells.blank(df, COLUMNS, COLUMNS), *cells.amount("지원금액"), *cells.date("지원일자", "1993-01-01", "1996-12-31"), *cells.business_number("사업자번호")]
-    return cells.collected(cells.parsed(df, ["지원금액"], ["지원일자"], periods={"지원일자": ("1993-01-01", "1996-12-31")}), found)
+    period = ("1993-01-01", "1996-12-31")
+    df = cells.parsed(payments(spark, sf_dir), ["지원금액"], ["지원일자"], periods={"지원일자": period}, blanks=COLUMNS, numbers=["사업자번호"])
+    return cells.collected(df, [*cells.blank(df, COLUMNS, COLUMNS), *cells.amount("지원금액", df), *cells.date("지원일자", *period, df), *cells.business_number("사업자번호", df)])
 
 
 def g3_sum_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
