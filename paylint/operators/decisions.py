@@ -57,6 +57,27 @@ def changes(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     return found.select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by", "step")
 
 
+def fingerprint(decisions: DataFrame) -> DataFrame:
+    """(basis): twelve hex digits that change with the operators' decisions; those of the system don't count.
+
+    Decisions are hashed one by one and the hashes summed, so none are gathered.
+    """
+    said = F.to_json(F.struct("issue_id", "action", F.coalesce("value", F.lit("")).alias("value")))
+    total = F.sum(F.conv(F.substring(F.md5(said), 1, 15), 16, 10).cast("decimal(38,0)"))
+    return decisions.where("decided_by = 'operator'").agg(F.substring(F.sha1(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.coalesce(total, F.lit(0)).cast("string"))), 1, 12).alias("basis"))
+
+
+def is_stale(basis: str | None, decisions: DataFrame) -> bool:
+    """Whether operators have decided otherwise since group rules ran on the given basis; without one nothing is stale."""
+    return basis is not None and fingerprint(decisions).first()["basis"] != basis
+
+
+def rechecked(issues_of, cleaned_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The issues that remain when the checks run again on cleaned rows, and a row (passed, remaining)."""
+    remaining = issues_of(cleaned_rows)
+    return remaining, remaining.agg((F.count(F.lit(1)) == 0).alias("passed"), F.count(F.lit(1)).alias("remaining"))
+
+
 def valid_edits(edits: DataFrame, issues: DataFrame) -> DataFrame:
     """(issue_id, cell, rule_id, stored, error) for each edit (issue_id, value) of an issue.
 

@@ -20,6 +20,59 @@ def blank_listed(columns: list[str]) -> list[Column]:
     return [issue(c, "BLANK", "request", N.is_blank(F.col(f"`{c}`"))) for c in columns]
 
 
+def required(columns: list[str]) -> list[Column]:
+    """A request for each cell that is empty or says nan or none."""
+    return [issue(c, "REQUIRED", "request", F.coalesce(F.lower(N.strip(F.col(f"`{c}`"))), F.lit("")).isin("", "nan", "none"), F.lit("(공백)")) for c in columns]
+
+
+def iso_date_range(c: str, lo: str, hi: str) -> list[Column]:
+    """A request for each ISO date (with or without dashes) outside the range; other cells are not looked at."""
+    cell = N.strip(F.col(f"`{c}`"))
+    day = F.when(cell.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), cell.try_cast("date")).when(cell.rlike("^[0-9]{8}$"), F.regexp_replace(cell, "^(....)(..)(..)$", "$1-$2-$3").try_cast("date"))
+    return [issue(c, "DATE_RANGE", "request", ~day.between(F.lit(lo).cast("date"), F.lit(hi).cast("date")), cell)]
+
+
+#: JSON types of a schema and the variant types that satisfy them.
+JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL\\(.*\\)|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>", "null": "VOID"}
+
+
+def _violations(v: Column, schema: dict, at: str) -> list[Column]:
+    value = F.try_variant_get(v, at, "variant")
+    there, out = value.isNotNull(), []
+    kind = F.schema_of_variant(value)
+    if "type" in schema:
+        out.append(F.when(there & ~kind.rlike(f"(?s)^{JSON_TYPES[schema['type']]}$"), F.lit(f"{at}: not {schema['type']}")))
+    if "enum" in schema:
+        out.append(F.when(there & ~F.coalesce(F.try_variant_get(v, at, "string").isin([str(x) for x in schema["enum"]]), F.lit(False)), F.lit(f"{at}: not in enum")))
+    number = F.try_variant_get(v, at, "double")
+    numeric = there & kind.rlike(f"^{JSON_TYPES['number']}$")
+    if "minimum" in schema:
+        out.append(F.when(numeric & (number < schema["minimum"]), F.lit(f"{at}: below minimum")))
+    if "maximum" in schema:
+        out.append(F.when(numeric & (number > schema["maximum"]), F.lit(f"{at}: above maximum")))
+    if "pattern" in schema:
+        out.append(F.when(there & (kind == "STRING") & ~F.try_variant_get(v, at, "string").rlike(schema["pattern"]), F.lit(f"{at}: does not fit the pattern")))
+    is_object = there & kind.startswith("OBJECT<")
+    for name in schema.get("required", []):
+        out.append(F.when(is_object & F.try_variant_get(v, f"{at}['{name}']", "variant").isNull(), F.lit(f"{at}: {name} is missing")))
+    for name, inner in schema.get("properties", {}).items():
+        out += [F.when(is_object, c) for c in _violations(v, inner, f"{at}['{name}']")]
+    return out
+
+
+def json_violation(text: Column, schema: dict) -> Column:
+    """``not JSON``, or the first violation of a schema (type, enum, minimum, maximum, pattern, required, properties), or null; blank texts have none."""
+    v = F.try_parse_json(text)
+    first = F.coalesce(*(_violations(v, schema, "$") or [F.lit(None).cast("string")]))
+    return F.when(N.strip(text) != "", F.when(v.isNull(), F.lit("not JSON")).otherwise(first))
+
+
+def json_schema(df: DataFrame, c: str, schema: dict) -> DataFrame:
+    """Issues (_file, _sheet, _row, column, rule_id, tier, value, message) for cells that are no JSON or break the schema, to be approved."""
+    found = df.select("_file", "_sheet", "_row", F.col(f"`{c}`").alias("value"), json_violation(F.col(f"`{c}`"), schema).alias("message")).where("message is not null")
+    return found.select("_file", "_sheet", "_row", F.lit(c).alias("column"), F.lit("JSON_SCHEMA").alias("rule_id"), F.lit("approval").alias("tier"), "value", "message")
+
+
 def business_number(c: str) -> list[Column]:
     """A number without ten digits or with a wrong check digit is to be approved; a right one in another layout is rewritten."""
     cell = N.strip(F.col(f"`{c}`"))
