@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
+from paylint.operators.drafts import key_text
 from paylint.operators.graph import components
 from paylint.sources.tables import saved
 
@@ -44,6 +45,16 @@ def members(df: DataFrame, found: DataFrame, group_by: list[str], period: str =
     return prepared(df, programs).join(groups, on, "left_semi")
 
 
+def group_cells(df: DataFrame, found: DataFrame, group_by: list[str], rule_id: str, metric: Column, period: str = "year", programs: list[str] | None = None) -> DataFrame:
+    """(group_id, rule_id, metric, key, _file, _sheet, _row): the payments of the groups that max_count or sum_limit found; key names the group, with the number masked."""
+    keys = _keys(group_by, period)
+    groups = found.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), metric.alias("metric"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    named = F.concat_ws("|", F.lit(rule_id), *(F.coalesce(F.col(k), F.lit("")) for k in keys))
+    shown = {k: F.col(k) for k in keys}
+    return prepared(df, programs).join(groups, on).select(F.substring(F.sha2(named, 256), 1, 16).alias("group_id"), F.lit(rule_id).alias("rule_id"), "metric", key_text(shown).alias("key"), "_file", "_sheet", "_row")
+
+
 def payment_limit(df: DataFrame, most: int, programs: list[str] | None = None) -> DataFrame:
     return prepared(df, programs).where(F.col("amount") > most)
 
@@ -111,7 +122,7 @@ def under_scopes(df: DataFrame, group_by: list[str], limits: dict[str, int], per
     return out
 
 
-def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, programs: list[str] | None = None) -> DataFrame:
+def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, programs: list[str] | None = None, tol_pct: float = 0.0) -> DataFrame:
     """As near_payments, but an unreadable day or amount fits every other: (group, n_rows, first_day, last_day, several_files) of each component of two rows or more.
 
     Payments of equal group, day and amount count as one point.  Points of one amount
@@ -119,14 +130,77 @@ def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, progr
     fit: an amount-less point to the chains of the points next to it in time, a
     day-less one to all chains of its amount, and day-less and amount-less ones to
     the first of the other kind in their group.  No pairs are compared.
+
+    tol_pct: amounts fit that differ by so many percent of the larger at most (below
+    100); zero fits zero alone.  Points are then chained by _similar().
+    """
+    rows, points = _near_points(df, group_by, days, programs, tol_pct)
+    g = [f"_g{i}" for i in range(len(group_by))]
+    sums = points.groupBy("label", *g).agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.min("lo") != F.max("hi")).alias("several_files"))
+    return sums.where("n_rows > 1").select(*(F.col(a).alias(k) for k, a in zip(group_by, g, strict=True)), "n_rows", "first_day", "last_day", "several_files")
+
+
+def near_payment_rows(df: DataFrame, group_by: list[str], columns: list[str], days: int = 30, programs: list[str] | None = None, tol_pct: float = 0.0) -> DataFrame:
+    """(group_id, kind, n_rows, _file, _sheet, _row) of the payments in the groups of near_payments_open().
+
+    kind: several_files, same_rows if every row has another with equal values in all
+    of the columns, else double.
     """
+    rows, points = _near_points(df, group_by, days, programs, tol_pct)
     g = [f"_g{i}" for i in range(len(group_by))]
-    rows = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", "_file")
+    point = points.select("label", *(F.col(c).alias(f"_p{c}") for c in [*g, "amount", "day"]))
+    labelled = rows.join(point, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in [*g, "amount", "day"]]).select("label", "_file", "_sheet", "_row")
+    whole = df.select("_file", "_sheet", "_row", F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("_same"))
+    labelled = saved(labelled.join(whole, ["_file", "_sheet", "_row"]))
+    equal = labelled.groupBy("label", "_same").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi"))
+    groups = equal.groupBy("label").agg(F.sum("n").alias("n_rows"), F.min("n").alias("least"), (F.min("lo") != F.max("hi")).alias("several")).where("n_rows > 1")
+    kind = F.when(F.col("several"), "several_files").when(F.col("least") > 1, "same_rows").otherwise("double")
+    return labelled.join(groups.withColumn("kind", kind), "label").select(F.substring(F.sha2("label", 256), 1, 16).alias("group_id"), "kind", "n_rows", "_file", "_sheet", "_row")
+
+
+def _band(amount: Column, tol_pct: float) -> Column:
+    """Bands of amounts a hair narrower than the tolerance, so that rounding cannot put unlike amounts into one; like ones are two bands apart at most."""
+    size = -F.log(F.lit(1 - tol_pct / 100))
+    return F.when(amount == 0, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs(amount).cast("double")) / size * 1.000001))
+
+
+def _fits(p: str, q: str, tol_pct: float) -> str:
+    return f"abs({p} - {q}) * 100 <= {tol_pct} * greatest(abs({p}), abs({q}))"
+
+
+def _similar(dated: DataFrame, g: list[str], days: int, tol_pct: float) -> DataFrame:
+    """(_g..., amount, day, unit) for points (_g..., amount, day): points of a group share a unit if steps of at most `days` and tol_pct link them.
+
+    Points lie in cells of days + 1 days and of amounts that differ by less than the
+    tolerance, so all of a cell are linked.  Between neighbouring cells only the
+    smallest and the largest amount of each day are compared: they link if any do.
+    """
+    band = _band(F.col("amount"), tol_pct)
+    cells = dated.withColumns({"_sign": F.signum("amount").cast("int"), "_band": band, "_time": F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / (days + 1))})
+    cell = [*g, "_sign", "_band", "_time"]
+    cells = saved(cells.withColumn("cell", F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})))
+    edges = cells.groupBy("cell", *cell, "day").agg(F.min(F.abs("amount")).alias("lo"), F.max(F.abs("amount")).alias("hi"))
+    moves = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(t).alias("t")) for b in (-2, -1, 0, 1, 2) for t in (0, 1) if t or b > 0))
+    x = edges.withColumn("_m", F.explode(moves)).select(*(F.col(c).alias(f"x{c}") for c in g), F.col("cell").alias("a"), F.col("_sign").alias("xs"), (F.col("_band") + F.col("_m.b")).alias("xb"), (F.col("_time") + F.col("_m.t")).alias("xt"), F.col("day").alias("xday"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
+    on = " and ".join([*(f"x{c} <=> {c}" for c in g), "xs = _sign", "xb = _band", "xt = _time"])
+    fits = lambda p, q: _fits(p, q, tol_pct)
+    near = x.join(edges, F.expr(on)).where(f"a != cell and abs(datediff(day, xday)) <= {days} and (({fits('xlo', 'hi')}) or ({fits('xhi', 'lo')}) or ({fits('xlo', 'lo')}) or ({fits('xhi', 'hi')}))")
+    found = components(near.select("a", F.col("cell").alias("b")).distinct())
+    return cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").select(*dated.columns, F.coalesce("label", "cell").alias("unit"))
+
+
+def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[str] | None, tol_pct: float) -> tuple[DataFrame, DataFrame]:
+    """Payments (_g..., amount, day, _file, _sheet, _row), and their points with counts and the label of the component."""
+    g = [f"_g{i}" for i in range(len(group_by))]
+    rows = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", "_file", "_sheet", "_row")
     points = rows.groupBy(*g, "amount", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi"))
     by = Window.partitionBy(*g, "amount").orderBy("day")
     fresh = F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int")
     named = lambda chain: F.to_json(F.struct(*g, "amount", chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})
-    dated = points.where("day is not null").withColumn("_new", fresh).withColumn("unit", named(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new")
+    open_amounts = points.where("day is not null and amount is null") if tol_pct else points.where("day is not null")
+    dated = open_amounts.withColumn("_new", fresh).withColumn("unit", named(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new")
+    if tol_pct:
+        dated = dated.unionByName(_similar(points.where("day is not null and amount is not null"), g, days, tol_pct))
     points = saved(dated.unionByName(points.where("day is null").withColumn("unit", named(F.lit(-1)))))
     dated, dayless = points.where("day is not null"), points.where("day is null")
 
@@ -138,7 +212,14 @@ def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, progr
     units = points.select(*g, "amount", "day", "unit")
     same = lambda other, keys: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in keys))
     u = units.alias("u")
-    links.append(u.join(dayless.select(*g, "amount", F.col("unit").alias("b")).where("amount is not null").alias("d"), same("d", [*g, "amount"])).selectExpr("u.unit as a", "d.b as b"))
+    known = dayless.select(*g, "amount", F.col("unit").alias("b")).where("amount is not null")
+    if tol_pct:
+        # one row for each amount without a day meets the points in the bands next to its own
+        spread = known.withColumn("band", F.explode(F.sequence(_band(F.col("amount"), tol_pct) - 2, _band(F.col("amount"), tol_pct) + 2)))
+        banded = units.where("amount is not null").withColumn("band", _band(F.col("amount"), tol_pct))
+        links.append(banded.alias("u").join(spread.alias("d"), same("d", [*g, "band"]) & F.expr(_fits("u.amount", "d.amount", tol_pct))).selectExpr("u.unit as a", "d.b as b"))
+    else:
+        links.append(u.join(known.alias("d"), same("d", [*g, "amount"])).selectExpr("u.unit as a", "d.b as b"))
     firsts = units.groupBy(*g).agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("f_amount"), F.min(F.when(F.col("day").isNull(), F.col("unit"))).alias("f_day"), F.min(F.when(F.col("amount").isNull() & F.col("day").isNull(), F.col("unit"))).alias("f_both"))
     joined = u.join(firsts.where("f_amount is not null and f_day is not null").alias("f"), same("f", g))
     links.append(joined.where("u.amount is null").selectExpr("u.unit as a", "f.f_day as b"))
@@ -149,5 +230,4 @@ def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, progr
         every = every.union(more)
     found = components(every.where("a != b").distinct())
     labelled = points.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-    sums = labelled.groupBy("label", *g).agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.min("lo") != F.max("hi")).alias("several_files"))
-    return sums.where("n_rows > 1").select(*(F.col(a).alias(k) for k, a in zip(group_by, g, strict=True)), "n_rows", "first_day", "last_day", "several_files")
+    return rows, labelled

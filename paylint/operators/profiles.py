@@ -8,14 +8,26 @@ from pyspark.sql import functions as F
 from paylint.functions import normalize as N
 
 
+def profile_columns(matched: DataFrame, columns: DataFrame, definitions: DataFrame, rows: int = 100_000) -> DataFrame:
+    """(file, sheet, column, kind, required, params): what the matched template says of a sheet's columns; unknown where it says nothing.
+
+    matched: (file, sheet, standard), columns: (file, sheet, column), definitions:
+    (standard, column, kind, required, params MAP), broadcast up to `rows` rows.
+    """
+    known = definitions.withColumnRenamed("column", "_column").withColumnRenamed("standard", "_standard")
+    known = F.broadcast(known) if known.limit(rows + 1).count() <= rows else known
+    joined = columns.join(matched.select("file", "sheet", "standard"), ["file", "sheet"], "left").join(known, F.expr("standard = _standard and column = _column"), "left")
+    return joined.select("file", "sheet", "column", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("required", F.lit(False)).alias("required"), "params")
+
+
 def match_standard(catalog: DataFrame, standards: DataFrame, least: float = 0.8) -> DataFrame:
     """(file, sheet, standard, ratio): for each sheet of catalog (file, sheet, column) the template of standards (standard, ord, column) with the most of its names there.
 
     Equal ratios go to the template that comes first; sheets below `least` have no row.
     """
     sizes = standards.groupBy("standard", "ord").agg(F.count_distinct("column").alias("size"))
-    hits = catalog.select("file", "sheet", "column").distinct().join(F.broadcast(standards), "column").groupBy("file", "sheet", "standard", "ord").agg(F.count_distinct("column").alias("n"))
-    ratios = hits.join(F.broadcast(sizes), ["standard", "ord"]).withColumn("ratio", F.col("n") / F.col("size")).where(F.col("ratio") >= least)
+    hits = catalog.select("file", "sheet", "column").distinct().join(standards, "column").groupBy("file", "sheet", "standard", "ord").agg(F.count_distinct("column").alias("n"))
+    ratios = hits.join(sizes, ["standard", "ord"]).withColumn("ratio", F.col("n") / F.col("size")).where(F.col("ratio") >= least)
     best = ratios.groupBy("file", "sheet").agg(F.max(F.struct("ratio", (-F.col("ord")).alias("ord"), "standard")).alias("b"))
     return best.select("file", "sheet", F.col("b.standard").alias("standard"), F.col("b.ratio").alias("ratio"))
 

@@ -43,7 +43,7 @@ def registry_status(df: DataFrame, c: str, day: str, registry: DataFrame, rows:
         ("BIZNO_CLOSED_AFTER_SUPPORT", "approval", (stt == "폐업자") & ~before),
         ("BIZNO_UNVERIFIED", "approval", ~F.coalesce(stt.isin("계속사업자", "국세청 미등록", "휴업자", "폐업자"), F.lit(False))),
     ]
-    found = collected(joined.join(F.broadcast(out), ["_file", "_sheet"], "left_anti"), [issue(c, r, t, w) for r, t, w in tests])
+    found = collected(joined.join(out, ["_file", "_sheet"], "left_anti"), [issue(c, r, t, w) for r, t, w in tests])
     none = F.lit(None)
     down = out.select("_file", "_sheet", none.cast(df.schema["_row"].dataType).alias("_row"), F.lit(c).alias("column"), F.lit("BIZNO_REGISTRY_OUT").alias("rule_id"), F.lit("approval").alias("tier"), F.lit("rule").alias("kind"), none.cast("string").alias("value"), none.cast("string").alias("suggestion"), F.substring(F.sha2(F.concat_ws("|", F.lit("BIZNO_REGISTRY_OUT"), "_file", "_sheet"), 256), 1, 16).alias("issue_id"))
     return found.unionByName(down, allowMissingColumns=True)
@@ -71,7 +71,7 @@ def numeric_unit(df: DataFrame, c: str, plain: bool = False) -> DataFrame:
     scale = F.when(cell.contains("억원"), 10**8).when(cell.contains("만원"), 10**4).when(cell.contains("천원"), 10**3).otherwise(1)
     whole = F.floor(F.trim(clean).try_cast("decimal(20,8)") * scale).cast("string")
     formats = number_format(df, c)
-    rows = df.join(F.broadcast(formats), ["_file", "_sheet"])
+    rows = df.join(formats, ["_file", "_sheet"])
     commas = F.lit(False) if plain else F.col("format") == "comma"
     wrong = F.lit(plain)
     return collected(

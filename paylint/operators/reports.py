@@ -75,3 +75,45 @@ def page(issues: DataFrame, tiers: list[str], rules: list[str] | None = None, nu
 def recipients(files: DataFrame, contacts: DataFrame) -> DataFrame:
     """files (_file, agency) with the mail of the agency, null if there is none."""
     return files.join(contacts, N.strip(F.col("agency")) == contacts["agency"], "left").select(files["_file"], files["agency"], "mail")
+
+
+def group_rows(cells: DataFrame, dispositions: DataFrame) -> DataFrame:
+    """(_file, _sheet, _row, group_id, rule_id, metric, disposition) for each row of a group.
+
+    cells: group cells (group_id, rule_id, metric, _file, _sheet, _row).  dispositions:
+    (group_id, disposition), the last word on each; a group without one is a request.
+    """
+    said = dispositions.select(F.col("group_id").alias("_g"), F.col("disposition").alias("_said"))
+    joined = cells.join(said, F.col("group_id") == F.col("_g"), "left")
+    return joined.select("_file", "_sheet", "_row", "group_id", "rule_id", "metric", F.coalesce("_said", F.lit("request")).alias("disposition")).distinct()
+
+
+def sheet_checks(sheets: DataFrame, executed: list[str], rows: DataFrame) -> DataFrame:
+    """(_file, _sheet, rule_id, n, ok, request): for each sheet and executed rule how many groups touch it; rows as group_rows() gives them."""
+    every = sheets.select("_file", "_sheet").distinct().select("_file", "_sheet", F.explode(F.array(*map(F.lit, sorted(set(executed))))).alias("rule_id"))
+    touched = rows.select("_file", "_sheet", "rule_id", "group_id", "disposition").distinct()
+    counts = touched.groupBy("_file", "_sheet", "rule_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("disposition") == "ok").alias("ok"))
+    out = every.join(counts, ["_file", "_sheet", "rule_id"], "left").fillna(0, ["n", "ok"])
+    return out.withColumn("request", F.col("n") - F.col("ok"))
+
+
+def change_list(found: DataFrame, deleted: DataFrame, json_rows: bool = False) -> DataFrame:
+    """(_file, _sheet, _row, place, column, status, rule_id, before, after): a line for each detail, then for each deleted row.
+
+    part and the columns after it give the order in a sheet: details by row and
+    column (part 0), deleted rows by row (part 1).  json_rows: places count records
+    from [0] instead of rows.
+    """
+    place = F.concat(F.lit("["), (F.col("_row") - 2).cast("string"), F.lit("]")) if json_rows else F.col("_row").cast("string")
+    none = F.lit(None).cast("string")
+    gone = deleted.select("_file", "_sheet", "_row", F.lit(1).alias("part"), none.alias("column"), F.lit("deleted").alias("status"), F.lit("DUPLICATE_ROW").alias("rule_id"), none.alias("before"), none.alias("after"))
+    lines = found.select("_file", "_sheet", "_row", F.lit(0).alias("part"), "column", "status", "rule_id", "before", "after").unionByName(gone)
+    return lines.withColumn("place", place)
+
+
+def visible_rows(df: DataFrame, marks: DataFrame, deleted: DataFrame, grouped: DataFrame, changed_only: bool = True, hide_auto: bool = False, number: int = 0, rows: int = 50) -> DataFrame:
+    """A page of rows of one sheet: those deleted, in a group or with a visible mark, or all; hide_auto takes marks of automatic changes as not visible."""
+    row = ["_file", "_sheet", "_row"]
+    seen = marks.where("status not in ('auto', 'auto_pending')") if hide_auto else marks
+    touched = seen.select(*row).union(deleted.select(*row)).union(grouped.select(*row)).distinct()
+    return (df.join(touched, row, "left_semi") if changed_only else df).orderBy(*row).offset(number * rows).limit(rows)

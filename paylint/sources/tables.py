@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 META = ["_file", "_sheet", "_row"]
@@ -16,6 +16,8 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
@@ -49,6 +51,78 @@ def load_parquet(spark: SparkSession, paths: list[str], sheet: str) -> DataFrame
     return text.select("_file", F.lit(sheet).alias("_sheet"), F.col("_row").cast("long").alias("_row"), *(F.col(f"`{c}`") for c in text.columns if c not in META))
 
 
+def load_csv(spark: SparkSession, paths: list[str], sheet: str, encoding: str = "UTF-8") -> DataFrame:
+    """CSV files with a header as tables of text; _row is the line's place in its file, from 2 (a record of several lines counts one)."""
+    df = spark.read.csv(paths, header=True, encoding=encoding)
+    names = [F.col(f"`{c}`") for c in df.columns]
+    placed = df.select(*(F.coalesce(c, F.lit("")).alias(n) for c, n in zip(names, df.columns, strict=True)), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    # lines are numbered inside a split; the splits of a file are then put one after another
+    per_split = Window.partitionBy("_file", "_start").orderBy("_id")
+    numbered = placed.withColumn("_at", F.row_number().over(per_split))
+    sizes = numbered.groupBy("_file", "_start").agg(F.max("_at").alias("_n"))
+    before = sizes.select(F.col("_file").alias("_f"), F.col("_start").alias("_s"), (F.sum("_n").over(Window.partitionBy("_file").orderBy("_start")) - F.col("_n")).alias("_before"))
+    joined = numbered.join(before, F.expr("_file = _f and _start = _s"))
+    return joined.select("_file", F.lit(sheet).alias("_sheet"), (F.col("_at") + F.col("_before") + 1).cast("long").alias("_row"), *names)
+
+
+def unsupported_json(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(_file, key, reason) for what load_json() leaves out: files that are no JSON, scalars, empty lists, lists of other things than objects."""
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.try_parse_json("value").alias("v"))
+    files.createOrReplaceTempView(view := f"json_{uuid.uuid4().hex}")
+    kind = "schema_of_variant({})"
+    reason = "CASE WHEN {0} LIKE 'ARRAY<VOID>' THEN 'empty list' WHEN {0} LIKE 'ARRAY<%' AND {0} NOT LIKE 'ARRAY<OBJECT<%' THEN 'list of other things than objects' END"
+    return spark.sql(
+        f"""WITH top AS (SELECT _file, v, CASE WHEN v IS NOT NULL THEN {kind.format('v')} END AS k FROM {view}),
+        inner_ AS (SELECT _file, t.key AS key, {kind.format('t.value')} AS k FROM top, LATERAL variant_explode(v) AS t WHERE k LIKE 'OBJECT<%')
+        SELECT _file, '(file)' AS key, CASE WHEN k IS NULL THEN 'not JSON' WHEN k NOT LIKE 'OBJECT<%' AND k NOT LIKE 'ARRAY<%' THEN 'neither list nor object' ELSE {reason.format('k')} END AS reason FROM top
+          WHERE k IS NULL OR (k NOT LIKE 'OBJECT<%' AND k NOT LIKE 'ARRAY<%') OR {reason.format('k')} IS NOT NULL
+        UNION ALL SELECT _file, key, {reason.format('k')} FROM inner_ WHERE {reason.format('k')} IS NOT NULL"""
+    )
+
+
+def json_records(original: DataFrame, cleaned: DataFrame, amounts: list[str] = ()) -> DataFrame:
+    """original with the cells of cleaned in its own types, without the rows that cleaned lacks: to be written as JSON again.
+
+    original: _file, _sheet, _row and columns as read, among them numbers; cleaned: the
+    same columns as text.  A number stays one if the cleaned text still is, and so
+    does a text of a column of amounts; anything else is the text.
+    """
+    keys = META
+    texts = cleaned.select(*keys, *(F.col(f"`{c}`").alias(f"_new_{i}") for i, c in enumerate(original.columns) if c not in keys))
+    joined = original.join(texts, keys)
+
+    def back(i: int, c: str) -> list[Column]:
+        kind, new, name = original.schema[c].dataType.typeName(), F.col(f"_new_{i}"), F.lit(c)
+        number = kind in ("byte", "short", "integer", "long", "float", "double", "decimal") or c in amounts
+        value = F.when(new.rlike("^-?(0|[1-9][0-9]*)([.][0-9]+)?$"), new).otherwise(F.to_json(F.array(new)).substr(F.lit(2), F.length(F.to_json(F.array(new))) - 2)) if number else F.to_json(F.array(new)).substr(F.lit(2), F.length(F.to_json(F.array(new))) - 2)
+        return [F.concat(F.to_json(F.array(name)).substr(F.lit(2), F.length(F.to_json(F.array(name))) - 2), F.lit(":"), F.coalesce(value, F.lit("null")))]
+
+    pairs = [p for i, c in enumerate(original.columns) if c not in keys for p in back(i, c)]
+    return joined.select(*keys, F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")).alias("record"))
+
+
+def write_json_back(records: DataFrame, path: str) -> None:
+    """json_records() as JSON lines in a folder for each file and sheet, in the order of rows."""
+    records.repartition("_file", "_sheet").sortWithinPartitions("_file", "_sheet", "_row").select("_file", "_sheet", F.col("record").alias("value")).write.mode("overwrite").partitionBy("_file", "_sheet").text(path)
+
+
+def load_issues(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """A run's issues as they were written: empty texts are null, rows without an identifier, a rule or a readable row number are left out."""
+    df = spark.read.parquet(path).where(F.col("run_id") == run_id)
+    clean = df.select(*((F.nullif(F.col(f"`{c}`"), F.lit("")) if k == "string" else F.col(f"`{c}`")).alias(c) for c, k in df.dtypes))
+    return clean.withColumn("_row", F.col("_row").try_cast("long")).where("issue_id is not null and rule_id is not null and _row is not null")
+
+
+def cleaned_of_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The cleaned rows of a run, the input of the next one."""
+    return spark.read.parquet(path).where(F.col("run_id") == run_id).drop("run_id")
+
+
+def last_dispositions(log: DataFrame) -> DataFrame:
+    """(group_id, disposition): the last of each group by seq from a log that is only added to."""
+    return log.groupBy("group_id").agg(F.max_by("disposition", F.struct("seq", "disposition")).alias("disposition"))
+
+
 def load_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(_file, _sheet, _row, record VARIANT): a row for each object of each list in JSON files.
 
@@ -78,7 +152,7 @@ def write_run(df: DataFrame, path: str, run_id: str) -> None:
 
 
 def runs(spark: SparkSession, path: str, limit: int = 20) -> DataFrame:
-    """The latest runs of a table, newest first."""
+    """The latest runs of a table, newest first; path is that of the reports, which only finished runs have."""
     return spark.read.parquet(path).select("run_id").distinct().orderBy(F.desc("run_id")).limit(limit)
 
 
