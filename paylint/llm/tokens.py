@@ -18,7 +18,7 @@ from .arrays import chunks, give_back, lists
 from .storage import bounded_batches, new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 200_000
+CACHE = 350_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
 #: Texts are encoded in pieces of about so many bytes at a time.
