@@ -172,6 +172,6 @@ UNION ALL SELECT 'RS-' || c || 'C', company, NULL, year, count(*), CAST(sum(x) A
         "d6_dropped_rows": _PAY + _LATER + """SELECT _file, _row, company, CASE WHEN "지원금액" = '0만' THEN '0' ELSE coalesce(CAST(true_amount AS VARCHAR), "지원금액") END AS amount FROM keys WHERE _row % 3 = 0 OR _row NOT IN (SELECT _row FROM later)""",
         "v4_ok_without_dropped": _MARKS + _LATER + "SELECT _file, _row FROM keys WHERE _row NOT IN (SELECT _row FROM marks) AND _row NOT IN (SELECT _row FROM later) AND NOT coalesce(true_amount > 300000, FALSE)",
         "v6_file_status": _MARKS + "SELECT _file, count(*) FILTER (p = 1) AS approval, count(*) FILTER (p = 3) AS request, count(*) FILTER (p = 6) AS auto FROM marks GROUP BY _file",
-        "d9_to_ask": _ISSUES + """SELECT _file, _row, "column", rule_id FROM found f WHERE (rule_id LIKE 'DATE%' OR rule_id LIKE 'BIZNO%') AND EXISTS (SELECT 1 FROM found g WHERE g._row = f._row AND g."column" = f."column" AND g.tier = 'request')""",
+        "d9_to_ask": _ISSUES + """SELECT _file, _row, "column", rule_id FROM found WHERE (rule_id LIKE 'DATE%' OR rule_id LIKE 'BIZNO%') AND (_row, "column") IN (SELECT _row, "column" FROM found WHERE tier = 'request')""",
         "x7_file_summary": _PAY + """SELECT _file, count(*) AS n_rows, coalesce(CAST(sum(CASE WHEN regexp_full_match("지원금액", '[0-9]+') THEN CAST("지원금액" AS BIGINT) END) AS BIGINT), 0) AS total FROM pay GROUP BY _file""",
     }

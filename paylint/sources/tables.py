@@ -11,18 +11,22 @@ from pyspark.sql import functions as F
 META = ["_file", "_sheet", "_row"]
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir and read again; where that is unset (tests), below a folder of our own."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir; where that is unset on a local master (tests), below a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/step-{uuid.uuid4().hex}"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again."""
+    path = new_path(df.sparkSession, "step")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def as_text(df: DataFrame) -> DataFrame:
@@ -131,7 +135,7 @@ def load_json(spark: SparkSession, paths: list[str]) -> DataFrame:
     """
     files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_name").alias("_file"), F.try_parse_json("value").alias("v"))
     files.createOrReplaceTempView(view := f"json_{uuid.uuid4().hex}")
-    kind = "regexp_extract(schema_of_variant({}), '^[A-Z]+')"
+    kind = "regexp_extract(schema_of_variant({}), '^[A-Z]+', 0)"
     return spark.sql(
         f"""WITH top AS (SELECT _file, v, {kind.format('v')} AS k FROM {view} WHERE v IS NOT NULL),
         keys AS (SELECT _file, v, t.key, t.value FROM top, LATERAL variant_explode(v) AS t WHERE k = 'OBJECT'),
