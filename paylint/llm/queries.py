@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslices, chat, decontamination, jaccard, mixing, pii, quality, substrings, tokens, url_filter
+from . import bitslices, chat, decontamination, divergence, jaccard, mixing, pii, quality, substrings, tokens, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Pages on hosts of this form stand for a list of URLs to block in op1_listed_labels.
@@ -116,6 +116,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -123,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op1_listed_labels, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, pipeline)
+    ops = (op1_url_filter, op1_listed_labels, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, op12_source_divergence, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -186,6 +190,29 @@ counted AS (SELECT *, len(list_filter(list_transform(range(0, 30), lambda k: lis
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5('mix:' || doc_id || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)"""
 
+OP12 = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+held AS (SELECT lang, source, r, term, count(*) AS n FROM (SELECT lang, source, r, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM held GROUP BY lang, term HAVING count(*) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, sum(n) AS n FROM held GROUP BY ALL),
+counts AS (SELECT g.lang AS lang, g.source AS source, k.term AS term, coalesce(o.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+totals AS (SELECT lang, source, sum(n) AS n FROM counts GROUP BY ALL),
+p AS MATERIALIZED (SELECT c.lang AS lang, c.source AS source, c.term AS term, c.n AS n, 1 + CAST(1000000000 AS HUGEINT) * (c.n + 1) // (t.n + l.v) AS p
+  FROM counts c JOIN totals t ON t.lang = c.lang AND t.source = c.source JOIN langs l ON l.lang = c.lang),
+q AS (SELECT k.lang AS lang, k.term AS term, 1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.n + l.v) AS q FROM kept k JOIN langs l ON l.lang = k.lang),
+pairs AS (SELECT a.lang AS lang, a.source AS source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM groups a JOIN groups b ON b.lang = a.lang AND b.source <> a.source
+  LEFT JOIN (SELECT x.lang AS lang, x.source AS source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT p.lang AS lang, p.source AS source, p.term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q),
+ranked AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM ranked)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM numbered WHERE part = 'pair' OR rank <= 200"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op1_listed_labels": OP1_LABELS, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7}
+    return {"op1_url_filter": OP1, "op1_listed_labels": OP1_LABELS, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7, "op12_source_divergence": OP12}
