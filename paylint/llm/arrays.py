@@ -77,6 +77,20 @@ class Words:
             h[i] = xxhash.xxh64_intdigest(self.data[self.start[i] : self.end[i]].tobytes())
         return h
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether words a[i] and b[i] have the same bytes, for each i."""
+        size = self.end - self.start
+        out = size[a] == size[b]
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        lanes = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
+        at, rows = 0, np.flatnonzero(out)
+        while len(rows):
+            keep = _KEEP[np.minimum(size[a[rows]] - at, 8)]
+            out[rows] = ((lanes[self.start[a[rows]] + at] ^ lanes[self.start[b[rows]] + at]) & keep) == 0
+            at += 8
+            rows = rows[out[rows] & (size[a[rows]] > at)]
+        return out
+
     def windows(self, k: int) -> np.ndarray:
         """True for each word at which k words of the same text begin."""
         return np.arange(len(self.start)) + k <= np.repeat(self.of[1:], self.n)
@@ -110,13 +124,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
+    """The words of some texts; separator: for each byte whether it is none of a word."""
     if lower:
         data = _LOWER[data]
     if not len(data):
         none = np.zeros(0, np.int64)
         return Words(data, none, none, np.zeros(len(offsets), np.int64), offsets)
-    sep = _SEPARATOR[data]
+    sep = separator[data]
     before = np.empty(len(sep) + 1, bool)
     before[0] = before[-1] = True
     before[1:] = sep
