@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitslices, chat, decontamination, divergence, jaccard, mixing, pii, quality, substrings, tokens, url_filter
+from . import alignment, bitslices, boosted_rules, chat, decontamination, divergence, jaccard, mixing, pii, quality, substrings, tokens, url_filter
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Pages on hosts of this form stand for a list of URLs to block in op1_listed_labels.
@@ -116,6 +116,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return boosted_rules.judged(docs, _table(spark, sf_dir, "labels")).drop("text")
+
+
+def op13_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.compared(docs, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def text_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op11_quality_rules measures and fails before its trees, which SQL can express."""
+    return boosted_rules.text_statistics(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
@@ -127,7 +142,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    ops = (op1_url_filter, op1_listed_labels, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, op12_source_divergence, pipeline)
+    ops = (op1_url_filter, op1_listed_labels, op2_tool_calls, op3_token_ids, op4_ngram_jaccard, op5_bit_sliced_top_k, op6_substring_dedup, op7_poisson_mix, op8_quality_classifier, op9_pii_crf, op10_decontamination, op11_quality_rules, op12_source_divergence, op13_cross_tokenizer, text_statistics, pipeline)
     return {f.__name__: f for f in ops}
 
 
@@ -190,6 +205,17 @@ counted AS (SELECT *, len(list_filter(list_transform(range(0, 30), lambda k: lis
 SELECT doc_id, text, lang, source, n_chars, CAST(copy AS INTEGER) AS copy, md5('mix:' || doc_id || ':' || copy) AS shuffle_key
 FROM (SELECT *, unnest(range(1, n + 1)) AS copy FROM counted)"""
 
+TEXT_STATISTICS = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+grams AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM words)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, s) AS n FROM grams) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY r),
+counted AS (SELECT words.r AS r, doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words FROM words LEFT JOIN covered ON covered.r = words.r)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted"""
+
 OP12 = r"""
 WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -215,4 +241,4 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": OP1, "op1_listed_labels": OP1_LABELS, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7, "op12_source_divergence": OP12}
+    return {"op1_url_filter": OP1, "op1_listed_labels": OP1_LABELS, "op4_ngram_jaccard": OP4, "op5_bit_sliced_top_k": OP5, "op6_substring_dedup": OP6, "op7_poisson_mix": OP7, "text_statistics": TEXT_STATISTICS, "op12_source_divergence": OP12}
