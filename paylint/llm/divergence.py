@@ -30,6 +30,8 @@ SCALE = 1_000_000_000
 TOP = 200
 #: Counts that a task holds before it sums and writes them.
 HELD = 3_000_000
+#: Splits of the input that one task reads, where there are more splits than cores.
+SPLITS = 3
 #: Counts of terms by source that one task compares at a time, about.
 ENTRIES = 200_000
 #: Sources that one task compares with all others of their language.
@@ -84,22 +86,31 @@ class _Held:
         self.strings.append(_distinct(w, h, order, new_h))
         self.n += len(first)
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """What is held, summed; then nothing is."""
+    def compact(self) -> bool:
+        """Sum counts and merge strings; whether so many remain that they are better written."""
         if self.counts:
             h, group, n, docs = (np.concatenate(c) for c in zip(*self.counts, strict=True))
             order = np.lexsort((group, h))
             h, group = h[order], group[order]
             first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (group[1:] != group[:-1])]))
-            names = list(self.groups)
-            lang, source = (pa.DictionaryArray.from_arrays(pa.array(group[first]), pa.array([k[i] for k in names])).cast(pa.string()) for i in (0, 1))
-            none = pa.nulls(len(first), pa.string())
-            yield from _batches([lang, source, pa.array(h[first].view(np.int64)), pa.array(np.add.reduceat(n[order], first)), pa.array(np.add.reduceat(docs[order], first)), none])
+            self.counts = [(h[first], group[first], np.add.reduceat(n[order], first), np.add.reduceat(docs[order], first))]
+            self.n = len(first)
             size, h, text = (np.concatenate(c) for c in zip(*self.strings, strict=True))
             end = np.cumsum(size)
             w = Words(text, end - size, end, np.array([0, len(end)]), np.array([0, len(text)]))
             order = np.argsort(h, kind="stable")
-            size, h, text = _distinct(w, h[order], order, np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+            h = h[order]
+            self.strings = [_distinct(w, h, order, np.concatenate([[True], h[1:] != h[:-1]]))]
+        return self.n > HELD * 2 // 3
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """What is held, summed; then nothing is."""
+        self.compact()
+        for h, group, n, docs in self.counts:
+            names = list(self.groups)
+            lang, source = (pa.DictionaryArray.from_arrays(pa.array(group), pa.array([k[i] for k in names])).cast(pa.string()) for i in (0, 1))
+            yield from _batches([lang, source, pa.array(h.view(np.int64)), pa.array(n), pa.array(docs), pa.nulls(len(h), pa.string())])
+        for size, h, text in self.strings:
             held = pa.Array.from_buffers(pa.large_string(), len(h), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int64)), pa.py_buffer(text)])
             none, zero = pa.nulls(len(h), pa.string()), pa.nulls(len(h), pa.int64())
             yield from _batches([none, none, pa.array(h.view(np.int64)), zero, zero, held.cast(pa.string())])
@@ -140,12 +151,15 @@ def term_counts(docs: DataFrame, bits: int = 64) -> DataFrame:
         held = _Held(bits)
         for rows, data, offsets in chunks(batches, "text"):
             held.add(rows.column(0).to_pylist(), rows.column(1).to_pylist(), data, offsets)
-            if held.n > HELD:
+            if held.n > HELD and held.compact():
                 yield from held.rows()
         yield from held.rows()
         give_back()
 
-    return docs.select("lang", "source", "text").mapInArrow(counted, _ROW)
+    rows = docs.select("lang", "source", "text")
+    # what tasks have counted is shuffled, and fewer tasks count the same terms: some splits a task, as long as each core has one
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // SPLITS)
+    return rows.coalesce(tasks).mapInArrow(counted, _ROW)
 
 
 def string_counts(docs: DataFrame, digests: np.ndarray | None, bits: int = 64) -> DataFrame:
