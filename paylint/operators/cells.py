@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
+from paylint.operators.selection import percentiles
 
 KEYS = ["_file", "_sheet", "_row"]
 
@@ -131,11 +132,14 @@ def type_consistency(df: DataFrame, c: str) -> DataFrame:
 def outlier(df: DataFrame, c: str, by: list[str], iqr: float = 1.5, times: float = 5.0, value: Column | None = None) -> DataFrame:
     """Numbers outside the quartiles by `iqr` times their distance, or above `times` a positive mean; groups have four numbers at least."""
     x = df.withColumn("_x", F.col(f"`{c}`").try_cast("double") if value is None else value).where("_x is not null")
-    stats = x.groupBy(*by).agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"), F.avg("_x").alias("_mean"), F.count(F.lit(1)).alias("_n"))
-    joined = x.join(stats, by).where("_n >= 4")
-    q1, q3, mean = F.col("_q")[0], F.col("_q")[1], F.col("_mean")
+    mean_of = x.groupBy(*by).agg(F.avg("_x").alias("_mean"))
+    stats = percentiles(x, by, F.col("_x"), [0.25, 0.75]).where("n >= 4").select(*(F.col(f"`{k}`") for k in by), F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
+    same = lambda a, b: F.expr(" and ".join(f"{a}.`{k}` <=> {b}.`{k}`" for k in by))
+    quartiles = stats.alias("s").join(mean_of.alias("m"), same("s", "m")).select("s.*", "m._mean")
+    joined = x.alias("v").join(quartiles.alias("s"), same("v", "s")).select("v.*", "s._q1", "s._q3", "s._mean")
+    q1, q3, mean = F.col("_q1"), F.col("_q3"), F.col("_mean")
     far = F.when((mean > 0) & (F.col("_x") > mean * times), "mean").when(F.col("_x") < q1 - iqr * (q3 - q1), "low").when(F.col("_x") > q3 + iqr * (q3 - q1), "high")
-    return joined.withColumn("outlier", far).where("outlier is not null").drop("_q", "_n")
+    return joined.withColumn("outlier", far).where("outlier is not null").drop("_q1", "_q3")
 
 
 def duplicate_rows(df: DataFrame, columns: list[str]) -> DataFrame:

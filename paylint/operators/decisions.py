@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
+from paylint.operators.registered import numeric_clean
 
 CELL = ["_file", "_sheet", "_row", "column"]
 
@@ -38,23 +39,70 @@ def last_decisions(decisions: DataFrame) -> DataFrame:
     return last.select("issue_id", "_d.*")
 
 
-def changes(issues: DataFrame, decisions: DataFrame) -> DataFrame:
-    """What applying the decisions changes, a row for each cell and issue: apply takes the suggestion, edit the given value.
-
-    The last decision of an issue counts. Issues of one cell are applied in the order
-    of their checks (seq of the issues), so before is what the one before left; step
-    counts them. An applied duplicate row is a change with after null, the last of
-    its cell: the row is dropped.
+#: Rules of findings that no rule can apply: their issues are for operators to answer.
+UNAPPLIED = ("AMOUNT_SUSPECT_UNIT", "BIZNO_FORMAT", "BIZNO_NOT_FOUND", "BIZNO_SUSPENDED", "BIZNO_UNVERIFIED", "BIZNO_CLOSED_BEFORE_SUPPORT", "BIZNO_CLOSED_AFTER_SUPPORT", "DATE_OUT_OF_RANGE")
+
+
+def fixed(rule: Column, cell: Column) -> Column:
+    """What a rule makes of a cell as it is now; null for rules that make nothing, and where they can't read it."""
+    old = N.simple_date(cell)
+    forms = {
+        "BLANK": F.coalesce(F.nullif(N.squeeze(cell), F.lit("")), cell),
+        "AMOUNT_NORMALIZE": N.amount(cell).cast("string"),
+        "NUMERIC_UNIT": numeric_clean(cell),
+        "DATE_NORMALIZE": N.date(cell)["value"].cast("string"),
+        "DATE_FORMAT": F.when(~old["ambiguous"], old["value"].cast("string")),
+        "BIZNO_VERIFY": N.business_number(cell),
+        "BIZNO_CHECKSUM": F.when(N.check_digit_ok(cell), N.business_number(cell)),
+        "PHONE_FORMAT": N.phone(cell),
+        "TEXT_NORMALIZE": N.text(cell),
+    }
+    out = F.lit(None).cast("string")
+    for name, form in forms.items():
+        out = F.when(rule == name, form).otherwise(out)
+    return out
+
+
+def changes(issues: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """What applying the decisions changes, a row for each change of a cell: (issue_id, cell, rule_id, tier, before, after, decided_by, step, change_id, timestamp).
+
+    The last decision of an issue counts; without decisions those of the system do,
+    which need no join.  Issues of one cell are applied in the order of their checks
+    (seq of the issues), each to what the one before left: edit puts in the given
+    value, apply what the rule makes of the cell as it is then, or else the issue's
+    suggestion, or else nothing.  Rules in UNAPPLIED are never applied.  step counts
+    the changes of a cell.  An applied duplicate row is a change with after null, the
+    last of its cell: the row is dropped.  change_id follows from issue and step.
+
+    A cell's issues, at most one a check or two, are folded in one task.
     """
+    if decisions is None:
+        rows = issues.where("tier = 'auto'").withColumns({"action": F.lit("apply"), "d_value": F.lit(None).cast("string"), "decided_by": F.lit("system")})
+    else:
+        rows = issues.join(last_decisions(decisions).withColumnRenamed("value", "d_value"), "issue_id")
+    applies = (F.col("action") == "apply") & ~F.col("rule_id").isin(*UNAPPLIED)
+    rows = rows.where(applies | ((F.col("action") == "edit") & F.col("d_value").isNotNull()))
+    seq = F.col("seq").cast("int") if "seq" in issues.columns else F.lit(None).cast("int")
     drops = (F.col("rule_id") == "DUPLICATE_ROW") & (F.col("action") == "apply")
-    after = F.when(F.col("action") == "edit", F.col("d_value")).when(~drops, F.col("suggestion"))
-    decided = last_decisions(decisions).withColumnRenamed("value", "d_value")
-    rows = issues.join(decided, "issue_id").where("action in ('apply', 'edit')").withColumn("after", after).where(F.col("after").isNotNull() | drops)
-    seq = [F.col("seq").asc_nulls_last()] if "seq" in issues.columns else []
-    by = Window.partitionBy(*CELL).orderBy(drops, *seq, "issue_id")
-    cell = F.col("cell") if "cell" in issues.columns else F.col("value")
-    found = rows.withColumns({"before": F.coalesce(F.lag("after").over(by), cell), "step": F.row_number().over(by)})
-    return found.select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by", "step")
+    place = F.struct(drops.alias("drops"), seq.isNull().alias("late"), seq.alias("seq"), "issue_id", "rule_id", "tier", "decided_by", "action", "d_value", "suggestion")
+    cell = (F.col("cell") if "cell" in issues.columns else F.col("value")).cast("string")
+    # rows of a sheet's row meet once, for the folds, for cleaned() and for whatever else goes by row
+    together = rows.repartition("_file", "_sheet", "_row").groupBy(*CELL).agg(F.min(cell).alias("cell"), F.sort_array(F.collect_list(place)).alias("steps"))
+    made = "array<struct<issue_id: string, rule_id: string, tier: string, before: string, after: string, decided_by: string, step: int>>"
+    start = F.struct(F.col("cell").alias("cell"), F.array().cast(made).alias("made"))
+
+    def apply(acc: Column, x: Column) -> Column:
+        after = F.when(x["action"] == "edit", x["d_value"]).when(~x["drops"], F.coalesce(fixed(x["rule_id"], acc["cell"]), x["suggestion"]))
+
+        def put(after: Column) -> Column:
+            change = F.struct(x["issue_id"].alias("issue_id"), x["rule_id"].alias("rule_id"), x["tier"].alias("tier"), acc["cell"].alias("before"), after.alias("after"), x["decided_by"].alias("decided_by"), (F.size(acc["made"]) + 1).alias("step"))
+            return F.struct(F.coalesce(after, acc["cell"]).alias("cell"), F.when(x["drops"] | after.isNotNull(), F.concat(acc["made"], F.array(change).cast(made))).otherwise(acc["made"]).alias("made"))
+
+        return N.let(after, put)
+
+    folded = together.select(*CELL, F.inline(F.aggregate("steps", start, apply)["made"]))
+    change_id = F.concat(F.lit("C-"), F.substring(F.sha2(F.concat_ws("|", "issue_id", F.col("step").cast("string")), 256), 1, 12))
+    return folded.select("issue_id", *CELL, "rule_id", "tier", "before", "after", "decided_by", "step", change_id.alias("change_id"), F.current_timestamp().alias("timestamp"))
 
 
 def fingerprint(decisions: DataFrame) -> DataFrame:
@@ -108,7 +156,9 @@ def summary(issues: DataFrame) -> DataFrame:
 
 
 def file_tiers(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("_file").pivot("tier", ["auto", "approval", "request"]).count().fillna(0)
+    """(_file, auto, approval, request, total): issues of each file by tier, and all of them."""
+    counts = issues.groupBy("_file").pivot("tier", ["auto", "approval", "request"]).count().fillna(0)
+    return counts.withColumn("total", F.col("auto") + F.col("approval") + F.col("request"))
 
 
 def top_rules(issues: DataFrame, n: int = 5) -> DataFrame:

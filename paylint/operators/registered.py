@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paylint.functions import normalize as N
 from paylint.operators.cells import KEYS, collected, issue
 from paylint.operators.profiles import number_format
+from paylint.operators.selection import percentiles
 
 
 def snapshot(raw: DataFrame, now, hours: int = 24) -> DataFrame:
@@ -53,11 +54,19 @@ def suspect_unit(df: DataFrame, c: str, times: float = 1000.0) -> DataFrame:
     """Amounts already in canonical form that are positive and below the median of their file and sheet by `times` or more; needs three readable amounts."""
     cell = F.col(f"`{c}`")
     rows = df.select(*KEYS, cell, N.amount(cell).alias("_x"))
-    medians = rows.where("_x is not null").groupBy("_file", "_sheet").agg(F.median("_x").alias("_median"), F.count(F.lit(1)).alias("_n")).where("_n >= 3")
+    medians = percentiles(rows, ["_file", "_sheet"], F.col("_x"), [0.5]).where("n >= 3").select("_file", "_sheet", F.col("q0").alias("_median"))
     odd = rows.join(medians, ["_file", "_sheet"]).where((F.col("_x") > 0) & (F.col("_x").cast("string") == cell) & (F.col("_median") >= F.col("_x").cast("double") * times))
     return collected(odd, [issue(c, "AMOUNT_SUSPECT_UNIT", "approval", F.lit(True))])
 
 
+def numeric_clean(c: Column) -> Column:
+    """The whole number of a text without commas and units, scaled by the first of 억원, 만원 and 천원 that it has; null if none is left."""
+    cell = F.trim(c)
+    clean = F.regexp_replace(F.translate(N.half_width(cell), ",", ""), "억원|만원|천원|원|억|만|천", "")
+    scale = F.when(cell.contains("억원"), 10**8).when(cell.contains("만원"), 10**4).when(cell.contains("천원"), 10**3).otherwise(1)
+    return F.floor(F.trim(clean).try_cast("decimal(20,8)") * scale).cast("string")
+
+
 def numeric_unit(df: DataFrame, c: str, plain: bool = False) -> DataFrame:
     """Numbers with misplaced commas, with or without commas against the column's habit, or with units in the text."""
     cell = F.trim(f"`{c}`")
@@ -67,9 +76,7 @@ def numeric_unit(df: DataFrame, c: str, plain: bool = False) -> DataFrame:
     value = bare.try_cast("decimal(30,8)")
     text = F.format_number(value, 0)
     with_commas = F.when(value == F.floor(value), text).otherwise(F.format_string("%s.%s", F.format_number(F.floor(value), 0), F.regexp_extract(bare, r"\.([0-9]+)$", 1)))
-    clean = F.regexp_replace(F.translate(N.half_width(cell), ",", ""), "억원|만원|천원|원|억|만|천", "")
-    scale = F.when(cell.contains("억원"), 10**8).when(cell.contains("만원"), 10**4).when(cell.contains("천원"), 10**3).otherwise(1)
-    whole = F.floor(F.trim(clean).try_cast("decimal(20,8)") * scale).cast("string")
+    whole = numeric_clean(cell)
     formats = number_format(df, c)
     rows = df.join(formats, ["_file", "_sheet"])
     commas = F.lit(False) if plain else F.col("format") == "comma"
