@@ -62,14 +62,21 @@ def payment_limit(df: DataFrame, most: int, programs: list[str] | None = None) -
 def near_payments(df: DataFrame, group_by: list[str], days: int = 30, programs: list[str] | None = None) -> DataFrame:
     """Chains of payments of the same amount in a group, each at most `days` after the one before: one row for each chain of two or more.
 
-    A chain is found by sorting a group's payments of one amount by day, without
-    comparing pairs.  Payments whose day or amount is unreadable are not looked at.
+    Payments of a group, amount, day and file are counted first; chains are then found
+    by sorting the different days of a group and amount, at most those of a calendar
+    however many payments there are, without comparing pairs.  Payments whose day or
+    amount is unreadable are not looked at.
     """
     rows = prepared(df, programs).where("day is not null and amount is not null")
-    by = Window.partitionBy(*group_by, "amount").orderBy("day", "_file", "_row")
-    gap = F.datediff("day", F.lag("day").over(by)) > days
-    chained = rows.withColumn("_new", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("chain", F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    return chained.groupBy(*group_by, "amount", "chain").agg(F.count(F.lit(1)).alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("_file").alias("n_files")).where("n_rows > 1").drop("chain")
+    counted = rows.groupBy(*group_by, "amount", "day", "_file").agg(F.count(F.lit(1)).alias("n"))
+    days_of = counted.select(*group_by, "amount", "day").distinct()
+    by = Window.partitionBy(*group_by, "amount").orderBy("day")
+    begins = F.when(F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)), F.col("day"))
+    chained = days_of.withColumn("_begins", begins).withColumn("chain", F.last("_begins", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("_begins")
+    keys = [*group_by, "amount", "day"]
+    named = chained.select(*(F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)), "chain")
+    joined = counted.join(named, F.expr(" and ".join(f"`{k}` <=> _k{i}" for i, k in enumerate(keys))))
+    return joined.groupBy(*group_by, "amount", "chain").agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count_distinct("_file").alias("n_files")).where("n_rows > 1").drop("chain")
 
 
 def reconcile(detail: DataFrame, summary: DataFrame, key: str, count: str, total: str) -> DataFrame:
@@ -84,31 +91,76 @@ def excluded(df: DataFrame) -> Column:
     return F.count_if(F.length(N.digits(F.col(COMPANY))) != 10)
 
 
+#: Columns of a table of group rules: see evaluated().
+SPEC = "spec_id string, template string, group_by array<string>, distinct string, most long, scope string, period string, programs array<string>"
+
+
 def specs_from_master(master: DataFrame) -> DataFrame:
-    """(spec_id, kind, program, group_by, most): up to three rules for each program of a master table.
+    """Up to three rules, columns SPEC, for each row of a master table of programs that names one.
 
-    A: more rows than the yearly number for a company and program.  B: more than one
-    row for a company and agency, if repeats are not allowed.  C: a sum over the
-    limit of a company.
+    A: more rows than the yearly number for a program and company.  B: more than one
+    row for an agency and company, if repeats are not allowed.  C: a sum over the
+    limit of a company.  All look at the row's program alone, year by year.  Rules
+    are numbered by the master's row (_row, from 2 on, as the readers give it), so codes may
+    be missing or repeated.  Numbers that are not digits alone give no rule.
     """
-    name, number = F.trim("사업명"), lambda c: F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).cast("long"))
-    rule = lambda part, kind, by, most: F.struct(F.concat(F.lit("RS-"), F.trim("사업코드"), F.lit(part)).alias("spec_id"), F.lit(kind).alias("kind"), name.alias("program"), F.lit(by).alias("group_by"), most.alias("most"))
+    name, number = F.trim("사업명"), lambda c: F.when(F.trim(c).rlike("^[0-9]+$"), F.trim(c).try_cast("long"))
+    row = F.lpad((F.col("_row") - 1).cast("string"), F.greatest(F.lit(4), F.length((F.col("_row") - 1).cast("string"))), F.lit("0"))
+
+    def rule(part: str, template: str, by: list[str], most: Column, scope: str | None = None) -> Column:
+        values = (F.concat(F.lit("RS-"), row, F.lit(part)), F.lit(template), F.array(*map(F.lit, by)), F.lit(None).cast("string"), most, F.lit(scope).cast("string"), F.lit("year"), F.array(name))
+        return F.struct(*(v.alias(c.split()[0]) for v, c in zip(values, SPEC.split(", "), strict=True)))
+
     yearly = F.when(number("연간허용횟수") >= 1, number("연간허용횟수"))
     once = F.when(F.upper(F.trim("시군내중복허용")) == "N", F.lit(1).cast("long"))
-    rules = F.array(rule("A", "MAX_COUNT", "program", yearly), rule("B", "MAX_COUNT", "agency", once), rule("C", "SUM_LIMIT", "company", number("기업당한도")))
+    rules = F.array(rule("A", "MAX_COUNT", [PROGRAM, COMPANY], yearly), rule("B", "MAX_COUNT", ["기관명", COMPANY], once), rule("C", "SUM_LIMIT", [COMPANY], number("기업당한도"), "per_business"))
     return master.where(name != "").select(F.inline(rules)).where("most is not null")
 
 
-def evaluated(df: DataFrame, specs: DataFrame, rows: int = 100_000) -> DataFrame:
-    """(spec_id, company, agency, year, n_rows, total): the groups that break a rule of specs, all rules in one aggregation.
+def _expanded(df: DataFrame, specs: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """Payments with each rule that looks at them, and the rule's key for the payment: an array of values in the order of its columns.
 
-    agency is null for rules that don't group by it. The specs are broadcast up to `rows` rows.
+    A rule without programs looks at all.  Each payment has two tokens, its program
+    and one for all, and a rule one for each of its programs, so both meet in a join of equals.
     """
-    specs = F.broadcast(specs) if specs.limit(rows + 1).count() <= rows else specs
-    joined = prepared(df).join(specs, F.col(PROGRAM) == F.col("program"))
-    agency = F.when(F.col("group_by") == "agency", F.col("기관명"))
-    sums = joined.groupBy("spec_id", "kind", "most", F.col(COMPANY).alias("company"), agency.alias("agency"), "year").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").alias("total"))
-    return sums.where(F.when(F.col("kind") == "MAX_COUNT", F.col("n_rows") > F.col("most")).otherwise(F.col("total") > F.col("most"))).drop("kind", "most")
+    every = F.lit(None).cast("string")
+    scoped = F.when((F.col("scope") == "per_business") & ~F.array_contains("group_by", PROGRAM), F.concat("group_by", F.array(F.lit(PROGRAM)))).otherwise(F.col("group_by"))
+    told = specs.withColumn("group_by", scoped).withColumn("_token", F.explode(F.when(F.size("programs") > 0, F.transform(F.array_distinct("programs"), lambda p: F.struct(F.lit(True).alias("one"), p.alias("name")))).otherwise(F.array(F.struct(F.lit(False).alias("one"), every.alias("name"))))))
+    told = F.broadcast(told) if told.limit(rows + 1).count() <= rows else told
+    values = F.create_map(*(x for c in columns for x in (F.lit(c), F.col(f"`{c}`").cast("string"))))
+    tokens = F.array(F.struct(F.lit(True).alias("one"), F.col(PROGRAM).alias("name")), F.struct(F.lit(False).alias("one"), every.alias("name")))
+    paid = prepared(df).select("_file", "_sheet", "_row", "year", "amount", values.alias("_values"), F.explode(tokens).alias("_t"))
+    joined = paid.join(told, (F.col("_t.one") == F.col("_token.one")) & F.col("_t.name").eqNullSafe(F.col("_token.name")))
+    key = F.transform("group_by", lambda c: F.element_at("_values", c))
+    return joined.select("spec_id", "template", "group_by", "distinct", "most", key.alias("key"), F.when(F.col("period") == "year", F.col("year")).alias("year"), "amount", F.when(F.col("distinct").isNotNull(), F.element_at("_values", F.col("distinct"))).alias("_value"), "_file", "_sheet", "_row")
+
+
+def evaluated(df: DataFrame, specs: DataFrame, columns: list[str] = ("기관명", PROGRAM, "수혜기업명", COMPANY), rows: int = 100_000) -> DataFrame:
+    """(spec_id, group_by, key, year, n, n_rows, total): the groups that break a rule of specs, all rules in one aggregation.
+
+    specs, columns SPEC: template is MAX_COUNT (rows, or different values of the
+    column `distinct`, above `most`) or SUM_LIMIT (readable amounts above `most`);
+    group_by names columns of any set out of `columns`, to which the scope
+    per_business adds the program; period year makes each year a group of its own, else
+    year is null; programs are those it looks at, null for all.  key has the values
+    of group_by, null and blank ones too; n is what was counted.  Values are
+    counted once a group before groups are summed, so hot groups don't gather.
+    The specs are broadcast up to `rows` rows.
+    """
+    found = _expanded(df, specs, list(columns), rows)
+    keys = ["spec_id", "template", "group_by", "distinct", "most", "key", "year"]
+    each = found.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("amount").alias("total"))
+    sums = each.groupBy(*keys).agg(F.sum("n_rows").alias("n_rows"), F.sum("total").alias("total"), F.count("_value").alias("_n"))
+    sums = sums.withColumn("n", F.when(F.col("distinct").isNull(), F.col("n_rows")).otherwise(F.col("_n")))
+    breaks = F.when(F.col("template") == "MAX_COUNT", F.col("n") > F.col("most")).when(F.col("template") == "SUM_LIMIT", F.col("total") > F.col("most")).otherwise(False)
+    return sums.where(breaks).select("spec_id", "group_by", "key", "year", "n", "n_rows", "total")
+
+
+def spec_rows(df: DataFrame, specs: DataFrame, found: DataFrame, columns: list[str] = ("기관명", PROGRAM, "수혜기업명", COMPANY), rows: int = 100_000) -> DataFrame:
+    """(spec_id, key, year, _file, _sheet, _row): the payments of the groups that evaluated() found."""
+    groups = found.select(F.col("spec_id").alias("_spec"), F.col("key").alias("_key"), F.col("year").alias("_year"))
+    on = (F.col("spec_id") == F.col("_spec")) & F.col("key").eqNullSafe(F.col("_key")) & F.col("year").eqNullSafe(F.col("_year"))
+    return _expanded(df, specs, list(columns), rows).join(groups, on, "left_semi").select("spec_id", "key", "year", "_file", "_sheet", "_row")
 
 
 def under_scopes(df: DataFrame, group_by: list[str], limits: dict[str, int], period: str = "year") -> DataFrame:
@@ -204,9 +256,13 @@ def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[s
     points = saved(dated.unionByName(points.where("day is null").withColumn("unit", named(F.lit(-1)))))
     dated, dayless = points.where("day is not null"), points.where("day is null")
 
+    # the days of a group, with the unit of that day's payments without amount; a window has no more rows than the calendar
+    by_day = dated.groupBy(*g, "day").agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("open"))
     near = Window.partitionBy(*g).orderBy("day")
-    open_ = F.when(F.col("amount").isNull(), F.struct("day", "unit"))
-    sides = dated.select("unit", "day", "amount", F.last(open_, ignorenulls=True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(open_, ignorenulls=True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("q"))
+    open_ = F.when(F.col("open").isNotNull(), F.struct("day", F.col("open").alias("unit")))
+    beside = by_day.select(*(F.col(c).alias(f"n{c}") for c in g), F.col("day").alias("nday"), F.last(open_, ignorenulls=True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(open_, ignorenulls=True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("q"))
+    met = F.expr(" and ".join([*(f"{c} <=> n{c}" for c in g), "day = nday"]))
+    sides = dated.where("amount is not null").join(beside.where("p is not null or q is not null"), met).select("unit", "day", "amount", "p", "q")
     links = [sides.where(F.col("amount").isNotNull() & (F.abs(F.datediff("day", f"{s}.day")) <= days)).select(F.col("unit").alias("a"), F.col(f"{s}.unit").alias("b")) for s in ("p", "q")]
 
     units = points.select(*g, "amount", "day", "unit")

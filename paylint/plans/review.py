@@ -54,11 +54,32 @@ def g5_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("scope", F.col("사업자번호").alias("company"), F.col("사업명").alias("program"), "year", F.col("total").cast("long").alias("total"))
 
 
+def _master(df: DataFrame) -> DataFrame:
+    """A master table with missing and repeated codes; its rows are numbered from 2 on, as in a file."""
+    n = F.substring("사업명", 1, 1).cast("int")
+    return df.select("사업명").distinct().select((n + 1).alias("_row"), F.when(n % 2 == 1, "B1").alias("사업코드"), "사업명", F.lit("350000").alias("기업당한도"), n.cast("string").alias("연간허용횟수"), F.when(n % 2 == 0, "N").otherwise("Y").alias("시군내중복허용"))
+
+
 def g6_master_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = payments(spark, sf_dir)
-    code = F.substring("사업명", 1, 1)
-    master = df.select("사업명").distinct().select(code.alias("사업코드"), "사업명", F.lit("350000").alias("기업당한도"), code.alias("연간허용횟수"), F.when(code.cast("int") % 2 == 0, "N").otherwise("Y").alias("시군내중복허용"))
-    return groups.evaluated(df, groups.specs_from_master(master)).select("spec_id", "company", "agency", "year", "n_rows", F.coalesce(F.col("total").cast("long"), F.lit(-1)).alias("total"))
+    found = groups.evaluated(df, groups.specs_from_master(_master(df)))
+    of = lambda c: F.element_at(F.map_from_arrays("group_by", "key"), F.lit(c))
+    return found.select("spec_id", of("사업자번호").alias("company"), of("기관명").alias("agency"), "year", "n_rows", F.coalesce(F.col("total").cast("long"), F.lit(-1)).alias("total"))
+
+
+#: Rules of several key sets: different programs of a company in all years, a sum over two programs, and rows of a beneficiary and agency.
+_SPECS = [("P", "MAX_COUNT", ["사업자번호"], "사업명", 3, None, "all", None), ("S", "SUM_LIMIT", ["기관명"], None, 3_000_000, "total", "year", ["1-URGENT", "2-HIGH"]), ("B", "SUM_LIMIT", ["수혜기업명"], None, 500_000, "per_business", "all", None), ("R", "MAX_COUNT", ["수혜기업명", "기관명"], None, 3, None, "year", None)]
+
+
+def g6_any_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups.evaluated(payments(spark, sf_dir), spark.createDataFrame(_SPECS, groups.SPEC))
+    return found.select("spec_id", F.concat_ws("|", "key").alias("key"), "year", "n", "n_rows", F.col("total").cast("long").alias("total"))
+
+
+def g6_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = payments(spark, sf_dir)
+    specs = groups.specs_from_master(_master(df))
+    return groups.spec_rows(df, specs, groups.evaluated(df, specs)).select("spec_id", "year", "_file", "_row")
 
 
 def k4_masked_company(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +128,10 @@ def v4_ok_without_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v6_file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.file_status_counts(_marked(spark, sf_dir)).select("_file", "approval", "request", "auto")
+    issues, log = _with_duplicates(spark, sf_dir)
+    changed = decisions.changes(issues, log)
+    marks = reports.cell_marks(reports.details(issues, log, changed, finalized=False))
+    return reports.file_status_counts(marks, reports.deleted_rows(changed)).select("_file", "approval", "request", "rejected", "auto", "deleted")
 
 
 def d9_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +144,7 @@ def x7_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    all_ = (p7_telling_columns, p8_agency_of_file, p9_program_names, c4_suspect_unit, c9_registry_status, c16_numeric_unit, g2_open_payments, g5_scopes, g6_master_rules, k4_masked_company, v1_cell_marks, v4_ok_rows, d6_dropped_rows, v4_ok_without_dropped, v6_file_status, d9_to_ask, x7_file_summary)
+    all_ = (p7_telling_columns, p8_agency_of_file, p9_program_names, c4_suspect_unit, c9_registry_status, c16_numeric_unit, g2_open_payments, g5_scopes, g6_master_rules, g6_any_rules, g6_rows, k4_masked_company, v1_cell_marks, v4_ok_rows, d6_dropped_rows, v4_ok_without_dropped, v6_file_status, d9_to_ask, x7_file_summary)
     return {f.__name__: f for f in all_}
 
 
@@ -131,6 +155,15 @@ _MARKS = (
     + """, marks AS (SELECT _file, _row, "column", count(*) AS n, min(CASE tier WHEN 'approval' THEN 1 WHEN 'request' THEN 3 ELSE 6 END) AS p FROM found GROUP BY ALL)
 """
 )
+#: The rules of _master(), a number for each row, and the groups that break them.
+_MASTER = (
+    _PAY
+    + """, a AS (SELECT _file, _row, company, "사업명" AS program, "기관명" AS ag, year, CAST(substr("사업명", 1, 1) AS INT) AS c, CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END AS x FROM keys),
+broken AS (SELECT 'RS-000' || c || 'A' AS spec_id, company, NULL AS agency, year, count(*) AS n_rows, CAST(coalesce(sum(x), -1) AS BIGINT) AS total FROM a GROUP BY c, company, year HAVING count(*) > c
+UNION ALL SELECT 'RS-000' || c || 'B', company, ag, year, count(*), CAST(coalesce(sum(x), -1) AS BIGINT) FROM a WHERE c % 2 = 0 GROUP BY c, company, ag, year HAVING count(*) > 1
+UNION ALL SELECT 'RS-000' || c || 'C', company, NULL, year, count(*), CAST(sum(x) AS BIGINT) FROM a GROUP BY c, company, year HAVING sum(x) > 350000)
+"""
+)
 #: r1's duplicate rows.
 _LATER = """, r AS (SELECT _row, row_number() OVER (PARTITION BY "기관명", "사업명", substr("지원일자", 1, 7) ORDER BY _file, _row) AS n FROM keys), later AS (SELECT _row FROM r WHERE n > 1)
 """
@@ -161,17 +194,22 @@ SELECT program, agency, count(*) AS n_rows, CAST(min(day) AS VARCHAR) AS first_d
         + """, a AS (SELECT company, "사업명" AS program, year, CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END AS x FROM keys)
 SELECT 'per_business' AS scope, company, program, year, CAST(sum(x) AS BIGINT) AS total FROM a GROUP BY company, program, year HAVING sum(x) > 400000
 UNION ALL SELECT 'total', company, NULL, year, CAST(sum(x) AS BIGINT) FROM a GROUP BY company, year HAVING sum(x) > 700000 UNION ALL SELECT 'per_payment', company, program, year, x FROM a WHERE x > 300000""",
-        "g6_master_rules": _PAY
-        + """, a AS (SELECT company, "사업명" AS program, "기관명" AS ag, year, CAST(substr("사업명", 1, 1) AS INT) AS c, CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END AS x FROM keys)
-SELECT 'RS-' || c || 'A' AS spec_id, company, NULL AS agency, year, count(*) AS n_rows, CAST(coalesce(sum(x), -1) AS BIGINT) AS total FROM a GROUP BY c, company, year HAVING count(*) > c
-UNION ALL SELECT 'RS-' || c || 'B', company, ag, year, count(*), CAST(coalesce(sum(x), -1) AS BIGINT) FROM a WHERE c % 2 = 0 GROUP BY c, company, ag, year HAVING count(*) > 1
-UNION ALL SELECT 'RS-' || c || 'C', company, NULL, year, count(*), CAST(sum(x) AS BIGINT) FROM a GROUP BY c, company, year HAVING sum(x) > 350000""",
+        "g6_master_rules": _MASTER + "SELECT spec_id, company, agency, year, n_rows, total FROM broken",
+        "g6_rows": _MASTER + """SELECT spec_id, a.year AS year, _file, _row FROM broken b JOIN a ON a.c = CAST(substr(spec_id, 4, 4) AS INT) AND a.company = b.company AND a.year = b.year AND (b.agency IS NULL OR b.agency = a.ag)""",
+        "g6_any_rules": _PAY
+        + """, a AS (SELECT company, "사업명" AS program, "기관명" AS ag, "수혜기업명" AS who, year, CASE WHEN "지원금액" = '0만' THEN 0 ELSE true_amount END AS x FROM keys)
+SELECT 'P' AS spec_id, company AS key, NULL AS year, count(DISTINCT program) AS n, count(*) AS n_rows, CAST(sum(x) AS BIGINT) AS total FROM a GROUP BY company HAVING count(DISTINCT program) > 3
+UNION ALL SELECT 'S', ag, year, count(*), count(*), CAST(sum(x) AS BIGINT) FROM a WHERE program IN ('1-URGENT', '2-HIGH') GROUP BY ag, year HAVING sum(x) > 3000000
+UNION ALL SELECT 'B', who || '|' || program, NULL, count(*), count(*), CAST(sum(x) AS BIGINT) FROM a GROUP BY who, program HAVING sum(x) > 500000
+UNION ALL SELECT 'R', who || '|' || ag, year, count(*), count(*), CAST(sum(x) AS BIGINT) FROM a GROUP BY who, ag, year HAVING count(*) > 3""",
         "k4_masked_company": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN '(주)' || substr(c_mktsegment, 1, 1) || repeat('○', length(c_mktsegment) - 1) ELSE substr(c_mktsegment, 1, 1) || repeat('○', length(c_mktsegment) - 1) || ' 주식회사' END AS company FROM customer",
         "v1_cell_marks": _MARKS + """SELECT _file, _row, "column", CASE p WHEN 1 THEN 'approval' WHEN 3 THEN 'request' ELSE 'auto' END AS status, n FROM marks""",
         "v4_ok_rows": _MARKS + "SELECT _file, _row FROM keys WHERE _row NOT IN (SELECT _row FROM marks) AND NOT coalesce(true_amount > 300000, FALSE)",
         "d6_dropped_rows": _PAY + _LATER + """SELECT _file, _row, company, CASE WHEN "지원금액" = '0만' THEN '0' ELSE coalesce(CAST(true_amount AS VARCHAR), "지원금액") END AS amount FROM keys WHERE _row % 3 = 0 OR _row NOT IN (SELECT _row FROM later)""",
         "v4_ok_without_dropped": _MARKS + _LATER + "SELECT _file, _row FROM keys WHERE _row NOT IN (SELECT _row FROM marks) AND _row NOT IN (SELECT _row FROM later) AND NOT coalesce(true_amount > 300000, FALSE)",
-        "v6_file_status": _MARKS + "SELECT _file, count(*) FILTER (p = 1) AS approval, count(*) FILTER (p = 3) AS request, count(*) FILTER (p = 6) AS auto FROM marks GROUP BY _file",
-        "d9_to_ask": _ISSUES + """SELECT _file, _row, "column", rule_id FROM found WHERE (rule_id LIKE 'DATE%' OR rule_id LIKE 'BIZNO%') AND (_row, "column") IN (SELECT _row, "column" FROM found WHERE tier = 'request')""",
+        "v6_file_status": _ISSUES + _LATER + """, details AS (SELECT _file, _row, "column", CASE tier WHEN 'approval' THEN 1 WHEN 'request' THEN 3 ELSE 6 END AS p FROM found UNION ALL SELECT _file, k._row, '기관명', 4 FROM keys k JOIN later ON later._row = k._row WHERE k._row % 3 = 0),
+m AS (SELECT _file, _row, "column", min(p) AS p FROM details GROUP BY ALL), g AS (SELECT _file, count(*) AS deleted FROM keys k JOIN later ON later._row = k._row WHERE k._row % 3 <> 0 GROUP BY 1)
+SELECT m._file AS _file, count(*) FILTER (p = 1) AS approval, count(*) FILTER (p = 3) AS request, count(*) FILTER (p = 4) AS rejected, count(*) FILTER (p = 6) AS auto, coalesce(max(deleted), 0) AS deleted FROM m LEFT JOIN g ON g._file = m._file GROUP BY m._file""",
+        "d9_to_ask": _ISSUES.replace("found AS (", "found AS MATERIALIZED (") + """SELECT _file, _row, "column", rule_id FROM found WHERE (rule_id LIKE 'DATE%' OR rule_id LIKE 'BIZNO%') AND (_row, "column") IN (SELECT _row, "column" FROM found WHERE tier = 'request')""",
         "x7_file_summary": _PAY + """SELECT _file, count(*) AS n_rows, coalesce(CAST(sum(CASE WHEN regexp_full_match("지원금액", '[0-9]+') THEN CAST("지원금액" AS BIGINT) END) AS BIGINT), 0) AS total FROM pay GROUP BY _file""",
     }
