@@ -40,6 +40,40 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).otherwise(2.0 * lcs(a, b) / (F.length(a) + F.length(b)))
 
 
+def _letters(c: Column) -> Column:
+    """The characters of a text, each with how often it has come up so far: two texts share as many of them as a common subsequence can have, or more."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    return N.let(chars, lambda all_: F.transform(all_, lambda x, i: F.concat(x, F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
+
+
+def _candidates(rows: DataFrame, columns: list[str], threshold: float, keys: list[str]) -> DataFrame:
+    """(keys, a, b): pairs of rows a < b that may be as alike as the threshold; none that is gets lost.
+
+    Letters of a row, from its rarest on, are its prefix until what is left cannot
+    reach the threshold: with s letters left of a text of l, no ratio exceeds 2s / (l
+    + s).  The rarest letter that two such rows share lies in the prefixes of both, so
+    rows meet by equal letters of equal columns only.
+    """
+    used = sum((F.coalesce(F.trim(f"`{c}`") != "", F.lit(False)).cast("int") for c in columns), F.lit(0))
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.length(f"`{c}`").alias("l"), _letters(F.col(f"`{c}`")).alias("letters")) for i, c in enumerate(columns)))).alias("x")
+    letters = rows.select(*keys, "_row", F.greatest(used, F.lit(LEAST_COLUMNS)).alias("n"), cells).select(*keys, "_row", "n", "x.c", "x.l", F.size("x.letters").alias("s"), F.explode("x.letters").alias("letter"))
+    letters = saved(letters)
+    token = [*keys, "c", "letter"]
+    often = letters.groupBy(*token).agg(F.count(F.lit(1)).alias("often"))
+    named = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"o.`{k}`")) for k in token]
+    ranked = letters.alias("l").join(often.alias("o"), named).select("l.*", "o.often")
+    order = [F.col("often"), F.col("c"), F.col("letter")]
+    left = F.col("s") - F.row_number().over(Window.partitionBy(*keys, "_row", "c").orderBy(*order)) + 1
+    most = lambda s: 2.0 * s / (F.col("l") + s)
+    gone = ranked.withColumn("left", left).withColumn("loss", most(F.col("left")) - most(F.col("left") - 1))
+    by_row = Window.partitionBy(*keys, "_row").orderBy(*order)
+    total = F.sum("loss").over(Window.partitionBy(*keys, "_row"))
+    prefix = gone.withColumn("before", F.sum("loss").over(by_row.rowsBetween(Window.unboundedPreceding, -1))).withColumn("rest", total - F.coalesce("before", F.lit(0.0)))
+    prefix = saved(prefix.where(F.col("rest") >= threshold * F.col("n") - 1e-9).select(*token, "_row"))
+    same = F.expr(" and ".join(f"x.`{k}` <=> y.`{k}`" for k in token))
+    return prefix.alias("x").join(prefix.alias("y"), same).where("x._row < y._row").selectExpr(*(f"x.`{k}` as `{k}`" for k in keys), "x._row as a", "y._row as b").distinct()
+
+
 def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:
     """(_file, _sheet, _row, like_row, score): rows that are like an earlier row of their file and sheet, and the earliest such row.
 
@@ -48,20 +82,26 @@ def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.
     reported row is like no later one: rows without an earlier undecided neighbour
     are kept, their neighbours reported, and so on until all are decided.
 
-    block: columns that must be equal for two rows to be compared; without it all
-    rows of a sheet are.  Pairs that the lengths of the texts rule out are dropped
-    before any text is compared.  Null cells are empty.
+    Rows meet if they share a rare letter, see _candidates(), which loses no pair; then
+    lengths and letters bound a pair's score before its texts are compared.  block:
+    columns that must be equal, besides, for two rows to be compared.  Null cells
+    are empty.
     """
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"v{i}") for i, c in enumerate(columns)]
     keys = [F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(block or [])]
-    rows = df.select("_file", "_sheet", "_row", *cells, *keys)
-    same = " and ".join(["x._file = y._file", "x._sheet = y._sheet", "x._row < y._row", *(f"x.b{i} <=> y.b{i}" for i in range(len(keys)))])
-    pairs = rows.alias("x").join(rows.alias("y"), F.expr(same))
+    rows = saved(df.select("_file", "_sheet", "_row", *cells, *keys))
+    by = ["_file", "_sheet", *(f"b{i}" for i in range(len(keys)))]
+    met = _candidates(rows, [f"v{i}" for i in range(len(columns))], threshold, by)
+    met = met.select(F.col("_file").alias("_f"), F.col("_sheet").alias("_s"), "a", "b")
+    of = lambda side, row: F.expr(f"{side}._file = _f and {side}._sheet = _s and {side}._row = {row}")
+    pairs = met.join(rows.alias("x"), of("x", "a")).join(rows.alias("y"), of("y", "b"))
     used = [(F.trim(f"x.v{i}") != "") | (F.trim(f"y.v{i}") != "") for i in range(len(columns))]
     n = sum((u.cast("int") for u in used), F.lit(0))
     size = lambda i: (F.length(f"x.v{i}"), F.length(f"y.v{i}"))
     most = [F.when(u, 2.0 * F.least(*size(i)) / F.greatest(size(i)[0] + size(i)[1], F.lit(1))).otherwise(0.0) for i, u in enumerate(used)]
-    possible = pairs.where((n >= LEAST_COLUMNS) & (sum(most, F.lit(0.0)) >= threshold * n - 1e-9)).withColumn("_n", n)
+    common = lambda i: F.size(F.array_intersect(_letters(F.col(f"x.v{i}")), _letters(F.col(f"y.v{i}"))))
+    shared = [F.when(u, 2.0 * common(i) / F.greatest(size(i)[0] + size(i)[1], F.lit(1))).otherwise(0.0) for i, u in enumerate(used)]
+    possible = pairs.where((n >= LEAST_COLUMNS) & (sum(most, F.lit(0.0)) >= threshold * n - 1e-9)).where(sum(shared, F.lit(0.0)) >= threshold * n - 1e-9).withColumn("_n", n)
     scores = [F.when(u, indel_ratio(F.col(f"x.v{i}"), F.col(f"y.v{i}"))).otherwise(0.0) for i, u in enumerate(used)]
     edges = possible.withColumn("score", sum(scores, F.lit(0.0)) / F.col("_n")).where(F.col("score") >= threshold - 1e-12)
     edges = saved(edges.selectExpr("x._file as _file", "x._sheet as _sheet", "x._row as a", "y._row as b", "score"))
@@ -78,23 +118,60 @@ def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.
     return kept.groupBy(*sheet, F.col("b").alias("_row")).agg(F.min(F.struct("a", "score")).alias("first")).select(*sheet, "_row", F.col("first.a").alias("like_row"), F.col("first.score").alias("score"))
 
 
+def _scored(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("score", indel_ratio(F.col("value"), F.col("code")))
+
+
+def compared_codes(values: DataFrame, book: DataFrame, n: int) -> DataFrame:
+    """(value, code, ord, score): pairs among which are the n best codes of each value, and few others.
+
+    values: (value), distinct.  book: (code, ord), distinct.  First each value is
+    compared with some codes that share one of its two letters that are rarest among
+    codes, and with the first n codes: its n-th best score there is a threshold.  Then it meets the
+    codes that share one of its letters, rarest first, as long as what is left could reach
+    the threshold, and is compared with those whose length and letters could.
+    """
+    small = book.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
+    held = lambda df: F.broadcast(df) if small else df
+    codes = saved(book.withColumn("code_letters", _letters(F.col("code"))))
+    tokens = codes.select("code", "ord", "code_letters", F.explode("code_letters").alias("letter"))
+    often = tokens.groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+    letters = values.withColumn("letters", _letters(F.col("value")))
+    each = letters.select("value", "letters", F.explode("letters").alias("letter")).join(held(often), "letter")
+    by = Window.partitionBy("value").orderBy("often", "letter")
+    left = F.count(F.lit(1)).over(Window.partitionBy("value")) - F.row_number().over(by) + 1
+    each = saved(each.select("value", "letters", "letter", F.row_number().over(by).alias("place"), left.alias("left")))
+    meet = lambda some: some.join(held(tokens), "letter")
+    # no more than n codes: a value that shares letters with fewer than n takes them
+    first = [(r["code"], r["ord"]) for r in book.orderBy("ord", "code").limit(n).collect()]
+    fill = F.array(*(F.struct(F.lit(c).alias("code"), F.lit(o).cast(book.schema["ord"].dataType).alias("ord")) for c, o in first)) if first else None
+    filled = values.select("value", F.inline(fill)) if first else values.join(codes.select("code", "ord").limit(0))
+    most = lambda shared, other: 2.0 * shared / (F.length("value") + other)
+    likely = meet(each.where("place <= 2")).select("value", "code", "ord", most(F.size(F.array_intersect("letters", "code_letters")), F.length("code")).alias("most")).distinct()
+    # any comparisons give a threshold; those of the codes with the most letters in common give a good one
+    tried = likely.withColumn("_r", F.row_number().over(Window.partitionBy("value").orderBy(F.desc("most"), "ord", "code"))).where(F.col("_r") <= 2 * n)
+    start = saved(_scored(tried.select("value", "code", "ord").unionByName(filled).distinct()))
+    best = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "ord", "code"))
+    least = start.withColumn("_r", best).where(F.col("_r") == n).select("value", F.col("score").alias("least"))
+    bounded = each.join(least, "value", "left").withColumn("least", F.coalesce("least", F.lit(0.0)) - 1e-9)
+    open_ = bounded.where(most(F.col("left"), F.col("left")) >= F.col("least"))
+    met = meet(open_).where(most(F.least(F.length("value"), F.length("code")), F.length("code")) >= F.col("least")).select("value", "letters", "least", "code", "ord", "code_letters").dropDuplicates(["value", "code"])
+    near = met.where(most(F.size(F.array_intersect("letters", "code_letters")), F.length("code")) >= F.col("least"))
+    known = start.select("value", "code")
+    return start.unionByName(_scored(near.select("value", "code", "ord").join(known, ["value", "code"], "left_anti")))
+
+
 def nearest_codes(df: DataFrame, c: str, codes: DataFrame, n: int = 3) -> DataFrame:
     """(value, rank, code, score): for each value of a column that is no code of codes (code, ord), the n most similar codes.
 
-    Each distinct value meets the codes of lengths that can reach the best ratios; of
-    equal scores the code with the smaller ord comes first.  The codes are broadcast
-    up to BROADCAST_CODES; beyond it the join is by shuffle on length.
+    Distinct values are compared with the codes that can be among the n best, see
+    compared_codes(); of equal scores the code with the smaller ord comes first.  The
+    codes are broadcast up to BROADCAST_CODES; beyond it joins go by letter with a shuffle.
     """
     book = codes.select(F.trim("code").alias("code"), "ord").where("code != ''").groupBy("code").agg(F.min("ord").alias("ord"))
-    small = book.limit(BROADCAST_CODES + 1).count() <= BROADCAST_CODES
     values = df.select(F.trim(F.col(f"`{c}`")).alias("value")).where(~N.is_blank(F.col("value"))).distinct().join(book, F.col("value") == F.col("code"), "left_anti")
-    lengths = book.select(F.length("code").alias("size")).distinct()
-    sizes = F.broadcast(lengths.agg(F.array_sort(F.collect_set("size")).alias("sizes")).withColumn("_on", F.lit(1)))
-    tried = values.withColumn("_on", F.lit(1)).join(sizes, "_on").select("value", F.explode("sizes").alias("size"))
-    by_size = book.withColumn("size", F.length("code"))
-    scored = tried.join(F.broadcast(by_size) if small else by_size, "size").withColumn("score", indel_ratio(F.col("value"), F.col("code")))
     rank = F.row_number().over(Window.partitionBy("value").orderBy(F.desc("score"), "ord", "code"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("value", "rank", "code", "score")
+    return compared_codes(values, book, n).withColumn("rank", rank).where(F.col("rank") <= n).select("value", "rank", "code", "score")
 
 
 def near_duplicate_issues(df: DataFrame, columns: list[str], threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:

@@ -67,3 +67,33 @@ def test_nearest_codes(spark):
     got = fuzzy.nearest_codes(df, "x", spark.createDataFrame(list(zip(codes, range(5))), "code string, ord int"), 2).collect()
     wanted = {(v, k + 1, c) for v in ["BIZ-0O1", "EXP1", "RND2026"] for k, c in enumerate(sorted(codes, key=lambda c: (-ratio(v, c), codes.index(c)))[:2])}
     assert {(r["value"], r["rank"], r["code"]) for r in got} == wanted
+
+
+def test_nearest_codes_of_many_equal_a_loop_and_compare_few_pairs(spark):
+    rng = random.Random(5)
+    syllables = ["가", "나", "다", "BIZ", "EXP", "01", "9", "-", "x", "qu", "😀"]
+    codes = list(dict.fromkeys("".join(rng.choice(syllables) for _ in range(rng.randrange(2, 7))) for _ in range(150)))
+    values = list(dict.fromkeys([c[:-1] + rng.choice("ab가") for c in codes[:60]] + ["#", "zz", codes[0]]))
+    df = spark.createDataFrame([(v,) for v in values], "x string")
+    book = spark.createDataFrame(list(zip(codes, range(len(codes)))), "code string, ord int")
+    for n in (1, 4):
+        got = {(r["value"], r["rank"], r["code"], round(r["score"], 9)) for r in fuzzy.nearest_codes(df, "x", book, n).collect()}
+        unknown = [v for v in values if v not in codes]
+        wanted = {(v, k + 1, c, round(ratio(v, c), 9)) for v in unknown for k, c in enumerate(sorted(codes, key=lambda c: (-ratio(v, c), codes.index(c)))[:n])}
+        assert got == wanted
+    others = spark.createDataFrame([(v,) for v in unknown], "value string")
+    assert fuzzy.compared_codes(others, book, 1).count() < 0.25 * len(unknown) * len(codes)
+
+
+def test_candidates_lose_no_pair_and_are_no_product(spark):
+    rows = [(f, s, i, a, b, c or "  ") for f, s, i, a, b, c in made(90, 7)]
+    df = spark.createDataFrame(rows, "_file string, _sheet string, _row int, v0 string, v1 string, v2 string")
+    for t in (0.6, 0.85, 1.0):
+        found = {(r["_file"], r["a"], r["b"]) for r in fuzzy._candidates(df, ["v0", "v1", "v2"], t, ["_file", "_sheet"]).collect()}
+        for i, x in enumerate(rows):
+            for y in rows[i + 1 :]:
+                pairs = [(p, q) for p, q in zip(x[3:], y[3:]) if p.strip() or q.strip()]
+                if x[0] == y[0] and len(pairs) >= 2 and sum(ratio(p, q) for p, q in pairs) / len(pairs) >= t:
+                    assert (x[0], x[2], y[2]) in found
+    plan = fuzzy.near_duplicate_rows(df, ["v0", "v1", "v2"])._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
