@@ -37,17 +37,15 @@ MARKERS = ["주식회사", "유한회사", "(주)", "(유)", "㈜", "㈲"]
 
 
 def company(c: Column) -> Column:
-    """Legal-form markers stay; of each part between them the first character stays, the others are circles."""
-    cut = c
-    for m in MARKERS:
-        cut = F.replace(cut, F.lit(m), F.lit(f"\u0000{m}\u0000"))
+    """Markers of a legal form stay, and spaces around a name; of a name between them the first character is left, the rest are circles, all of a single character."""
+    marker = "|".join(m.replace("(", "[(]").replace(")", "[)]") for m in MARKERS)
 
     def hidden(part: Column) -> Column:
-        core = F.trim(part)
-        stars = F.when(F.length(core) > 1, F.concat(F.substring(core, 1, 1), F.repeat(F.lit("○"), F.length(core) - 1))).otherwise("○")
-        return F.when(part.isin(MARKERS) | (core == ""), part).otherwise(F.concat(F.regexp_extract(part, "^ *", 0), stars, F.regexp_extract(part, " *$", 0)))
+        name = F.trim(part)
+        circles = F.when(F.length(name) == 1, "○").otherwise(F.rpad(F.substring(name, 1, 1), F.length(name), "○"))
+        return F.when(part.isin(MARKERS) | (name == ""), part).otherwise(F.replace(part, name, circles))
 
-    return F.array_join(F.transform(F.split(cut, "\u0000"), hidden), "")
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(f"(?s)({marker}|(?:(?!{marker}).)+)"), F.lit(1)), hidden), "")
 
 
 def cell(column: Column, value: Column) -> Column:
@@ -58,3 +56,35 @@ def cell(column: Column, value: Column) -> Column:
 def issues(df: DataFrame, columns: tuple[str, ...] = ("value", "suggestion")) -> DataFrame:
     """Issues or changes with values masked by the name of their column."""
     return df.withColumns({c: cell(F.col("column"), F.col(c)) for c in columns})
+
+
+def findings(df: DataFrame) -> DataFrame:
+    """Issues with numbers hidden in value, suggestion, message and explanation, as far as they have these.
+
+    Issues of business numbers, by rule or column, have their cells masked as such and
+    those cells' texts replaced in messages; all texts lose what looks like a number.
+    """
+    number = F.col("rule_id").startswith("BIZNO") | F.coalesce(F.col("column") == "사업자번호", F.lit(False))
+    cells = [c for c in ("value", "suggestion") if c in df.columns]
+    shown = {c: F.when(number, business_cell(F.col(c))).otherwise(in_text(F.col(c))) for c in cells}
+
+    def message(c: str) -> Column:
+        out = F.col(c)
+        for raw in cells:
+            out = F.when(number & (F.col(raw) != ""), F.replace(out, F.col(raw), business_cell(F.col(raw)))).otherwise(out)
+        return in_text(out)
+
+    return df.withColumns(shown | {c: message(c) for c in ("message", "explanation") if c in df.columns})
+
+
+def changes(df: DataFrame) -> DataFrame:
+    """Changes with numbers hidden in before and after."""
+    number = F.col("column") == "사업자번호"
+    return df.withColumns({c: F.when(number, business_cell(F.col(c))).otherwise(in_text(F.col(c))) for c in ("before", "after")})
+
+
+def group_findings(df: DataFrame) -> DataFrame:
+    """Group findings (group_key MAP, metric, and what findings() masks) with numbers hidden, to be saved."""
+    key = F.transform_values("group_key", lambda k, v: F.when(k == "사업자번호", business_number(v)).otherwise(in_text(v)))
+    texts = findings(df) if {"rule_id", "column"} <= set(df.columns) else df
+    return texts.withColumns({"group_key": key, "metric": in_text(F.col("metric"))})

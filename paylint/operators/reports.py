@@ -33,8 +33,13 @@ def cell_marks(found: DataFrame) -> DataFrame:
     return found.groupBy(*CELL).agg(F.min_by("status", rank).alias("status"), F.count(F.lit(1)).alias("n"))
 
 
-def file_status_counts(marks: DataFrame) -> DataFrame:
-    return marks.groupBy("_file").pivot("status", PRIORITY).count().fillna(0)
+def file_status_counts(marks: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
+    """(_file, a column for each status): marks of each file; given deleted rows (deleted_rows()), also their number as `deleted`."""
+    counts = marks.groupBy("_file").pivot("status", PRIORITY).count()
+    if deleted is None:
+        return counts.fillna(0)
+    gone = deleted.groupBy("_file").agg(F.count(F.lit(1)).alias("deleted"))
+    return counts.join(gone, "_file", "full").fillna(0)
 
 
 def deleted_rows(changes: DataFrame) -> DataFrame:
@@ -52,12 +57,26 @@ def pending(found: DataFrame) -> DataFrame:
     return found.where("status = 'request'")
 
 
+#: How far a draft has come, by the log of sending.
+SENT, STORED, DRAFT = "발송됨", "시험 저장", "초안"
+
+
 def outbox(drafts: DataFrame, log: DataFrame) -> DataFrame:
-    """drafts (org, to, subject) with handled and sent, from the log (mode, org, to, subject, result)."""
+    """drafts (org, to, subject) with handled, sent and status, from the log (mode, org, to, subject, result).
+
+    handled: the agency's draft was sent or stored.  sent: this very one was really
+    sent to this address, and must not be again.  status looks at agency and subject:
+    SENT if one was really sent, else STORED if a trial was made, else DRAFT.  Null
+    agencies and subjects are like none of the log.
+    """
+    really = (F.col("mode") == "실제") & (F.col("result") == "성공")
     handled = log.where(F.col("result").isin("성공", "저장만 됨")).select("org").distinct().withColumn("handled", F.lit(True))
-    sent = log.where("mode = '실제' and result = '성공'").select("org", "to", "subject").distinct().withColumn("sent", F.lit(True))
+    sent = log.where(really).select("org", "to", "subject").distinct().withColumn("sent", F.lit(True))
+    come = log.groupBy("org", "subject").agg(F.max(F.when(really, 2).when(F.col("mode") == "시험", 1).otherwise(0)).alias("_come"))
+    joined = drafts.join(handled, "org", "left").join(sent, ["org", "to", "subject"], "left").join(come, ["org", "subject"], "left")
     no = F.lit(False)
-    return drafts.join(handled, "org", "left").join(sent, ["org", "to", "subject"], "left").withColumns({"handled": F.coalesce("handled", no), "sent": F.coalesce("sent", no)})
+    status = F.when(F.col("_come") == 2, SENT).when(F.col("_come") == 1, STORED).otherwise(DRAFT)
+    return joined.withColumns({"handled": F.coalesce("handled", no), "sent": F.coalesce("sent", no), "status": status}).select(*(F.col(f"`{c}`") for c in drafts.columns), "handled", "sent", "status")
 
 
 def file_summary(df: DataFrame, c: str) -> DataFrame:

@@ -309,11 +309,21 @@ def d6_chained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.changes(issues, decisions.system_decisions(issues)).select("_file", "_row", "rule_id", "before", "after", "step")
 
 
+def d6_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of amounts with white space around some: operators edit the blanks of each second such cell, and the amount is then read from what they typed."""
+    df = payments(spark, sf_dir).withColumn("지원금액", F.when(F.col("_row") % 3 == 0, F.concat(F.lit("  "), "지원금액", F.lit(" "))).otherwise(F.col("지원금액")))
+    df = cells.parsed(df, ["지원금액"], blanks=COLUMNS)
+    issues = cells.collected(df, [*cells.blank(df, COLUMNS, ["지원금액"]), *cells.amount("지원금액", df)])
+    blanks = issues.where("rule_id = 'BLANK' and tier = 'auto' and _row % 2 = 0").select("issue_id", F.lit("edit").alias("action"), F.lit("9,999").alias("value"), F.lit("operator").alias("decided_by"))
+    log = decisions.system_decisions(issues).withColumn("seq", F.lit(0)).unionByName(blanks.withColumn("seq", F.lit(1)))
+    return decisions.changes(issues, log).select("_file", "_row", "rule_id", "before", "after", "decided_by", "step")
+
+
 def d8_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the checks still find when all automatic fixes are in; nothing automatic is left."""
     issues = _issues(spark, sf_dir)
     p = payments(spark, sf_dir)
-    rows = tables.saved(decisions.cleaned(p, decisions.changes(issues, decisions.system_decisions(issues)), COLUMNS))
+    rows = tables.saved(decisions.cleaned(p, decisions.changes(issues), COLUMNS))
 
     def again(df: DataFrame) -> DataFrame:
         period = ("1993-01-01", "1996-12-31")
@@ -381,22 +391,23 @@ def _recipients(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x1_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts of the format issues; a body of 1,000 lines at most is compared by its hash."""
-    asked = masking.issues(_issues(spark, sf_dir).where("rule_id = 'BIZNO_FORMAT'")).withColumn("message", F.concat("rule_id", F.lit(" "), "value"))
-    return drafts.request_drafts(asked, _recipients(spark, sf_dir)).select("org", F.coalesce("to", F.lit("-")).alias("to"), "subject", "n", F.md5("body").alias("body"))
+    """Drafts of all issues of business numbers, every line of every part; bodies and the issues in them are compared by their hashes."""
+    asked = masking.issues(_issues(spark, sf_dir).where("rule_id like 'BIZNO%'")).withColumn("message", F.concat("rule_id", F.lit(" "), "value"))
+    out = drafts.request_drafts(asked, _recipients(spark, sf_dir))
+    return out.select("org", F.coalesce("to", F.lit("-")).alias("to"), "subject", "n", F.col("part").cast("long").alias("part"), F.size("issue_ids").cast("long").alias("n_issues"), F.md5("body").alias("body"))
 
 
 def x2_group_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _g1_cells(spark, sf_dir)
     out = drafts.group_request_drafts(found, found.where("substr(metric, 1, 1) = '3'").select("group_id"), _recipients(spark, sf_dir))
-    return out.select("org", F.coalesce("to", F.lit("-")).alias("to"), "subject", "n")
+    return out.select("org", F.coalesce("to", F.lit("-")).alias("to"), "subject", "n", "part", F.md5(F.array_join("issue_ids", ",")).alias("groups"), F.md5("body").alias("body"))
 
 
 def x3_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as drafts, orders as the log of sending."""
     c = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("org"), F.concat(F.lit("c"), (F.col("c_custkey") % 7).cast("string")).alias("to"), F.lit("s").alias("subject"))
-    log = _read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "실제").otherwise("시험").alias("mode"), F.col("o_custkey").cast("string").alias("org"), F.concat(F.lit("c"), (F.col("o_custkey") % 7 + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string")).alias("to"), F.lit("s").alias("subject"), F.when(F.col("o_orderkey") % 3 == 0, "성공").when(F.col("o_orderkey") % 3 == 1, "저장만 됨").otherwise("실패").alias("result"))
-    return reports.outbox(c, log).select("org", "handled", "sent")
+    log = _read(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "실제").otherwise("시험").alias("mode"), F.col("o_custkey").cast("string").alias("org"), F.concat(F.lit("c"), (F.col("o_custkey") % 7 + F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)).cast("string")).alias("to"), F.when(F.col("o_orderkey") % 11 < 9, "s").otherwise("other").alias("subject"), F.when(F.col("o_orderkey") % 3 == 0, "성공").when(F.col("o_orderkey") % 3 == 1, "저장만 됨").otherwise("실패").alias("result"))
+    return reports.outbox(c, log).select("org", "handled", "sent", "status")
 
 
 def x4_waiting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,7 +440,7 @@ def k2_masked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    names = (s1_csv_rows, s1_parquet_rows, s2_json_tables, s3_unsupported_json, s4_flattened, s6_json_records, s7_written_tables, s10_runs, s11_masked_log, s12_next_input, s13_dispositions, s14_codebook, s15_contacts, p1_matched, p2_profiles, c1_blank_cells, c10_snapshot, c11_required, c12_iso_range, c15_nearest, c18_phones_texts, c20_json_schema, r2_near_rows, r3_reconciled, r4_excluded, g1_group_rows, g2_tolerant_payments, g2_near_rows, v3_group_labels, v5_sheet_checks, d1_escalated, d2_scoped, d4_batch, d5_guarded, d6_chained, d8_remaining, d10_stale, d11_bulk, m1_report, m5_page, v2_deleted, v7_changes, v8_page, v9_pending, x1_drafts, x2_group_drafts, x3_outbox, x4_waiting, x5_notes, x6_merged, k2_masked_texts)
+    names = (s1_csv_rows, s1_parquet_rows, s2_json_tables, s3_unsupported_json, s4_flattened, s6_json_records, s7_written_tables, s10_runs, s11_masked_log, s12_next_input, s13_dispositions, s14_codebook, s15_contacts, p1_matched, p2_profiles, c1_blank_cells, c10_snapshot, c11_required, c12_iso_range, c15_nearest, c18_phones_texts, c20_json_schema, r2_near_rows, r3_reconciled, r4_excluded, g1_group_rows, g2_tolerant_payments, g2_near_rows, v3_group_labels, v5_sheet_checks, d1_escalated, d2_scoped, d4_batch, d5_guarded, d6_chained, d6_edited, d8_remaining, d10_stale, d11_bulk, m1_report, m5_page, v2_deleted, v7_changes, v8_page, v9_pending, x1_drafts, x2_group_drafts, x3_outbox, x4_waiting, x5_notes, x6_merged, k2_masked_texts)
     return {f.__name__: f for f in names}
 
 
@@ -540,6 +551,10 @@ UNION ALL SELECT _file, _row, '지원일자', 'DATE_YEAR', CASE WHEN changed THE
         + _LATER
         + """SELECT CASE tier WHEN 'auto' THEN 'apply' ELSE 'request' END AS action, 'system' AS decided_by, 0 AS seq, count(*) AS n FROM found WHERE rule_id LIKE 'BIZNO%' AND tier <> 'approval' GROUP BY ALL
 UNION ALL SELECT 'reject', 'operator', 2, count(*) FROM later WHERE _row % 3 = 0""",
+        "d6_edited": _PAY
+        + """, c AS (SELECT _file, _row, "지원금액" AS cell, _row % 3 = 0 AS spaced, _row % 2 = 0 AS edited, CASE WHEN "지원금액" = '0만' THEN '0' ELSE CAST(true_amount AS VARCHAR) END AS canonical FROM keys WHERE "지원금액" <> '')
+SELECT _file, _row, 'BLANK' AS rule_id, '  ' || cell || ' ' AS before, CASE WHEN edited THEN '9,999' ELSE cell END AS after, CASE WHEN edited THEN 'operator' ELSE 'system' END AS decided_by, 1 AS step FROM c WHERE spaced
+UNION ALL SELECT _file, _row, 'AMOUNT_NORMALIZE', CASE WHEN spaced AND edited THEN '9,999' ELSE cell END, CASE WHEN spaced AND edited THEN '9999' ELSE canonical END, 'system', CASE WHEN spaced THEN 2 ELSE 1 END FROM c WHERE canonical IS NOT NULL AND (spaced OR canonical <> cell)""",
         "d6_chained": _TWO
         + """SELECT _file, _row, 'DATE_NORMALIZE' AS rule_id, "지원일자" AS before, true_day AS after, 1 AS step FROM dn WHERE changed AND NOT unsure
 UNION ALL SELECT _file, _row, 'DATE_YEAR', CASE WHEN changed AND NOT unsure THEN true_day ELSE "지원일자" END, y, CASE WHEN changed AND NOT unsure THEN 2 ELSE 1 END FROM dn WHERE by_year""",
@@ -556,12 +571,20 @@ SELECT _file, _row, '(완전중복)' AS value FROM r WHERE n > 1 AND first_file
         "v8_page": _DETAILS + """SELECT _file, _row FROM keys WHERE true_amount > 300000 OR _row IN (SELECT _row FROM details WHERE status <> 'auto' UNION SELECT _row FROM gone) ORDER BY _file, _row LIMIT 40 OFFSET 40""",
         "v9_pending": _DETAILS + """SELECT _file, _row, "column", rule_id, value AS before FROM details WHERE status = 'request'""",
         "x1_drafts": _ISSUES
-        + f""", b AS (SELECT _file, _row, '- ' || _row || '행 사업자번호: BIZNO_FORMAT ' || {_HIDDEN.format('value')} AS line, row_number() OVER (PARTITION BY _file ORDER BY _row) AS place FROM found WHERE rule_id = 'BIZNO_FORMAT')
-SELECT _file AS org, CASE WHEN _file = 'AFRICA' THEN '-' ELSE lower(_file) || '@mail.kr' END AS "to", '[데이터 보완 요청] ' || _file AS subject, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY place) FILTER (place <= 1000)) AS body FROM b GROUP BY _file""",
+        + f""", b AS (SELECT _file, _row, '- ' || _row || '행 사업자번호: ' || rule_id || ' ' || {_HIDDEN.format('value')} AS line, rule_id, _row // 1000 AS part FROM found WHERE rule_id LIKE 'BIZNO%'),
+t AS (SELECT _file, count(*) AS total FROM b GROUP BY 1)
+SELECT b._file AS org, CASE WHEN b._file = 'AFRICA' THEN '-' ELSE lower(b._file) || '@mail.kr' END AS "to", '[데이터 보완 요청] ' || b._file AS subject, total AS n, CAST(part AS BIGINT) AS part, count(*) AS n_issues,
+  md5(string_agg(line, chr(10) ORDER BY _row, rule_id)) AS body FROM b JOIN t ON t._file = b._file GROUP BY b._file, part, total""",
         "x2_group_drafts": _GROUPS
-        + """, t AS (SELECT _file, count(DISTINCT g) AS n FROM gc WHERE substr(metric, 1, 1) <> '3' GROUP BY 1)
-SELECT _file || ' (집계 확인)' AS org, CASE WHEN _file = 'AFRICA' THEN '-' ELSE lower(_file) || '@mail.kr' END AS "to", '[확인 요청] ' || _file || ' — 집계 점검 ' || n || '건' AS subject, n FROM t""",
-        "x3_outbox": """SELECT CAST(c_custkey AS VARCHAR) AS org, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 < 2) AS handled, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0) AS sent FROM customer""",
+        + """, named AS (SELECT _file, _sheet, _row, n, metric, key, substr(sha256('MAX_COUNT|' || gr_company || '|' || gr_program || '|' || gr_year), 1, 16) AS gid FROM (SELECT gc.*, k.company AS gr_company, k."사업명" AS gr_program, k.year AS gr_year FROM gc JOIN keys k ON k._file = gc._file AND k._row = gc._row) WHERE n <> 3 AND substr(metric, 1, 1) <> '3'),
+f AS (SELECT gid, metric, key, _file, string_agg(CAST(_row AS VARCHAR), ', ' ORDER BY _row) AS places FROM named GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY _file ORDER BY gid) AS place, count(*) OVER (PARTITION BY _file) AS total, array_to_string(list_filter(list_sort(list(_file) OVER (PARTITION BY gid)), lambda x: x <> _file), ', ') AS others FROM f),
+l AS (SELECT *, place || '. MAX_COUNT — ' || metric || chr(10) || '   - 대상: ' || key || chr(10) || '   - 위치: ' || _file || ' 실적 ' || places || '행' || CASE WHEN others <> '' THEN chr(10) || '   - 같은 건이 다른 파일에도 걸쳐 있음: ' || others ELSE '' END AS line FROM o)
+SELECT _file || ' (집계 확인)' AS org, CASE WHEN _file = 'AFRICA' THEN '-' ELSE lower(_file) || '@mail.kr' END AS "to", '[확인 요청] ' || _file || ' — 집계 점검 ' || total || '건' AS subject, total AS n, 'MAX_COUNT|' || substr(gid, 1, 2) AS part,
+  md5(string_agg(gid, ',' ORDER BY place)) AS groups, md5(string_agg(line, chr(10) ORDER BY place)) AS body FROM l GROUP BY _file, total, substr(gid, 1, 2)""",
+        "x3_outbox": """WITH c AS (SELECT *, CASE WHEN o_orderkey % 11 < 9 THEN 's' ELSE 'other' END AS subject, o_orderkey % 2 = 0 AS real, o_orderkey % 3 = 0 AS good, o_orderkey % 5 <> 0 AS same FROM orders)
+SELECT CAST(c_custkey AS VARCHAR) AS org, EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND o_orderkey % 3 < 2) AS handled, EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND real AND good AND same AND subject = 's') AS sent,
+  CASE WHEN EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND real AND good AND subject = 's') THEN '발송됨' WHEN EXISTS (SELECT 1 FROM c WHERE o_custkey = c_custkey AND NOT real AND subject = 's') THEN '시험 저장' ELSE '초안' END AS status FROM customer""",
         "x4_waiting": _PAY + """SELECT _file, _row, CASE WHEN _file <> 'AFRICA' AND length(dg) <> 10 THEN '(회신 대기)' ELSE "사업자번호" END AS number, CASE WHEN _file <> 'AFRICA' AND "지원금액" = '' THEN '(회신 대기)' ELSE "지원금액" END AS amount, "사업명" AS program FROM keys""",
         "x5_notes": _GROUPS
         + """, pf AS (SELECT g, _file, _file || ' ' || string_agg(CAST(_row AS VARCHAR), '·' ORDER BY _row) || '행' AS p FROM gc GROUP BY g, _file), w AS (SELECT g, string_agg(p, ' / ' ORDER BY _file) AS w FROM pf GROUP BY g)

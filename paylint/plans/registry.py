@@ -108,8 +108,7 @@ def d3_system_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = payments(spark, sf_dir)
-    issues = _issues(spark, sf_dir)
-    changed = decisions.changes(issues, decisions.system_decisions(issues))
+    changed = decisions.changes(_issues(spark, sf_dir))
     return decisions.cleaned(df, changed, COLUMNS).select("_file", "_row", F.col("사업자번호").alias("company"), F.col("지원금액").alias("amount"))
 
 
@@ -180,6 +179,6 @@ SELECT _file, _row, CASE WHEN first_file = _file THEN '(완전중복)' ELSE '(
         "d3_system_decisions": _ISSUES + "SELECT CASE WHEN tier = 'auto' THEN 'apply' ELSE 'request' END AS action, count(*) AS n FROM found WHERE tier <> 'approval' GROUP BY 1",
         "d6_cleaned": _PAY + """SELECT _file, _row, company, CASE WHEN "지원금액" = '0만' THEN '0' ELSE coalesce(CAST(true_amount AS VARCHAR), "지원금액") END AS amount FROM keys""",
         "m2_summary": _ISSUES + "SELECT 'tier' AS kind, tier AS item, count(*) AS n FROM found GROUP BY tier UNION ALL SELECT 'rule', rule_id, count(*) FROM found GROUP BY rule_id UNION ALL SELECT 'file', _file, count(*) FROM found GROUP BY _file",
-        "m3_file_tiers": _ISSUES + "SELECT _file, count(*) FILTER (tier = 'auto') AS auto, count(*) FILTER (tier = 'approval') AS approval, count(*) FILTER (tier = 'request') AS request FROM found GROUP BY _file",
+        "m3_file_tiers": _ISSUES + "SELECT _file, count(*) FILTER (tier = 'auto') AS auto, count(*) FILTER (tier = 'approval') AS approval, count(*) FILTER (tier = 'request') AS request, count(*) AS total FROM found GROUP BY _file",
         "m4_top_rules": _ISSUES + "SELECT rule_id, count(*) AS n FROM found GROUP BY 1 ORDER BY n DESC, rule_id LIMIT 5",
     }
