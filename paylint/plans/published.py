@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylint.functions import masking
-from paylint.operators import decisions
+from paylint.operators import decisions, pages
 from paylint.plans.exports import _HIDDEN, CELL, _json_folder, _read
 from paylint.plans.registry import _ISSUES, _issues
-from paylint.sources import json_documents, publication, tables
+from paylint.sources import json_arrays, json_documents, publication, tables
 
 #: The folder of a file, which tells the files of _json_folder() apart.
 _FOLDER = "regexp_extract(_metadata.file_path, '([^/]+)/[^/]+$', 1)"
@@ -55,8 +55,29 @@ def k6_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.findings(_issues(spark, sf_dir).withColumn("message", told)).select("_file", "_row", "column", "rule_id", "value", "suggestion", "message")
 
 
+def s2_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of each region as one file that is a list, with brackets, quotes and escapes in texts, read in pieces."""
+    c = _read(spark, sf_dir, "customer").join(F.broadcast(_read(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    text = F.concat("c_name", F.element_at(F.array(*map(F.lit, _NASTY)), (F.col("c_custkey") % len(_NASTY) + 1).cast("int")))
+    docs = c.groupBy(F.col("n_regionkey").alias("part")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("c_custkey", F.struct(text.alias("text"), F.array(F.struct("c_mktsegment")).alias("l")).alias("o"))))).alias("value"))
+    got = json_arrays.load_json_array(spark, [_json_folder(spark, docs)], _FOLDER)
+    return got.select(F.regexp_extract("_file", "[0-9]+", 0).cast("long").alias("region"), "_row", F.try_variant_get("record", "$.c_custkey", "long").alias("c_custkey"), F.try_variant_get("record", "$.o.text", "string").alias("text"), F.try_variant_get("record", "$.o.l[0].c_mktsegment", "string").alias("segment"))
+
+
+#: Ends of texts that look like the end of a record.
+_NASTY = ['"}', "\\", "}, {", "]", '\\"}', ""]
+
+
+def m5_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eighth page of a hundred of the issues that are not automatic, from the index of their ranges."""
+    order = ["_file", "_row", "column", "rule_id"]
+    issues = _issues(spark, sf_dir).where("tier <> 'auto'").select("_file", "_row", "column", "rule_id", "tier")
+    pages.write_pages(issues, path := tables.new_path(spark, "pages"), order, 1_000)
+    return pages.Pages(spark, path, order).page(7, 100)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (s6_documents, s10_published, k6_findings)}
+    return {f.__name__: f for f in (s6_documents, s10_published, k6_findings, s2_json_array, m5_deep_page)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,6 +85,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "s6_documents": """SELECT n_name, 2 AS n_codes, CAST(row_number() OVER (PARTITION BY n_name ORDER BY c_custkey) - 1 AS INTEGER) AS place, c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_custkey * 2 ELSE CAST(floor(c_acctbal * 100) AS BIGINT) END AS balance,
   c_mktsegment AS segment, c_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0""",
+        "s2_json_array": "SELECT n_regionkey AS region, row_number() OVER (PARTITION BY n_regionkey ORDER BY c_custkey) + 1 AS _row, c_custkey, c_name || [" + ", ".join(f"'{x}'" for x in _NASTY) + f"][c_custkey % {len(_NASTY)} + 1] AS text, c_mktsegment AS segment FROM customer JOIN nation ON c_nationkey = n_nationkey",
+        "m5_deep_page": _ISSUES + """, f AS (SELECT _file, _row, "column", rule_id, tier, row_number() OVER (ORDER BY _file, _row, "column", rule_id) - 1 AS place FROM found WHERE tier <> 'auto') SELECT * FROM f WHERE place BETWEEN 700 AND 799""",
         "s10_published": _ISSUES + """SELECT 'r1' AS run_id, rule_id, count(*) AS n, count(nullif(value, '')) AS n_values FROM found WHERE tier = 'auto' GROUP BY rule_id UNION ALL SELECT 'r3', rule_id, count(*), count(nullif(value, '')) FROM found WHERE tier = 'request' GROUP BY rule_id""",
         "k6_findings": _ISSUES + f"""SELECT _file, _row, "column", rule_id, {hide('value')} AS value, {hide('suggestion')} AS suggestion, rule_id || ': ' || {hide('value')} || ' -> ' || coalesce({hide('suggestion')}, '?') AS message FROM found""",
     }

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 
@@ -91,3 +92,49 @@ def test_new_paths_need_a_shared_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         tables.new_path(Spark(), "x")
+
+
+def test_large_arrays_are_cut_at_records_in_any_split(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from paylint.sources import json_arrays
+
+    nasty = ['} ] [ { , "', "\\", '\\"}', "{\n}", "é}]日本", "", "[]"]
+    files = {
+        "one.json": json.dumps([{"i": i, "s": nasty[i % 7] * (i % 5), "o": {"l": [{"x": i}, [], {}], "}": "]"}, "n": None} for i in range(300)], ensure_ascii=False),
+        "two.json": json.dumps([{"i": i, "s": nasty[i % 7], "o": {}} for i in range(120)], indent=3),
+        "none.json": "[]",
+        "last.json": ' [ {"i": 1 , "s": "}"} ]\n',
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    paths = [str(tmp_path / n) for n in files]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = spark.read.text(paths, lineSep="}")
+        assert read.select("_metadata.file_block_start").distinct().count() > 10
+        got = json_arrays.load_json_array(spark, paths).select("_file", "_row", F.col("record").cast("string").alias("t")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {(r["_file"], r["_row"]): json.loads(r["t"]) for r in got} == {(n, i + 2): x for n, t in files.items() for i, x in enumerate(json.loads(t))}
+    assert len(got) == 421
+
+
+def test_pages_read_their_part_alone(spark, tmp_path):
+    from paylint.operators import pages
+
+    rows = [(i * 7919 % 1000, f"r{i}", None if i % 9 == 0 else i % 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k long, name string, g int").repartition(4)
+    pages.write_pages(df, str(tmp_path / "p"), ["g", "k"], part_rows=90)
+    index = pages.Pages(spark, str(tmp_path / "p"), ["g", "k"])
+    want = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    assert index.total == 1000 and len(index.parts) > 8
+    for number, size in ((0, 50), (7, 50), (19, 50), (20, 50), (3, 300), (0, 5000)):
+        got = index.page(number, size).orderBy("place").collect()
+        assert [(r["k"], r["name"], r["g"]) for r in got] == want[number * size : (number + 1) * size]
+        assert [r["place"] for r in got] == list(range(number * size, min(1000, (number + 1) * size)))
+    plan = index.page(7, 50)._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*part#", plan)
+    pages.write_pages(df.limit(0), str(tmp_path / "none"), ["k"])
