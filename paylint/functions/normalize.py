@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +27,19 @@ def strip(c: Column) -> Column:
     return F.when(F.substring(c, 1, 1).isin(_SPACES) | F.substring(c, -1, 1).isin(_SPACES), F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).otherwise(c)
 
 
+_BLANK = "|".join(re.escape(b) for b in sorted(BLANK, key=len, reverse=True))
+
+
 def is_blank(c: Column) -> Column:
-    return c.isNull() | strip(c).isin(BLANK)
+    """Null, or one of BLANK with white space of any kind around it; looked at once from the front, without going back."""
+    return c.isNull() | c.rlike(rf"(?U)^\s*+(?:{_BLANK})?+\s*+$")
 
 
 def squeeze(c: Column) -> Column:
     """Trimmed, with tabs, line ends, no-break and wide spaces, and runs of spaces as one space; null if nothing changes."""
     out = F.regexp_replace(strip(c), "[\\t\\r\\n　 ]+| {2,}", " ")
-    return F.when(out != c, out)
+    # most cells have nothing to change, which one look tells
+    return F.when(c.rlike("(?U)^\\s|\\s$|[\\t\\r\\n\u3000\u00a0]| {2}"), F.when(out != c, out))
 
 
 def half_width(c: Column) -> Column:
@@ -87,7 +94,7 @@ def amount(c: Column, unit: str | None = None) -> Column:
     """A whole amount of money as DECIMAL(20,0), null if the text is none: 1,000,000  ₩5,000  5천만원  1억 2천만  1.5억  -500.
 
     unit: that of the column's header (억, 만 or 천, with or without 원); it scales plain numbers.
-    Cells of digits alone are cast without any further look.
+    Cells of digits and commas, with or without 만 and 원, are cast without any further look.
     """
     scale = _scale(unit)
     whole = lambda x: F.when(x == F.floor(x), x).try_cast("decimal(20,0)")
@@ -101,7 +108,9 @@ def amount(c: Column, unit: str | None = None) -> Column:
 
     if scale is not None:
         return let(_money(c), read)
-    return F.when(c.rlike("^[0-9]{1,18}$"), c.try_cast("decimal(20,0)")).otherwise(let(_money(c), read))
+    # the usual forms need no steps, which spares them the lambdas
+    plain, man = F.translate(c, ",원", "").try_cast("decimal(20,0)"), (F.translate(c, "만원", "").try_cast("decimal(20,0)") * 10_000).try_cast("decimal(20,0)")
+    return F.when(c.rlike("^[0-9][0-9,]{0,17}원?$"), plain).when(c.rlike("^[0-9]{1,12}만원?$"), man).otherwise(let(_money(c), read))
 
 
 def amount_certain(c: Column, unit: str | None = None) -> Column:
@@ -198,7 +207,7 @@ def check_digit_ok(c: Column) -> Column:
 def business_number(c: Column) -> Column:
     """XXX-XX-XXXXX, or null if there are not ten digits."""
     d = digits(c)
-    return F.when(F.length(d) == 10, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 5)))
+    return F.when(c.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{5}\z"), c).when(F.length(d) == 10, F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 5)))
 
 
 def business_key(c: Column) -> Column:
