@@ -33,7 +33,7 @@ def iso_date_range(c: str, lo: str, hi: str) -> list[Column]:
 
 
 #: JSON types of a schema and the variant types that satisfy them.
-JSON_TYPES = {"string": "STRING", "integer": "BIGINT", "number": "(BIGINT|DECIMAL\\(.*\\)|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>", "null": "VOID"}
+JSON_TYPES = {"string": "STRING", "integer": "(BIGINT|DECIMAL\\(.*\\)|DOUBLE|FLOAT)", "number": "(BIGINT|DECIMAL\\(.*\\)|DOUBLE|FLOAT)", "boolean": "BOOLEAN", "object": "OBJECT<.*>", "array": "ARRAY<.*>", "null": "VOID"}
 
 
 def _violations(v: Column, schema: dict, at: str) -> list[Column]:
@@ -41,7 +41,12 @@ def _violations(v: Column, schema: dict, at: str) -> list[Column]:
     there, out = value.isNotNull(), []
     kind = F.schema_of_variant(value)
     if "type" in schema:
-        out.append(F.when(there & ~kind.rlike(f"(?s)^{JSON_TYPES[schema['type']]}$"), F.lit(f"{at}: not {schema['type']}")))
+        fits = kind.rlike(f"(?s)^{JSON_TYPES[schema['type']]}$")
+        if schema["type"] == "integer":
+            # 1.0 and 1e2 are integers, however wide; decimals are compared by their digits
+            text, real = F.try_variant_get(v, at, "string"), F.try_variant_get(v, at, "double")
+            fits = fits & F.when(kind.startswith("DECIMAL"), text.rlike("^-?[0-9]+([.]0*)?$")).when(kind.isin("DOUBLE", "FLOAT"), real % 1 == 0).otherwise(F.lit(True))
+        out.append(F.when(there & ~F.coalesce(fits, F.lit(False)), F.lit(f"{at}: not {schema['type']}")))
     if "enum" in schema:
         out.append(F.when(there & ~F.coalesce(F.try_variant_get(v, at, "string").isin([str(x) for x in schema["enum"]]), F.lit(False)), F.lit(f"{at}: not in enum")))
     number = F.try_variant_get(v, at, "double")

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 _COMMITS = "run_id string, attempt string, at timestamp, kinds array<string>"
 

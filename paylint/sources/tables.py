@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from paylint.functions import normalize as N
 
 META = ["_file", "_sheet", "_row"]
 
@@ -166,8 +171,55 @@ def codebook(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.trim(F.col(f"`{df.columns[0]}`")).alias("code")).where("code != ''").distinct()
 
 
-def contacts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """(agency, mail) with a well-formed address; of repeated agencies the last row of the file counts."""
-    df = spark.read.csv(path, header=True, encoding=encoding).withColumn("_at", F.monotonically_increasing_id())
-    good = df.where(F.trim("담당자메일").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"))
-    return good.groupBy(F.trim("기관명").alias("agency")).agg(F.max_by(F.trim("담당자메일"), "_at").alias("mail"))
+#: The columns that a list of contacts must have.
+AGENCY, MAIL = "기관명", "담당자메일"
+
+
+def _header(names: list[str]) -> list[str]:
+    """Column names that were read byte by byte, as UTF-8 with or without a mark in front, else as CP949."""
+    for encoding in ("utf-8-sig", "cp949"):
+        try:
+            return [n.encode("iso-8859-1").decode(encoding) for n in names]
+        except UnicodeDecodeError:
+            continue
+    return names
+
+
+@F.pandas_udf(StringType())
+def _cp949(values: pd.Series) -> pd.Series:
+    def text(b: bytes | None) -> str | None:
+        try:
+            return None if b is None else bytes(b).decode("cp949")
+        except UnicodeDecodeError:
+            return None
+
+    return values.map(text)
+
+
+def contacts(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(agency, mail) with a well-formed address; of repeated agencies the last row counts, by file name and then by place.
+
+    Files are UTF-8, or CP949 if some value of the file is no UTF-8.  Without a file, or
+    without the two columns, there are no contacts; values that neither encoding
+    reads are left out.
+    """
+    none = spark.createDataFrame([], "agency string, mail string")
+    try:
+        raw = spark.read.csv(path, header=True, encoding="ISO-8859-1")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return none
+    names = [n.strip() for n in _header(raw.columns)]
+    if not {AGENCY, MAIL} <= set(names):
+        return none
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    of = {n: F.encode(F.col(f"`{c}`"), "ISO-8859-1") for n, c in zip(names, raw.columns, strict=True)}
+    rows = saved(raw.select(of[AGENCY].alias("a"), of[MAIL].alias("m"), place.alias("at")))
+    utf8 = lambda c: F.coalesce(F.is_valid_utf8(F.col(c).cast("string")), F.lit(True))
+    files = rows.groupBy(F.col("at.file").alias("_file")).agg(F.bool_and(utf8("a") & utf8("m")).alias("utf8"))
+    told = rows.join(files, F.col("at.file") == F.col("_file"))
+    read = lambda c: F.when(F.col("utf8"), F.col(c).cast("string")).otherwise(_cp949(F.col(c)))
+    clean = told.select(N.strip(read("a")).alias("agency"), N.strip(read("m")).alias("mail"), "at")
+    good = clean.where(F.col("mail").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$") & (F.col("agency") != ""))
+    return good.groupBy("agency").agg(F.max_by("mail", "at").alias("mail"))

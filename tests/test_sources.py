@@ -138,3 +138,24 @@ def test_pages_read_their_part_alone(spark, tmp_path):
     plan = index.page(7, 50)._jdf.queryExecution().toString()
     assert re.search(r"PartitionFilters: \[[^]]*part#", plan)
     pages.write_pages(df.limit(0), str(tmp_path / "none"), ["k"])
+
+
+def test_contacts_in_two_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("기관명,부서,담당자메일\n시군 가,x,a@b.kr\n시군 나,x,bad\n 시군 다 ,x, d@e.kr \n,x,n@n.kr\n".encode("cp949"))
+    (tmp_path / "b.csv").write_bytes("기관명,부서,담당자메일\n시군 가,x,later@b.kr\n시군 가,x,last@b.kr\n시군 라,x,r@s.kr\n".encode("utf-8-sig"))
+    (tmp_path / "c.csv").write_text("name,mail\na,b@c.d\n", encoding="utf-8")
+    got = lambda p: {r["agency"]: r["mail"] for r in tables.contacts(spark, p).collect()}
+    assert got(str(tmp_path / "a.csv")) == {"시군 가": "a@b.kr", "시군 다": "d@e.kr"}
+    assert got(str(tmp_path / "b.csv")) == {"시군 가": "last@b.kr", "시군 라": "r@s.kr"}
+    assert got(str(tmp_path / "c.csv")) == got(str(tmp_path / "none.csv")) == {}
+
+
+def test_integers_of_a_json_schema(spark):
+    from pyspark.sql import functions as F
+
+    from paylint.operators import strict
+
+    given = {"1": None, "1.0": None, "-3.000": None, "1e2": None, "12345678901234567890123": None, "1" * 60: None, "1.5": "$: not integer", "9007199254740993.5": "$: not integer", "1.5e0": "$: not integer", '"1"': "$: not integer", "true": "$: not integer", "": None}
+    df = spark.createDataFrame([(k,) for k in given], "t string")
+    got = {r["t"]: r["m"] for r in df.select("t", strict.json_violation(F.col("t"), {"type": "integer"}).alias("m")).collect()}
+    assert got == given
