@@ -22,7 +22,7 @@ CACHE = 350_000
 #: Pieces that stay in a worker between tasks, at most.
 KEPT = 50_000
 #: Texts are encoded in pieces of about so many bytes at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: New pieces encoded in one string.
 JOINED = 128
 #: Before a space that follows something other than white space the pre-tokenizer always begins a new piece.
