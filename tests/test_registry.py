@@ -1,11 +1,11 @@
 import duckdb
 import pytest
 
-from paylint.plans import checks, exports, registry, review
+from paylint.plans import checks, exports, published, registry, review
 
 TABLES = ("orders", "customer", "nation", "region", "lineitem", "documents", "part", "supplier", "events")
-QUERIES = registry.queries() | review.queries() | checks.queries() | exports.queries()
-SQL = registry.oracle_sql() | review.oracle_sql() | checks.oracle_sql() | exports.oracle_sql()
+QUERIES = registry.queries() | review.queries() | checks.queries() | exports.queries() | published.queries()
+SQL = registry.oracle_sql() | review.oracle_sql() | checks.oracle_sql() | exports.oracle_sql() | published.oracle_sql()
 
 
 def shown(rows):
