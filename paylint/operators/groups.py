@@ -224,20 +224,29 @@ def _similar(dated: DataFrame, g: list[str], days: int, tol_pct: float) -> DataF
     """(_g..., amount, day, unit) for points (_g..., amount, day): points of a group share a unit if steps of at most `days` and tol_pct link them.
 
     Points lie in cells of days + 1 days and of amounts that differ by less than the
-    tolerance, so all of a cell are linked.  Between neighbouring cells only the
-    smallest and the largest amount of each day are compared: they link if any do.
+    tolerance, so all of a cell are linked.  Cells of the same days are compared by
+    their smallest and largest amounts: they link if any do.  Of a cell and a later one
+    only days count that no other outdoes: of the later cell those with an amount nearer to the
+    other's than all days before, of the earlier one those with one nearer than all days after.
     """
     band = _band(F.col("amount"), tol_pct)
     cells = dated.withColumns({"_sign": F.signum("amount").cast("int"), "_band": band, "_time": F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / (days + 1))})
     cell = [*g, "_sign", "_band", "_time"]
     cells = saved(cells.withColumn("cell", F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})))
     edges = cells.groupBy("cell", *cell, "day").agg(F.min(F.abs("amount")).alias("lo"), F.max(F.abs("amount")).alias("hi"))
-    moves = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(t).alias("t")) for b in (-2, -1, 0, 1, 2) for t in (0, 1) if t or b > 0))
-    x = edges.withColumn("_m", F.explode(moves)).select(*(F.col(c).alias(f"x{c}") for c in g), F.col("cell").alias("a"), F.col("_sign").alias("xs"), (F.col("_band") + F.col("_m.b")).alias("xb"), (F.col("_time") + F.col("_m.t")).alias("xt"), F.col("day").alias("xday"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"))
-    on = " and ".join([*(f"x{c} <=> {c}" for c in g), "xs = _sign", "xb = _band", "xt = _time"])
+    past, rest = (Window.partitionBy("cell").orderBy("day").rowsBetween(*r) for r in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
+    least = lambda w: F.coalesce(F.col("lo") < F.min("lo").over(w), F.lit(True))
+    most = lambda w: F.coalesce(F.col("hi") > F.max("hi").over(w), F.lit(True))
+    edges = saved(edges.select("*", least(past).alias("early_lo"), most(past).alias("early_hi"), least(rest).alias("late_lo"), most(rest).alias("late_hi"), F.lag("day").over(Window.partitionBy("cell").orderBy("day")).isNull().alias("first"), F.lead("day").over(Window.partitionBy("cell").orderBy("day")).isNull().alias("last")))
+    moves = F.array(*(F.when({1: F.col("late_hi"), -1: F.col("late_lo"), 0: F.col("last")}[(b > 0) - (b < 0)], F.lit(b)) for b in (-2, -1, 0, 1, 2)))
+    named = lambda df, b, t, *more: df.select(*(F.col(c).alias(f"x{c}") for c in g), F.col("cell").alias("a"), F.col("_sign").alias("xs"), (F.col("_band") + b).alias("xb"), (F.col("_time") + t).alias("xt"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), *more)
+    on = F.expr(" and ".join([*(f"x{c} <=> {c}" for c in g), "xs = _sign", "xb = _band", "xt = _time"]))
     fits = lambda p, q: _fits(p, q, tol_pct)
-    near = x.join(edges, F.expr(on)).where(f"a != cell and abs(datediff(day, xday)) <= {days} and (({fits('xlo', 'hi')}) or ({fits('xhi', 'lo')}) or ({fits('xlo', 'lo')}) or ({fits('xhi', 'hi')}))")
-    found = components(near.select("a", F.col("cell").alias("b")).distinct())
+    whole = saved(edges.groupBy("cell", *cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    beside = named(whole.withColumn("_m", F.explode(F.array(F.lit(1), F.lit(2)))), F.col("_m"), 0).join(whole, on).where(fits("xhi", "lo"))
+    x = named(edges.withColumn("_m", F.explode(moves)).where("_m is not null"), F.col("_m"), 1, F.col("day").alias("xday"), "_m")
+    later = x.join(edges.where("early_lo or early_hi or first"), on).where(f"datediff(day, xday) <= {days} and case when _m > 0 then early_lo and {fits('xhi', 'lo')} when _m < 0 then early_hi and {fits('xlo', 'hi')} else first end")
+    found = components(beside.select("a", F.col("cell").alias("b")).union(later.select("a", "cell")).distinct())
     return cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").select(*dated.columns, F.coalesce("label", "cell").alias("unit"))
 
 
@@ -245,7 +254,7 @@ def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[s
     """Payments (_g..., amount, day, _file, _sheet, _row), and their points with counts and the label of the component."""
     g = [f"_g{i}" for i in range(len(group_by))]
     rows = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", "_file", "_sheet", "_row")
-    points = rows.groupBy(*g, "amount", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi"))
+    points = saved(rows.groupBy(*g, "amount", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi")))
     by = Window.partitionBy(*g, "amount").orderBy("day")
     fresh = F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int")
     named = lambda chain: F.to_json(F.struct(*g, "amount", chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})
@@ -253,7 +262,11 @@ def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[s
     dated = open_amounts.withColumn("_new", fresh).withColumn("unit", named(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new")
     if tol_pct:
         dated = dated.unionByName(_similar(points.where("day is not null and amount is not null"), g, days, tol_pct))
-    points = saved(dated.unionByName(points.where("day is null").withColumn("unit", named(F.lit(-1)))))
+    unit = named(F.lit(-1))
+    if tol_pct:
+        # amounts of a band are alike, so those without a day are one unit
+        unit = F.when(F.col("amount").isNull(), unit).otherwise(F.to_json(F.struct(*g, F.signum("amount").cast("int").alias("sign"), _band(F.col("amount"), tol_pct).alias("open_band")), {"ignoreNullFields": "false"}))
+    points = saved(dated.unionByName(points.where("day is null").withColumn("unit", unit)))
     dated, dayless = points.where("day is not null"), points.where("day is null")
 
     # the days of a group, with the unit of that day's payments without amount; a window has no more rows than the calendar
@@ -270,10 +283,12 @@ def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[s
     u = units.alias("u")
     known = dayless.select(*g, "amount", F.col("unit").alias("b")).where("amount is not null")
     if tol_pct:
-        # one row for each amount without a day meets the points in the bands next to its own
-        spread = known.withColumn("band", F.explode(F.sequence(_band(F.col("amount"), tol_pct) - 2, _band(F.col("amount"), tol_pct) + 2)))
-        banded = units.where("amount is not null").withColumn("band", _band(F.col("amount"), tol_pct))
-        links.append(banded.alias("u").join(spread.alias("d"), same("d", [*g, "band"]) & F.expr(_fits("u.amount", "d.amount", tol_pct))).selectExpr("u.unit as a", "d.b as b"))
+        # a band of amounts without a day meets units in the bands next to it by their smallest and largest amounts there, of which two fit if any do
+        banded = points.where("amount is not null").groupBy(*g, F.signum("amount").cast("int").alias("sign"), _band(F.col("amount"), tol_pct).alias("band"), "unit", F.col("day").isNull().alias("open"))
+        banded = saved(banded.agg(F.min(F.abs("amount")).alias("lo"), F.max(F.abs("amount")).alias("hi")))
+        spread = banded.where("open").withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)))
+        fit = " or ".join(f"({_fits(f'u.{p}', f'd.{q}', tol_pct)})" for p in ("lo", "hi") for q in ("lo", "hi"))
+        links.append(banded.alias("u").join(spread.alias("d"), same("d", [*g, "sign", "band"]) & F.expr(fit)).selectExpr("u.unit as a", "d.unit as b"))
     else:
         links.append(u.join(known.alias("d"), same("d", [*g, "amount"])).selectExpr("u.unit as a", "d.b as b"))
     firsts = units.groupBy(*g).agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("f_amount"), F.min(F.when(F.col("day").isNull(), F.col("unit"))).alias("f_day"), F.min(F.when(F.col("amount").isNull() & F.col("day").isNull(), F.col("unit"))).alias("f_both"))
