@@ -8,15 +8,23 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a part, about.
+from paylint.sources.tables import saved
+
+#: Rows of a part, and of a range, which has one part or more, about.
 PART_ROWS = 200_000
 
 
 def write_pages(df: DataFrame, path: str, order: list[str], part_rows: int = PART_ROWS) -> None:
-    """Write df in parts of rising ranges of its order, a folder each. The order must tell rows apart, or equal rows may change places."""
-    parts = max(1, -(-df.count() // part_rows))
-    ranged = df.repartitionByRange(parts, *(F.col(f"`{c}`").asc_nulls_first() for c in order))
-    ranged.withColumn("part", F.spark_partition_id()).sortWithinPartitions(*order).write.partitionBy("part").parquet(path)
+    """Write df in parts of rising ranges of its order. The order must tell rows apart, or equal rows may change places.
+
+    Small parts share a range, so that there are neither tasks nor files for each of them;
+    a range is in order in its file, where a page finds its part by the file's statistics.
+    """
+    df, by = saved(df), [F.col(f"`{c}`").asc_nulls_first() for c in order]
+    ranges = max(1, -(-df.count() // max(part_rows, PART_ROWS)))
+    ranged = df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id().cast("long"))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
+    ranged.withColumn("part", F.col("_range") * 2**32 + F.floor(at / part_rows)).drop("_range").write.parquet(path)
 
 
 class Pages:
