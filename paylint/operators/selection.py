@@ -11,6 +11,13 @@ from paylint.sources.tables import saved
 HELD = 200_000
 #: A group's values are cut into so many parts of about equal size in each round.
 PARTS = 64
+#: Tables of at most this many rows, a few for each group, are broadcast.
+FEW = 10_000
+
+
+def few(table: DataFrame, rows: int = FEW) -> DataFrame:
+    """A saved table of groups, marked for broadcast if it has at most `rows` rows; with more of them a shuffle spreads the groups."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
 def percentiles(df: DataFrame, by: list[str], value: Column, qs: list[float], held: int = HELD) -> DataFrame:
@@ -33,9 +40,9 @@ def percentiles(df: DataFrame, by: list[str], value: Column, qs: list[float], he
         wide = bounds.where(F.col("different") > held)
         if wide.isEmpty():
             break
-        found = saved(_narrowed(rows, wide, keys))
+        found = saved(_narrowed(rows, saved(wide), keys))
         bounds = saved(bounds.where(F.col("different") <= held).unionByName(found))
-    inside = _within(rows, bounds, keys).groupBy(*keys, "i", "x").agg(F.count(F.lit(1)).alias("c"))
+    inside = _within(rows, few(bounds), keys).groupBy(*keys, "i", "x").agg(F.count(F.lit(1)).alias("c"))
     upto = F.sum("c").over(Window.partitionBy(*keys, "i").orderBy("x"))
     ranked = inside.withColumn("upto", upto).alias("r").join(bounds.alias("b"), _same("r", "b", [*keys, "i"]))
     last = F.col("b.below") + F.col("r.upto") - 1
@@ -61,9 +68,9 @@ def _within(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
 def _narrowed(rows: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """bounds around the same ranks with fewer values between them."""
     key = [*keys, "i"]
-    inside = _within(rows, bounds, keys)
+    inside = _within(rows, few(bounds), keys)
     cuts = inside.groupBy(*key).agg(F.array_distinct(F.percentile_approx("x", [k / PARTS for k in range(1, PARTS)], F.lit(20 * PARTS))).alias("cuts"))
-    cut = inside.alias("v").join(cuts.alias("c"), _same("v", "c", key)).select("v.*", "c.cuts")
+    cut = inside.alias("v").join(few(saved(cuts)).alias("c"), _same("v", "c", key)).select("v.*", "c.cuts")
     # a value equal to a cut is a part of its own: one that is very frequent stands alone
     part = F.size(F.filter("cuts", lambda c: c < F.col("x"))) * 2 + F.array_contains("cuts", F.col("x")).cast("int")
     parts = cut.groupBy(*key, "state", part.alias("part")).agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("from"), F.max("x").alias("to"), F.approx_count_distinct("x").alias("different"))
