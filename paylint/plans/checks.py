@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paylint.operators import cells, decisions, strict
 from paylint.plans.registry import _DUCK_VIEW, _ISSUES, _PAY, _issues, payments
 from paylint.plans.review import _RIGHT
+from paylint.sources.tables import saved
 
 
 def c2_blank_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def g7_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def d7_valid_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An operator types the present value of each cell with an amount or blank issue once more."""
-    issues = _issues(spark, sf_dir).where("rule_id in ('AMOUNT_NORMALIZE', 'BLANK')")
+    issues = saved(_issues(spark, sf_dir).where("rule_id in ('AMOUNT_NORMALIZE', 'BLANK')"))
     return decisions.valid_edits(issues.select("issue_id", "value"), issues).select("_file", "_row", "rule_id", "stored", "error")
 
 

@@ -242,7 +242,7 @@ def r4_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _g1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = payments(spark, sf_dir)
     keys = ["사업자번호", "사업명"]
-    return groups.group_cells(p, groups.max_count(p, keys), keys, "MAX_COUNT", F.concat(F.col("n").cast("string"), F.lit("건")))
+    return tables.saved(groups.group_cells(p, groups.max_count(p, keys), keys, "MAX_COUNT", F.concat(F.col("n").cast("string"), F.lit("건"))))
 
 
 def g1_group_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -361,7 +361,7 @@ def m5_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _details(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     issues, log = _with_duplicates(spark, sf_dir)
-    changed = decisions.changes(issues, log)
+    changed = tables.saved(decisions.changes(issues, log))
     return reports.details(issues, log, changed, finalized=True), reports.deleted_rows(changed)
 
 
