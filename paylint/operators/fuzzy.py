@@ -9,6 +9,7 @@ from pyspark.sql.types import LongType
 
 from paylint.functions import normalize as N
 from paylint.operators.cells import KEYS
+from paylint.operators.selection import few
 from paylint.sources.tables import saved
 
 #: Values that are compared, fewer leave a pair of rows alone.
@@ -46,7 +47,7 @@ def _letters(c: Column) -> Column:
     return N.let(chars, lambda all_: F.transform(all_, lambda x, i: F.concat(x, F.size(F.filter(F.slice(all_, F.lit(1), i + 1), lambda y: y == x)).cast("string"))))
 
 
-def _candidates(rows: DataFrame, columns: list[str], threshold: float, keys: list[str]) -> DataFrame:
+def _candidates(rows: DataFrame, columns: list[str], threshold: float, keys: list[str], least: int = LEAST_COLUMNS) -> DataFrame:
     """(keys, a, b): pairs of rows a < b that may be as alike as the threshold; none that is gets lost.
 
     Letters of a row, from its rarest on, are its prefix until what is left cannot
@@ -56,7 +57,7 @@ def _candidates(rows: DataFrame, columns: list[str], threshold: float, keys: lis
     """
     used = sum((F.coalesce(F.trim(f"`{c}`") != "", F.lit(False)).cast("int") for c in columns), F.lit(0))
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.length(f"`{c}`").alias("l"), _letters(F.col(f"`{c}`")).alias("letters")) for i, c in enumerate(columns)))).alias("x")
-    letters = rows.select(*keys, "_row", F.greatest(used, F.lit(LEAST_COLUMNS)).alias("n"), cells).select(*keys, "_row", "n", "x.c", "x.l", F.size("x.letters").alias("s"), F.explode("x.letters").alias("letter"))
+    letters = rows.select(*keys, "_row", F.greatest(used, F.lit(least)).alias("n"), cells).select(*keys, "_row", "n", "x.c", "x.l", F.size("x.letters").alias("s"), F.explode("x.letters").alias("letter"))
     letters = saved(letters)
     token = [*keys, "c", "letter"]
     often = letters.groupBy(*token).agg(F.count(F.lit(1)).alias("often"))
@@ -74,6 +75,43 @@ def _candidates(rows: DataFrame, columns: list[str], threshold: float, keys: lis
     return prefix.alias("x").join(prefix.alias("y"), same).where("x._row < y._row").selectExpr(*(f"x.`{k}` as `{k}`" for k in keys), "x._row as a", "y._row as b").distinct()
 
 
+def _alike(rows: DataFrame, columns: list[str], least: float, keys: list[str]) -> DataFrame:
+    """(p, q, s): values of a column of equal keys that are as alike as `least` or both blank, in both orders, and each with itself; each pair of texts is compared once."""
+    values = saved(rows.select(*keys, F.posexplode(F.array(*columns)).alias("at", "v")).distinct())
+    met = _candidates(values.select(*keys, "at", "v", F.col("v").alias("_row")), ["v"], least, [*keys, "at"], 1).select("a", "b").distinct()
+    most = 2.0 * F.size(F.array_intersect(_letters(F.col("a")), _letters(F.col("b")))) / (F.length("a") + F.length("b"))
+    near = saved(met.where(most >= least).withColumn("s", indel_ratio(F.col("a"), F.col("b"))).where(F.col("s") >= least))
+    blanks = values.where("trim(v) = ''").select("v", F.lit(0).alias("_k")).distinct()
+    blank = blanks.join(blanks.withColumnRenamed("v", "w"), "_k").where("v != w").select("v", "w", F.lit(0.0))
+    out = near.select("a", "b", "s").union(near.select("b", "a", "s")).union(blank).union(values.select("v", "v", F.lit(1.0)).distinct())
+    # the longest scores of a pair count: blanks may be alike by their letters too
+    return saved(out.toDF("p", "q", "s").groupBy("p", "q").agg(F.max("s").alias("s")))
+
+
+def _edges_of_values(rows: DataFrame, columns: list[str], threshold: float, keys: list[str], least: float) -> DataFrame:
+    """(_file, _sheet, a, b, score): pairs of rows a < b as alike as the threshold, where each column that counts must reach `least` for that.
+
+    Rows meet by like values of the column that makes the fewest pairs.
+    """
+    alike = _alike(rows, columns, least, keys)
+    same = lambda x, y: F.expr(" and ".join(f"{x}.`{k}` <=> {y}.`{k}`" for k in keys))
+    costs = []
+    for c in columns:
+        n = saved(rows.groupBy(*keys, F.col(c).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+        met = n.alias("x").join(few(alike).alias("w"), F.expr("x.v = w.p")).join(n.alias("y"), same("x", "y") & F.expr("w.q = y.v"))
+        costs.append(met.agg(F.sum(F.expr("x.n * y.n"))).first()[0] or 0.0)
+    first = costs.index(min(costs))
+    pairs = rows.alias("x").join(few(alike).alias(f"w{first}"), F.expr(f"x.{columns[first]} = w{first}.p")).join(rows.alias("y"), same("x", "y") & F.expr(f"w{first}.q = y.{columns[first]}")).where("x._row < y._row")
+    for i, c in enumerate(columns):
+        if i != first:
+            pairs = pairs.join(few(alike).alias(f"w{i}"), F.expr(f"x.{c} = w{i}.p and y.{c} = w{i}.q"))
+    used = [(F.trim(f"x.{c}") != "") | (F.trim(f"y.{c}") != "") for c in columns]
+    n = sum((u.cast("int") for u in used), F.lit(0))
+    total = sum((F.when(u, F.col(f"w{i}.s")).otherwise(0.0) for i, u in enumerate(used)), F.lit(0.0))
+    scored = pairs.select(F.col("x._file").alias("_file"), F.col("x._sheet").alias("_sheet"), F.col("x._row").alias("a"), F.col("y._row").alias("b"), n.alias("_n"), (total / n).alias("score"))
+    return scored.where((F.col("_n") >= LEAST_COLUMNS) & (F.col("score") >= threshold - 1e-12)).drop("_n")
+
+
 def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.85, block: list[str] | None = None) -> DataFrame:
     """(_file, _sheet, _row, like_row, score): rows that are like an earlier row of their file and sheet, and the earliest such row.
 
@@ -82,7 +120,9 @@ def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.
     reported row is like no later one: rows without an earlier undecided neighbour
     are kept, their neighbours reported, and so on until all are decided.
 
-    Rows meet if they share a rare letter, see _candidates(), which loses no pair; then
+    Rows with equal cells stand as one, their first.  If every column must be alike for two
+    rows to be, the different values of columns are compared, see _edges_of_values().  Else
+    rows meet if they share a rare letter, see _candidates(), which loses no pair; then
     lengths and letters bound a pair's score before its texts are compared.  block:
     columns that must be equal, besides, for two rows to be compared.  Null cells
     are empty.
@@ -90,7 +130,23 @@ def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.
     cells = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(f"v{i}") for i, c in enumerate(columns)]
     keys = [F.col(f"`{c}`").alias(f"b{i}") for i, c in enumerate(block or [])]
     rows = saved(df.select("_file", "_sheet", "_row", *cells, *keys))
-    by = ["_file", "_sheet", *(f"b{i}" for i in range(len(keys)))]
+    by, texts = ["_file", "_sheet", *(f"b{i}" for i in range(len(keys)))], [f"v{i}" for i in range(len(columns))]
+    # equal rows are alike if enough of their columns are not blank
+    n_used = sum(((F.trim(t) != "").cast("int") for t in texts), F.lit(0))
+    every, alone = rows, F.when(n_used < LEAST_COLUMNS, F.col("_row"))
+    rows = saved(every.groupBy(*by, *texts, alone.alias("_alone")).agg(F.min("_row").alias("_row")).drop("_alone"))
+    least = threshold * len(columns) - (len(columns) - 1) - 1e-9
+    edges = _edges_of_values(rows, texts, threshold, by, least) if least > 0.01 else _edges_of_letters(rows, columns, threshold, by)
+    found = _reported(saved(edges))
+    on = F.expr(" and ".join(f"e.`{c}` <=> r.`{c}`" for c in [*by, *texts]))
+    later = every.where(n_used >= LEAST_COLUMNS).alias("e").join(rows.alias("r"), on).where("e._row > r._row").select("e._file", "e._sheet", "e._row", F.col("r._row").alias("_first"))
+    known = found.select(F.col("_file").alias("_f"), F.col("_sheet").alias("_s"), F.col("_row").alias("_r"), "like_row", "score")
+    more = later.join(known, F.expr("_file = _f and _sheet = _s and _first = _r"), "left").select("_file", "_sheet", "_row", F.coalesce("like_row", "_first").alias("like_row"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    return found.unionByName(more)
+
+
+def _edges_of_letters(rows: DataFrame, columns: list[str], threshold: float, by: list[str]) -> DataFrame:
+    """(_file, _sheet, a, b, score): pairs of rows a < b as alike as the threshold."""
     met = _candidates(rows, [f"v{i}" for i in range(len(columns))], threshold, by)
     met = met.select(F.col("_file").alias("_f"), F.col("_sheet").alias("_s"), "a", "b")
     of = lambda side, row: F.expr(f"{side}._file = _f and {side}._sheet = _s and {side}._row = {row}")
@@ -104,7 +160,11 @@ def near_duplicate_rows(df: DataFrame, columns: list[str], threshold: float = 0.
     possible = pairs.where((n >= LEAST_COLUMNS) & (sum(most, F.lit(0.0)) >= threshold * n - 1e-9)).where(sum(shared, F.lit(0.0)) >= threshold * n - 1e-9).withColumn("_n", n)
     scores = [F.when(u, indel_ratio(F.col(f"x.v{i}"), F.col(f"y.v{i}"))).otherwise(0.0) for i, u in enumerate(used)]
     edges = possible.withColumn("score", sum(scores, F.lit(0.0)) / F.col("_n")).where(F.col("score") >= threshold - 1e-12)
-    edges = saved(edges.selectExpr("x._file as _file", "x._sheet as _sheet", "x._row as a", "y._row as b", "score"))
+    return edges.selectExpr("x._file as _file", "x._sheet as _sheet", "x._row as a", "y._row as b", "score")
+
+
+def _reported(edges: DataFrame) -> DataFrame:
+    """(_file, _sheet, _row, like_row, score): the rows that are like an earlier kept one, from saved edges."""
     sheet, reported, left = ["_file", "_sheet"], edges.select("_file", "_sheet", F.col("b").alias("row")).limit(0), edges
     while not left.isEmpty():
         later = left.select(*sheet, F.col("b").alias("a")).distinct()
