@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import string
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +20,9 @@ from .arrays import chunks, give_back, lists
 from .storage import bounded_batches, new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 350_000
+CACHE = 500_000
 #: Pieces that stay in a worker between tasks, at most.
-KEPT = 50_000
+KEPT = 250_000
 #: Texts are encoded in pieces of about so many bytes at a time.
 CHUNK = 1 << 18
 #: New pieces encoded in one string.
@@ -54,8 +56,13 @@ class Encoder:
 
     A piece after a space is known by what follows the space, any other piece by
     itself behind a space, the end id by None.  ``start`` and ``size`` say where
-    the ids of a numbered piece are in ``held``.  ``odd`` pieces are empty or end in
-    white space: texts that hold one are cut by the pattern, not at each space.
+    the ids of a numbered piece are in ``held``, ``count`` how often it was asked for.
+    ``odd`` pieces are empty or end in white space: texts that hold one are cut by the
+    pattern, not at each space.
+
+    A piece of a word and the marks at its end has the ids of the word and those of
+    the marks, as the pre-tokenizer cuts there too: such ``made`` pieces are put
+    together, and only words and marks are encoded.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -67,23 +74,49 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
+        added = "".join(t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"])
+        # characters of added tokens are left out, as these are found before any cut
+        self.marks = "".join(c for c in string.punctuation if c not in added)
+        self.ends = frozenset(self.marks)
         self.number = _Numbers({None: 0})
         self.held = np.array([] if end_id is None else [end_id], np.int32)
         self.start, self.size, self.odd = np.zeros(1, np.int64), np.array([len(self.held)]), np.zeros(1, bool)
+        self.count, self.made = np.zeros(1, np.int64), np.zeros(1, bool)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, new: list[str]) -> tuple[list[int], list[int]]:
+        """Places in new of pieces that end in marks behind a letter or digit, and the numbers of word and marks, by turns.
+
+        Letters are those up to U+024F, which every version of Unicode has as such.
+        """
+        at, parts = [], []
+        for i in [i for i, p in enumerate(new) if p[-1:] in self.ends and " " not in p]:
+            p = new[i]
+            word = p.rstrip(self.marks)
+            if word and word[-1] < "\u0250" and word[-1].isalnum():
+                at.append(i)
+                parts += (self.number[word], self.number[" " + p[len(word) :]])
+        return at, parts
+
+    def _new(self) -> list[str]:
+        """The pieces that were numbered since the last call of _learn()."""
+        return list(islice(reversed(self.number), len(self.number) - len(self.start)))[::-1]
+
     def _learn(self) -> None:
         """Encode the pieces that were numbered since the last call."""
-        known = len(self.start)
-        new = list(islice(reversed(self.number), len(self.number) - known))[::-1]
+        new = self._new()
         if not new:
             return
-        odd = np.fromiter((not p or (p[-1].isspace() and " " not in p) for p in new), bool, len(new))
+        made, parts = self._parts(new)
+        # their words and marks may be new too
+        new = self._new()
+        odd = np.array([not p or (p[-1].isspace() and " " not in p) for p in new])
         plain = [i for i, p in enumerate(new) if " " in p]
         joined = ~odd
         joined[plain] = False
+        joined[made] = False
         spaced = np.flatnonzero(joined)
         texts = list(new) if len(spaced) == len(new) else [new[i] for i in spaced.tolist()]
         coded = self._encode([" " + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])
@@ -116,17 +149,30 @@ class Encoder:
         size[order] = sizes
         start[order] = len(self.held) + np.cumsum(sizes) - sizes
         self.held = np.concatenate([self.held, ids, *alone])
+        known = len(self.start)
         self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
+        self.count, self.made = np.append(self.count, np.zeros(len(new), np.int64)), np.append(self.made, np.zeros(len(new), bool))
+        if made:
+            at, both = known + np.array(made), self.size[parts].reshape(-1, 2).sum(axis=1)
+            self.size[at], self.made[at] = both, True
+            self.start[at] = len(self.held) + np.cumsum(both) - both
+            self.held = np.concatenate([self.held, self._ids(np.array(parts))])
 
     def rest(self, keep: int = KEPT) -> None:
-        """Give memory back: keep the pieces numbered first, which tend to be the most frequent.
+        """Give memory back: keep the most frequent pieces, but none that others make.
 
         Done at the end of a task too, as workers live on and other stages share their executors.
         """
-        self.number = _Numbers(islice(self.number.items(), keep))
-        n = len(self.number)
-        self.held = self._ids(np.arange(n))
-        self.size, self.odd = self.size[:n].copy(), self.odd[:n].copy()
+        kept = ~self.made
+        if kept.sum() > keep:
+            # the end id stays number 0
+            rank = np.where(kept, -1 - self.count, 1)
+            rank[0] = -1 - self.count.max()
+            kept = np.zeros(len(rank), bool)
+            kept[np.argsort(rank, kind="stable")[:keep]] = True
+        self.number = _Numbers(zip(compress(self.number, kept.tolist()), range(len(kept)), strict=False))
+        self.held = self._ids(np.flatnonzero(kept))
+        self.size, self.odd, self.count, self.made = self.size[kept], self.odd[kept], self.count[kept], self.made[kept]
         self.start = np.cumsum(self.size) - self.size
 
     def _ids(self, at: np.ndarray) -> np.ndarray:
@@ -138,7 +184,7 @@ class Encoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, the end id counted, and the ids of all texts one after another."""
         if len(self.number) > CACHE:
-            self.rest(CACHE // 2)
+            self.rest()
         by_pattern = np.zeros(len(texts), bool)
         while True:
             keys, first = [], []
@@ -155,6 +201,7 @@ class Encoder:
             self._learn()
             if not len(at):
                 return np.zeros(0, np.int64), np.zeros(0, np.int32)
+            self.count += np.bincount(at, minlength=len(self.count))
             odd = np.logical_or.reduceat(self.odd[at], first)
             if not odd.any():
                 return np.add.reduceat(self.size[at], first), self._ids(at)
