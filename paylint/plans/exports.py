@@ -43,13 +43,25 @@ def _json_folder(spark: SparkSession, docs: DataFrame) -> str:
     return path
 
 
+def _json_files(spark: SparkSession, docs: DataFrame) -> str:
+    """A file for each row of docs (part, value) in one folder, written and committed by many tasks.
+
+    Without a number of partitions small rows all meet in one task, and a folder for
+    each file has to be made, moved and listed too.
+    """
+    path = tables.new_path(spark, "json")
+    spread = docs.repartition(4 * spark.sparkContext.defaultParallelism, "part").select("value")
+    spread.write.options(**{"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}).text(path)
+    return path
+
+
 def s2_json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of each hundred as one file with two lists, one with nested objects."""
     c = _read(spark, sf_dir, "customer").withColumn("part", F.floor(F.col("c_custkey") / 100))
     item = F.struct("c_custkey", F.struct("c_name", F.col("c_mktsegment").alias("segment")).alias("of"))
     docs = c.groupBy("part").agg(F.array_sort(F.collect_list(item)).alias("all"))
     docs = docs.select("part", F.to_json(F.struct(F.col("all").alias("customers"), F.slice("all", 1, 2).alias("first"), F.lit(1).alias("n"))).alias("value"))
-    got = tables.load_json(spark, [_json_folder(spark, docs)])
+    got = tables.load_json(spark, [_json_files(spark, docs)])
     return got.select("_sheet", "_row", F.try_variant_get("record", "$.c_custkey", "long").alias("c_custkey"), F.try_variant_get("record", "$.of.segment", "string").alias("segment"))
 
 
@@ -59,7 +71,7 @@ _SHAPES = ['{"a":[{"x":1}],"b":[],"c":[1,2],"d":{"y":1}}', "[]", "[1,2]", '"text
 def s3_unsupported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _read(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 50).alias("part")).distinct()
     docs = c.select("part", F.element_at(F.array(*map(F.lit, _SHAPES)), (F.col("part") % len(_SHAPES) + 1).cast("int")).alias("value"))
-    return tables.unsupported_json(spark, [_json_folder(spark, docs)]).groupBy("key", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return tables.unsupported_json(spark, [_json_files(spark, docs)]).groupBy("key", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def s4_flattened(spark: SparkSession, sf_dir: str) -> DataFrame:
