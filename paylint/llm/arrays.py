@@ -24,7 +24,7 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(9)], np.uint64)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xD6E8FEB86659FD93)
 _S32 = np.uint64(32)
@@ -65,7 +65,7 @@ class Words:
         h = mix(length.astype(np.uint64))
         at, left, rows = self.start, length, None
         while len(at):
-            lane = lanes[at] & _KEEP[np.minimum(left, 8)]
+            lane = lanes[at] & KEEP[np.minimum(left, 8)]
             if rows is None:
                 h = mix(h, lane)
             else:
@@ -85,7 +85,7 @@ class Words:
         lanes = np.ndarray((len(padded) - 7,), "<u8", buffer=padded, strides=(1,))
         at, rows = 0, np.flatnonzero(out)
         while len(rows):
-            keep = _KEEP[np.minimum(size[a[rows]] - at, 8)]
+            keep = KEEP[np.minimum(size[a[rows]] - at, 8)]
             out[rows] = ((lanes[self.start[a[rows]] + at] ^ lanes[self.start[b[rows]] + at]) & keep) == 0
             at += 8
             rows = rows[out[rows] & (size[a[rows]] > at)]

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import string
 import zlib
 from collections.abc import Iterator
-from itertools import compress, islice
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -16,19 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import chunks, give_back, lists
+from .arrays import KEEP, LONG_WORD, Words, chunks, give_back, lists, utf8
 from .storage import bounded_batches, new_path
 
 #: Pieces of text kept with their ids in a worker, at most.
-CACHE = 500_000
+CACHE = 700_000
 #: Pieces that stay in a worker between tasks, at most.
-KEPT = 250_000
+KEPT = 400_000
 #: Texts are encoded in pieces of about so many bytes at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 19
+#: Pieces of more bytes are not kept.
+LONG = LONG_WORD
 #: New pieces encoded in one string.
 JOINED = 128
-#: Before a space that follows something other than white space the pre-tokenizer always begins a new piece.
-_CUT = re.compile(r"(?<=\S)(?= )")
 
 #: Writer options of the format: row groups of 32 MB and pages of 256 KB (or 20,000 rows), each page in the page index.
 LAYOUT = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "20000"}
@@ -38,12 +37,23 @@ ENCODINGS = {
 }
 
 
-class _Numbers(dict):
-    """A number for each key, in the order in which keys were first asked for."""
+def _white(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character of several bytes that ends before each place is white space, by any version of Unicode."""
+    x, y, z = data[at - 3], data[at - 2], data[at - 1]
+    two = (y == 0xC2) & ((z == 0x85) | (z == 0xA0))
+    e1 = (x == 0xE1) & (((y == 0x9A) & (z == 0x80)) | ((y == 0xA0) & (z == 0x8E)))
+    e2 = (x == 0xE2) & (((y == 0x80) & ((z <= 0x8A) | (z == 0xA8) | (z == 0xA9) | (z == 0xAF))) | ((y == 0x81) & (z == 0x9F)))
+    return two | e1 | e2 | ((x == 0xE3) & (y == 0x80) & (z == 0x80))
 
-    def __missing__(self, key: str | None) -> int:
-        n = self[key] = len(self)
-        return n
+
+def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Stretches of data, one after another."""
+    return data[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros behind the end."""
+    return np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 class Encoder:
@@ -51,18 +61,16 @@ class Encoder:
 
     A text is cut before each space that follows something other than white
     space.  The pre-tokenizer always cuts there too and looks at nothing beyond, so
-    the ids of the pieces, one after another, are the ids of the text.  Each
-    distinct piece is encoded once while it is in the cache.
-
-    A piece after a space is known by what follows the space, any other piece by
-    itself behind a space, the end id by None.  ``start`` and ``size`` say where
-    the ids of a numbered piece are in ``held``, ``count`` how often it was asked for.
-    ``odd`` pieces are empty or end in white space: texts that hold one are cut by the
-    pattern, not at each space.
-
-    A piece of a word and the marks at its end has the ids of the word and those of
-    the marks, as the pre-tokenizer cuts there too: such ``made`` pieces are put
-    together, and only words and marks are encoded.
+    the ids of the pieces, one after another, are the ids of the text.  Where it is
+    the usual pattern, texts are also cut around a line feed without other white
+    space beside it, and before marks that follow a letter or digit (ASCII or up to
+    U+00FF), which the pattern does too.
+
+    Each distinct piece is encoded once while it is in the cache.  Pieces are numbered,
+    the end id is number 0.  ``table`` finds numbers by the hashes of pieces (open
+    addressing), whose bytes are then compared.  ``start`` and ``size`` say where the
+    ids of a numbered piece are in ``held``, ``first`` and ``length`` where its bytes are
+    in ``bytes``, ``count`` how often it was asked for.
     """
 
     def __init__(self, path: str, end_id: int | None = 0):
@@ -74,138 +82,186 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        added = "".join(t["content"] for t in json.loads(self.tokenizer.to_str())["added_tokens"])
+        setup = json.loads(self.tokenizer.to_str())
         # characters of added tokens are left out, as these are found before any cut
-        self.marks = "".join(c for c in string.punctuation if c not in added)
-        self.ends = frozenset(self.marks)
-        self.number = _Numbers({None: 0})
+        added = "".join(t["content"] for t in setup["added_tokens"])
+        by = setup["pre_tokenizer"] or {}
+        # bits: 1 a cut, 2 a cut if the line feed stands alone, 4 a cut before a mark, 8 a cut that depends on the character in front
+        self.left, self.right = np.zeros(256, np.uint8), np.zeros(256, np.uint8)
+        self.left[0x21:0x80], self.left[0x80:] = 1, 8
+        self.right[0x20] = 9
+        if by.get("type") == "ByteLevel" and by.get("use_regex", True):
+            if "\n" not in added:
+                self.left[0x0A], self.right[0x0A] = 2, 9
+                # white space of several bytes begins with one of four
+                self.right[[b for b in range(0x21, 0x100) if b not in (0xC2, 0xE1, 0xE2, 0xE3)]] |= 2
+            self.left[[ord(c) for c in string.ascii_letters + string.digits]] |= 4
+            self.right[[ord(c) for c in string.punctuation if c not in added]] |= 12
         self.held = np.array([] if end_id is None else [end_id], np.int32)
-        self.start, self.size, self.odd = np.zeros(1, np.int64), np.array([len(self.held)]), np.zeros(1, bool)
-        self.count, self.made = np.zeros(1, np.int64), np.zeros(1, bool)
+        self.start, self.size, self.count = np.zeros(1, np.int64), np.array([len(self.held)]), np.zeros(1, np.int64)
+        self.bytes, self.first, self.length, self.hash = np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.uint64)
+        self.table = np.zeros(1 << 16, np.int32)
+
+    @property
+    def number(self) -> dict[str | None, int]:
+        """The kept pieces with their numbers: what follows the space of a piece, or any other piece behind a space, and None for the end id."""
+        pieces = [self.bytes[a : a + n].tobytes().decode() for a, n in zip(self.first[1:].tolist(), self.length[1:].tolist(), strict=True)]
+        return {None: 0} | {p[1:] if p[:1] == " " else " " + p: i for i, p in enumerate(pieces, 1)}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, new: list[str]) -> tuple[list[int], list[int]]:
-        """Places in new of pieces that end in marks behind a letter or digit, and the numbers of word and marks, by turns.
-
-        Letters are those up to U+024F, which every version of Unicode has as such.
-        """
-        at, parts = [], []
-        for i in [i for i, p in enumerate(new) if p[-1:] in self.ends and " " not in p]:
-            p = new[i]
-            word = p.rstrip(self.marks)
-            if word and word[-1] < "\u0250" and word[-1].isalnum():
-                at.append(i)
-                parts += (self.number[word], self.number[" " + p[len(word) :]])
-        return at, parts
-
-    def _new(self) -> list[str]:
-        """The pieces that were numbered since the last call of _learn()."""
-        return list(islice(reversed(self.number), len(self.number) - len(self.start)))[::-1]
-
-    def _learn(self) -> None:
-        """Encode the pieces that were numbered since the last call."""
-        new = self._new()
-        if not new:
-            return
-        made, parts = self._parts(new)
-        # their words and marks may be new too
-        new = self._new()
-        odd = np.array([not p or (p[-1].isspace() and " " not in p) for p in new])
-        plain = [i for i, p in enumerate(new) if " " in p]
-        joined = ~odd
-        joined[plain] = False
-        joined[made] = False
-        spaced = np.flatnonzero(joined)
-        texts = list(new) if len(spaced) == len(new) else [new[i] for i in spaced.tolist()]
-        coded = self._encode([" " + " ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)])
+    def _cut(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where the pieces of the texts begin."""
+        cut = np.zeros(len(data), bool)
+        if not len(data):
+            return np.zeros(0, np.int64)
+        code = self.left[data[:-1]] & self.right[data[1:]]
+        cut[1:] = (code & 5) != 0
+        at = np.flatnonzero(code & 8) + 1
+        mark = (self.right[data[at]] & 4) != 0
+        letter = (data[at - 2] == 0xC3) & (data[at - 1] != 0x97) & (data[at - 1] != 0xB7)
+        cut[at] = np.where(mark, letter, ~_white(data, at))
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        at = np.flatnonzero(code & 2) + 1
+        cut[at] |= cut[at - 1]
+        return np.flatnonzero(cut)
+
+    def _coded(self, data: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, where those of each begin, and how many they are."""
+        end = np.cumsum(size)
+        first, last = data[end - size], data[end - 1]
+        # pieces with a space in front and no other, that don't end in white space, are joined: the pattern parts them again
+        joined = (first == 32) & (np.add.reduceat(data == 32, end - size, dtype=np.int64) == 1) & (last > 32)
+        wide = np.flatnonzero(joined & (last >= 0x80))
+        joined[wide] = ~_white(data, end[wide])
+        at = np.flatnonzero(joined)
+        text, to = _gather(data, (end - size)[at], size[at]).tobytes(), [0, *np.cumsum(size[at])[JOINED - 1 :: JOINED].tolist()]
+        if len(at) % JOINED:
+            to.append(len(text))
+        coded = self._encode([text[a:z].decode() for a, z in zip(to, to[1:], strict=False)])
         ids = np.concatenate([*coded, np.zeros(0, np.int32)])
+        # the ids that begin with a space tell the pieces apart, if there are as many, the first in front
         opens = np.flatnonzero(self.opens[ids])
-        # a group is told apart by the ids that begin with a space, if there are as many as pieces, the first in front
-        ends = np.cumsum([len(c) for c in coded], dtype=np.int64)
-        n = np.diff(np.searchsorted(opens, ends), prepend=0)
-        want = np.minimum(JOINED, len(texts) - JOINED * np.arange(len(coded)))
-        clear = n == want
-        clear[clear] = opens[np.cumsum(n)[clear] - n[clear]] == (ends - [len(c) for c in coded])[clear] if len(coded) else []
-        if clear.all():
-            sizes = np.diff(opens, append=len(ids))
-        else:
-            parts, sizes = [], []
-            for g, c in enumerate(coded):
-                at = np.flatnonzero(self.opens[c])
-                if clear[g]:
-                    parts.append(c)
-                    sizes.append(np.diff(at, append=len(c)))
-                else:
-                    each = self._encode([" " + t for t in texts[g * JOINED : (g + 1) * JOINED]])
-                    parts += each
-                    sizes.append(np.array([len(x) for x in each]))
-            ids, sizes = np.concatenate(parts), np.concatenate(sizes)
-        alone = self._encode([new[i][1:] for i in plain])
-        size, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
-        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
-        order = np.concatenate([spaced, np.array(plain, np.int64)])
-        size[order] = sizes
-        start[order] = len(self.held) + np.cumsum(sizes) - sizes
-        self.held = np.concatenate([self.held, ids, *alone])
-        known = len(self.start)
-        self.start, self.size, self.odd = np.append(self.start, start), np.append(self.size, size), np.append(self.odd, odd)
-        self.count, self.made = np.append(self.count, np.zeros(len(new), np.int64)), np.append(self.made, np.zeros(len(new), bool))
-        if made:
-            at, both = known + np.array(made), self.size[parts].reshape(-1, 2).sum(axis=1)
-            self.size[at], self.made[at] = both, True
-            self.start[at] = len(self.held) + np.cumsum(both) - both
-            self.held = np.concatenate([self.held, self._ids(np.array(parts))])
+        to = np.cumsum([0, *map(len, coded)])
+        if len(opens) != len(at) or not np.array_equal(opens[::JOINED], to[:-1]):
+            joined, at, ids, opens = np.zeros(len(size), bool), at[:0], ids[:0], opens[:0]
+        rest, text = np.flatnonzero(~joined), data.tobytes()
+        alone = self._encode([text[a:z].decode() for a, z in zip((end - size)[rest].tolist(), end[rest].tolist(), strict=True)])
+        n = np.zeros(len(size), np.int64)
+        n[at], n[rest] = np.diff(opens, append=len(ids)), [len(x) for x in alone]
+        order, begin = np.concatenate([at, rest]), np.zeros(len(size), np.int64)
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate([ids, *alone]), begin, n
+
+    def _found(self, h: np.ndarray) -> np.ndarray:
+        """The number of the piece of each hash, 0 if none is known."""
+        mask, shift = len(self.table) - 1, np.uint64(65 - len(self.table).bit_length())
+        slot = (h >> shift).astype(np.int64)
+        at = self.table[slot]
+        rows = np.flatnonzero((at != 0) & (self.hash[at] != h))
+        while len(rows):
+            slot[rows] = (slot[rows] + 1) & mask
+            at[rows] = self.table[slot[rows]]
+            rows = rows[(at[rows] != 0) & (self.hash[at[rows]] != h[rows])]
+        return at
+
+    def _enter(self, known: int) -> None:
+        """Enter the pieces from number known on into the table."""
+        if 2 * len(self.hash) > len(self.table):
+            self.table, known = np.zeros(1 << (4 * len(self.hash)).bit_length(), np.int32), 1
+        mask, shift = len(self.table) - 1, np.uint64(65 - len(self.table).bit_length())
+        n = np.arange(known, len(self.hash), dtype=np.int32)
+        slot = (self.hash[n] >> shift).astype(np.int64)
+        while len(n):
+            free = self.table[slot] == 0
+            self.table[slot[free]] = n[free]
+            left = self.table[slot] != n
+            slot, n = (slot[left] + 1) & mask, n[left]
+
+    def _learn(self, data: np.ndarray, size: np.ndarray, h: np.ndarray) -> None:
+        known = len(self.hash)
+        ids, begin, n = self._coded(data, size)
+        self.start, self.size = np.append(self.start, len(self.held) + begin), np.append(self.size, n)
+        self.first, self.length = np.append(self.first, len(self.bytes) + np.cumsum(size) - size), np.append(self.length, size)
+        self.held, self.bytes, self.hash = np.append(self.held, ids), np.append(self.bytes, data), np.append(self.hash, h)
+        self.count = np.append(self.count, np.zeros(len(n), np.int64))
+        self._enter(known)
+
+    def _differ(self, data: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether pieces differ from the numbered ones."""
+        out = self.length[at] != size
+        here, there, first = _lanes(data), _lanes(self.bytes), self.first[at]
+        rows, k = np.flatnonzero(~out), 0
+        while len(rows):
+            out[rows] = ((here[start[rows] + k] ^ there[first[rows] + k]) & KEEP[np.minimum(size[rows] - k, 8)]) != 0
+            k += 8
+            rows = rows[~out[rows] & (size[rows] > k)]
+        return out
 
     def rest(self, keep: int = KEPT) -> None:
-        """Give memory back: keep the most frequent pieces, but none that others make.
+        """Give memory back: keep the most frequent pieces.
 
         Done at the end of a task too, as workers live on and other stages share their executors.
         """
-        kept = ~self.made
-        if kept.sum() > keep:
-            # the end id stays number 0
-            rank = np.where(kept, -1 - self.count, 1)
-            rank[0] = -1 - self.count.max()
-            kept = np.zeros(len(rank), bool)
-            kept[np.argsort(rank, kind="stable")[:keep]] = True
-        self.number = _Numbers(zip(compress(self.number, kept.tolist()), range(len(kept)), strict=False))
-        self.held = self._ids(np.flatnonzero(kept))
-        self.size, self.odd, self.count, self.made = self.size[kept], self.odd[kept], self.count[kept], self.made[kept]
-        self.start = np.cumsum(self.size) - self.size
+        if len(self.size) <= keep:
+            return
+        rank = -1 - self.count
+        # the end id stays number 0
+        rank[0] = rank.min() - 1
+        kept = np.sort(np.argsort(rank, kind="stable")[:keep])
+        self.held, self.bytes = self._ids(kept), _gather(self.bytes, self.first[kept], self.length[kept])
+        self.size, self.length, self.count, self.hash = self.size[kept], self.length[kept], self.count[kept], self.hash[kept]
+        self.start, self.first = np.cumsum(self.size) - self.size, np.cumsum(self.length) - self.length
+        self.table[:] = 0
+        self._enter(1)
 
     def _ids(self, at: np.ndarray) -> np.ndarray:
         """The ids of the numbered pieces, one after another."""
-        n = self.size[at]
-        shift = self.start[at] - np.cumsum(n) + n
-        return self.held[np.arange(n.sum()) + np.repeat(shift, n)]
+        return _gather(self.held, self.start[at], self.size[at])
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text, the end id counted, and the ids of all texts one after another."""
-        if len(self.number) > CACHE:
+        return self.ids(*utf8(pa.array(texts, pa.large_string())))
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As a call, of texts given by their bytes and where each begins, and the end."""
+        if len(self.size) > CACHE:
             self.rest()
-        by_pattern = np.zeros(len(texts), bool)
-        while True:
-            keys, first = [], []
-            for t, cut in zip(texts, by_pattern.tolist(), strict=True):
-                first.append(len(keys))
-                if cut:
-                    keys += [" " + p for p in _CUT.split(t)]
-                else:
-                    pieces = t.split(" ")
-                    pieces[0] = " " + pieces[0]
-                    keys += pieces
-                keys.append(None)
-            at = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))
-            self._learn()
-            if not len(at):
-                return np.zeros(0, np.int64), np.zeros(0, np.int32)
-            self.count += np.bincount(at, minlength=len(self.count))
-            odd = np.logical_or.reduceat(self.odd[at], first)
-            if not odd.any():
-                return np.add.reduceat(self.size[at], first), self._ids(at)
-            by_pattern |= odd
+        if len(offsets) < 2:
+            return np.zeros(0, np.int64), np.zeros(0, np.int32)
+        start = self._cut(data, offsets)
+        size = np.diff(start, append=len(data))
+        at, short = np.zeros(len(start), np.int64), np.flatnonzero(size <= LONG)
+        begin, length = start[short], size[short]
+        h = Words(data, begin, begin + length, offsets, offsets).hashes()
+        found = self._found(h)
+        new = np.flatnonzero(found == 0)
+        if len(new):
+            known = len(self.hash)
+            each, one, which = np.unique(h[new], return_index=True, return_inverse=True)
+            one = new[one]
+            self._learn(_gather(data, begin[one], length[one]), length[one], each)
+            found[new] = known + which
+        at[short] = found
+        # pieces that are not kept: long ones, and those with another's hash
+        at[short[self._differ(data, begin, length, found)]] = 0
+        apart = np.flatnonzero(at == 0)
+        here, known = self, len(self.size)
+        self.count += np.bincount(at[at > 0], minlength=known)
+        self.count[0] += len(offsets) - 1
+        if len(apart):
+            numbers: dict[bytes, int] = {}
+            at[apart] = [numbers.setdefault(data[a : a + n].tobytes(), known + len(numbers)) for a, n in zip(start[apart].tolist(), size[apart].tolist(), strict=True)]
+            ids, begin, n = self._coded(np.frombuffer(b"".join(numbers), np.uint8), np.array([len(p) for p in numbers]))
+            here = copy(self)
+            here.start, here.size, here.held = np.append(self.start, len(self.held) + begin), np.append(self.size, n), np.append(self.held, ids)
+        # an end id goes behind the pieces of each text
+        first = np.searchsorted(start, offsets)
+        texts = np.arange(len(offsets) - 1)
+        pieces = np.zeros(len(at) + len(texts), np.int64)
+        pieces[np.arange(len(at)) + np.repeat(texts, np.diff(first))] = at
+        return np.add.reduceat(here.size[pieces], first[:-1] + texts), here._ids(pieces)
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -232,8 +288,8 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = 0, enc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, before = _encoder(tokenizer, end_id), TaskContext.get().partitionId(), 0
-        for rows, _, _ in chunks(batches, "text", CHUNK):
-            n, values = encoder(rows.column(1).to_pylist())
+        for rows, data, offsets in chunks(batches, "text", CHUNK):
+            n, values = encoder.ids(data, offsets)
             ends, ids = np.cumsum(n), lists(values, n)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(before + ends - n), ids], ["doc_id", "n_tokens", "part", "before", "ids"])
             before += int(ends[-1]) if len(ends) else 0
