@@ -231,6 +231,15 @@ class Encoder:
         if len(offsets) < 2:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
         start = self._cut(data, offsets)
+        if len(offsets) == 2 and len(data) > 2 * CHUNK:
+            # a long text goes by stretches that begin with a piece
+            at = np.searchsorted(start, np.arange(0, len(data), CHUNK))
+            to = [*np.unique(start[at[at < len(start)]]).tolist(), len(data)]
+            if len(to) > 2:
+                parts = [self.ids(data[a:z], np.array([0, z - a]))[1] for a, z in zip(to, to[1:], strict=False)]
+                end = int(self.size[0])
+                values = np.concatenate([*(x[: len(x) - end] for x in parts[:-1]), parts[-1]])
+                return np.array([len(values)]), values
         size = np.diff(start, append=len(data))
         at, short = np.zeros(len(start), np.int64), np.flatnonzero(size <= LONG)
         begin, length = start[short], size[short]

@@ -54,3 +54,15 @@ def test_long_pieces_are_not_kept():
 def test_table_grows():
     encoder = tokens.Encoder(queries.tokenizer_path())
     assert _same(encoder, [" ".join(f"{'abcdefghij'[i % 10]}{i}x" for i in range(40_000))]) and len(encoder.table) >= 2 * len(encoder.size)
+
+
+def test_long_texts_go_by_stretches(monkeypatch):
+    monkeypatch.setattr(tokens, "CHUNK", 50)
+    text = "".join(_odd_texts(1000))
+    for end_id in (0, None):
+        encoder, lengths = tokens.Encoder(queries.tokenizer_path(), end_id), []
+        differ = encoder._differ
+        encoder._differ = lambda data, *rest: lengths.append(len(data)) or differ(data, *rest)
+        n, ids = encoder([text])
+        wanted = encoder.tokenizer.encode(text, add_special_tokens=False).ids + ([] if end_id is None else [end_id])
+        assert n.tolist() == [len(wanted)] and ids.tolist() == wanted and max(lengths) < 400
