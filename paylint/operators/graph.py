@@ -10,7 +10,8 @@ from paylint.sources.tables import saved
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for each node of links (a, b); label is the smallest node reached. Every round is written to the shared folder."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(links.where("a != b").select(F.inline(ways)).distinct())
     labels = saved(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))

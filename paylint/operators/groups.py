@@ -17,7 +17,9 @@ def prepared(df: DataFrame, programs: list[str] | None = None) -> DataFrame:
     """Payments with canonical company keys, year, day and amount; unreadable values are null."""
     if programs:
         df = df.where(F.col(PROGRAM).isin(programs))
-    return df.withColumn(COMPANY, N.business_key(F.col(COMPANY))).withColumns({"year": N.year(F.col(DATE)), "day": N.date(F.col(DATE))["value"], "amount": N.amount(F.col(AMOUNT))})
+    if COMPANY in df.columns:
+        df = df.withColumn(COMPANY, N.business_key(F.col(COMPANY)))
+    return df.withColumns({"year": N.year(F.col(DATE)), "day": N.date(F.col(DATE))["value"], "amount": N.amount(F.col(AMOUNT))})
 
 
 def _keys(group_by: list[str], period: str) -> list[str]:
@@ -177,18 +179,18 @@ def under_scopes(df: DataFrame, group_by: list[str], limits: dict[str, int], per
 def near_payments_open(df: DataFrame, group_by: list[str], days: int = 30, programs: list[str] | None = None, tol_pct: float = 0.0) -> DataFrame:
     """As near_payments, but an unreadable day or amount fits every other: (group, n_rows, first_day, last_day, several_files) of each component of two rows or more.
 
-    Payments of equal group, day and amount count as one point.  Points of one amount
-    are chained by day.  Wildcards are linked to few points that stand for all they
-    fit: an amount-less point to the chains of the points next to it in time, a
+    Payments of equal group, day and amount count as one cell.  Cells of one amount
+    are chained by day.  Wildcards are linked to few chains that stand for all they
+    fit: an amount-less cell to the chains of the cells next to it in time, a
     day-less one to all chains of its amount, and day-less and amount-less ones to
     the first of the other kind in their group.  No pairs are compared.
 
     tol_pct: amounts fit that differ by so many percent of the larger at most (below
-    100); zero fits zero alone.  Points are then chained by _similar().
+    100); zero fits zero alone.  A cell then has a band of amounts that all fit, and
+    chains of bands next to each other are linked by _beside().
     """
-    rows, points = _near_points(df, group_by, days, programs, tol_pct)
-    g = [f"_g{i}" for i in range(len(group_by))]
-    sums = points.groupBy("label", *g).agg(F.sum("n").alias("n_rows"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), (F.min("lo") != F.max("hi")).alias("several_files"))
+    _, _, units, g, _ = _near_cells(df, group_by, days, programs, tol_pct)
+    sums = units.groupBy("label", *g).agg(F.sum("n").alias("n_rows"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day"), (F.min("lo") != F.max("hi")).alias("several_files"))
     return sums.where("n_rows > 1").select(*(F.col(a).alias(k) for k, a in zip(group_by, g, strict=True)), "n_rows", "first_day", "last_day", "several_files")
 
 
@@ -198,10 +200,9 @@ def near_payment_rows(df: DataFrame, group_by: list[str], columns: list[str], da
     kind: several_files, same_rows if every row has another with equal values in all
     of the columns, else double.
     """
-    rows, points = _near_points(df, group_by, days, programs, tol_pct)
-    g = [f"_g{i}" for i in range(len(group_by))]
-    point = points.select("label", *(F.col(c).alias(f"_p{c}") for c in [*g, "amount", "day"]))
-    labelled = rows.join(point, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in [*g, "amount", "day"]]).select("label", "_file", "_sheet", "_row")
+    rows, cells, units, _, keys = _near_cells(df, group_by, days, programs, tol_pct)
+    cell = cells.join(units.select("unit", "label"), "unit").select("label", *(F.col(c).alias(f"_p{c}") for c in [*keys, "day"]))
+    labelled = rows.join(cell, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in [*keys, "day"]]).select("label", "_file", "_sheet", "_row")
     whole = df.select("_file", "_sheet", "_row", F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("_same"))
     labelled = saved(labelled.join(whole, ["_file", "_sheet", "_row"]))
     equal = labelled.groupBy("label", "_same").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi"))
@@ -220,85 +221,73 @@ def _fits(p: str, q: str, tol_pct: float) -> str:
     return f"abs({p} - {q}) * 100 <= {tol_pct} * greatest(abs({p}), abs({q}))"
 
 
-def _similar(dated: DataFrame, g: list[str], days: int, tol_pct: float) -> DataFrame:
-    """(_g..., amount, day, unit) for points (_g..., amount, day): points of a group share a unit if steps of at most `days` and tol_pct link them.
+def _beside(cells: DataFrame, g: list[str], days: int, tol_pct: float) -> DataFrame:
+    """Links (a, b) of the units of dated cells (_g..., _sign, _band, day, least, most, unit) whose amounts lie in different bands.
+
+    A cell's largest amount fits a band above if it fits the smallest amount there of the
+    days at most `days` before or after.  Those before are one unit, and those after, as
+    their steps are no longer than that, so two looks a band find every link.
+    """
+    placed = cells.select(*g, "_sign", "day", "least", "most", "unit", "_band", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_m"))
+    placed = placed.withColumns({"_at": F.col("_band") - F.col("_m"), "_day": F.datediff("day", F.lit("1970-01-01").cast("date"))})
+    by = Window.partitionBy(*g, "_sign", "_at").orderBy("_day")
+    spans = by.rangeBetween(-days, 0), by.rangeBetween(0, days)
+    smallest = [F.min(F.when(F.col("_m") == m, F.struct("least", "unit"))).over(w) for w in spans for m in (1, 2)]
+    met = placed.withColumn("_met", F.array(*smallest)).where("_m = 0").select("unit", "most", F.explode("_met").alias("y"))
+    return met.where(_fits("most", "y.least", tol_pct)).select(F.col("unit").alias("a"), F.col("y.unit").alias("b"))
+
+
+def _near_cells(df: DataFrame, group_by: list[str], days: int, programs: list[str] | None, tol_pct: float) -> tuple[DataFrame, DataFrame, DataFrame, list[str], list[str]]:
+    """Payments, their cells with a unit, the units with counts and the label of the component, the columns of a group, and those of a cell but the day.
 
-    Points lie in cells of days + 1 days and of amounts that differ by less than the
-    tolerance, so all of a cell are linked.  Cells of the same days are compared by
-    their smallest and largest amounts: they link if any do.  Of a cell and a later one
-    only days count that no other outdoes: of the later cell those with an amount nearer to the
-    other's than all days before, of the earlier one those with one nearer than all days after.
+    A unit is a chain of cells of a group and amount, or band, with steps of at most
+    `days`, or their cell without a day.
     """
-    band = _band(F.col("amount"), tol_pct)
-    cells = dated.withColumns({"_sign": F.signum("amount").cast("int"), "_band": band, "_time": F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / (days + 1))})
-    cell = [*g, "_sign", "_band", "_time"]
-    cells = saved(cells.withColumn("cell", F.to_json(F.struct(*cell), {"ignoreNullFields": "false"})))
-    edges = cells.groupBy("cell", *cell, "day").agg(F.min(F.abs("amount")).alias("lo"), F.max(F.abs("amount")).alias("hi"))
-    past, rest = (Window.partitionBy("cell").orderBy("day").rowsBetween(*r) for r in ((Window.unboundedPreceding, -1), (1, Window.unboundedFollowing)))
-    least = lambda w: F.coalesce(F.col("lo") < F.min("lo").over(w), F.lit(True))
-    most = lambda w: F.coalesce(F.col("hi") > F.max("hi").over(w), F.lit(True))
-    edges = saved(edges.select("*", least(past).alias("early_lo"), most(past).alias("early_hi"), least(rest).alias("late_lo"), most(rest).alias("late_hi"), F.lag("day").over(Window.partitionBy("cell").orderBy("day")).isNull().alias("first"), F.lead("day").over(Window.partitionBy("cell").orderBy("day")).isNull().alias("last")))
-    moves = F.array(*(F.when({1: F.col("late_hi"), -1: F.col("late_lo"), 0: F.col("last")}[(b > 0) - (b < 0)], F.lit(b)) for b in (-2, -1, 0, 1, 2)))
-    named = lambda df, b, t, *more: df.select(*(F.col(c).alias(f"x{c}") for c in g), F.col("cell").alias("a"), F.col("_sign").alias("xs"), (F.col("_band") + b).alias("xb"), (F.col("_time") + t).alias("xt"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi"), *more)
-    on = F.expr(" and ".join([*(f"x{c} <=> {c}" for c in g), "xs = _sign", "xb = _band", "xt = _time"]))
-    fits = lambda p, q: _fits(p, q, tol_pct)
-    whole = saved(edges.groupBy("cell", *cell).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
-    beside = named(whole.withColumn("_m", F.explode(F.array(F.lit(1), F.lit(2)))), F.col("_m"), 0).join(whole, on).where(fits("xhi", "lo"))
-    x = named(edges.withColumn("_m", F.explode(moves)).where("_m is not null"), F.col("_m"), 1, F.col("day").alias("xday"), "_m")
-    later = x.join(edges.where("early_lo or early_hi or first"), on).where(f"datediff(day, xday) <= {days} and case when _m > 0 then early_lo and {fits('xhi', 'lo')} when _m < 0 then early_hi and {fits('xlo', 'hi')} else first end")
-    found = components(beside.select("a", F.col("cell").alias("b")).union(later.select("a", "cell")).distinct())
-    return cells.join(found.withColumnRenamed("node", "cell"), "cell", "left").select(*dated.columns, F.coalesce("label", "cell").alias("unit"))
-
-
-def _near_points(df: DataFrame, group_by: list[str], days: int, programs: list[str] | None, tol_pct: float) -> tuple[DataFrame, DataFrame]:
-    """Payments (_g..., amount, day, _file, _sheet, _row), and their points with counts and the label of the component."""
     g = [f"_g{i}" for i in range(len(group_by))]
-    rows = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", "_file", "_sheet", "_row")
-    points = saved(rows.groupBy(*g, "amount", "day").agg(F.count(F.lit(1)).alias("n"), F.min("_file").alias("lo"), F.max("_file").alias("hi")))
-    by = Window.partitionBy(*g, "amount").orderBy("day")
-    fresh = F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int")
-    named = lambda chain: F.to_json(F.struct(*g, "amount", chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})
-    open_amounts = points.where("day is not null and amount is null") if tol_pct else points.where("day is not null")
-    dated = open_amounts.withColumn("_new", fresh).withColumn("unit", named(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))).drop("_new")
-    if tol_pct:
-        dated = dated.unionByName(_similar(points.where("day is not null and amount is not null"), g, days, tol_pct))
-    unit = named(F.lit(-1))
-    if tol_pct:
-        # amounts of a band are alike, so those without a day are one unit
-        unit = F.when(F.col("amount").isNull(), unit).otherwise(F.to_json(F.struct(*g, F.signum("amount").cast("int").alias("sign"), _band(F.col("amount"), tol_pct).alias("open_band")), {"ignoreNullFields": "false"}))
-    points = saved(dated.unionByName(points.where("day is null").withColumn("unit", unit)))
-    dated, dayless = points.where("day is not null"), points.where("day is null")
-
-    # the days of a group, with the unit of that day's payments without amount; a window has no more rows than the calendar
-    by_day = dated.groupBy(*g, "day").agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("open"))
-    near = Window.partitionBy(*g).orderBy("day")
+    keys = [*g, *(("_sign", "_band") if tol_pct else ("amount",))]
+
+    def read(df: DataFrame, *more: str) -> DataFrame:
+        out = prepared(df, programs).select(*(F.col(k).alias(a) for k, a in zip(group_by, g, strict=True)), "amount", "day", *more)
+        return out.withColumns({"_sign": F.signum("amount").cast("int"), "_band": _band(F.col("amount"), tol_pct)}) if tol_pct else out
+
+    rows = read(df, "_file", "_sheet", "_row")
+    # equal texts are counted first and read once, by as many tasks as the shuffle has
+    texts = dict.fromkeys([*(k for k in group_by if k not in ("year", "day", "amount")), DATE, AMOUNT, *([PROGRAM] if programs else [])])
+    counted = df.groupBy(*texts).agg(F.count(F.lit(1)).alias("_n"), F.min("_file").alias("_lo"), F.max("_file").alias("_hi"))
+    cells = read(counted, "_n", "_lo", "_hi").groupBy(*keys, "day").agg(F.sum("_n").alias("n"), F.min("_lo").alias("lo"), F.max("_hi").alias("hi"), F.min(F.abs("amount")).alias("least"), F.max(F.abs("amount")).alias("most"))
+    # a window has no more rows than the calendar
+    by = Window.partitionBy(*keys).orderBy("day")
+    fresh = F.when(F.col("day").isNotNull(), F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int"))
+    chain = F.when(F.col("day").isNull(), F.lit(-1)).otherwise(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    cells = saved(cells.withColumn("_new", fresh).withColumn("unit", F.to_json(F.struct(*keys, chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})).drop("_new"))
+    units = saved(cells.groupBy("unit", *keys).agg(F.sum("n").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most")))
+
+    # the days of a group, with the unit of that day's payments without amount
+    dated = cells.where("day is not null")
+    by_day = dated.groupBy(*g, "day").agg(F.min(F.when(F.col("least").isNull(), F.col("unit"))).alias("open"))
+    before, after = (Window.partitionBy(*g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("day"), F.desc("day")))
     open_ = F.when(F.col("open").isNotNull(), F.struct("day", F.col("open").alias("unit")))
-    beside = by_day.select(*(F.col(c).alias(f"n{c}") for c in g), F.col("day").alias("nday"), F.last(open_, ignorenulls=True).over(near.rangeBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(open_, ignorenulls=True).over(near.rangeBetween(0, Window.unboundedFollowing)).alias("q"))
+    beside = by_day.select(*(F.col(c).alias(f"n{c}") for c in g), F.col("day").alias("nday"), F.array(*(F.last(open_, ignorenulls=True).over(w) for w in (before, after))).alias("sides"))
+    beside = beside.select("*", F.explode("sides").alias("side")).where(F.abs(F.datediff("nday", "side.day")) <= days)
     met = F.expr(" and ".join([*(f"{c} <=> n{c}" for c in g), "day = nday"]))
-    sides = dated.where("amount is not null").join(beside.where("p is not null or q is not null"), met).select("unit", "day", "amount", "p", "q")
-    links = [sides.where(F.col("amount").isNotNull() & (F.abs(F.datediff("day", f"{s}.day")) <= days)).select(F.col("unit").alias("a"), F.col(f"{s}.unit").alias("b")) for s in ("p", "q")]
+    links = [dated.where("least is not null").join(beside, met).select(F.col("unit").alias("a"), F.col("side.unit").alias("b"))]
 
-    units = points.select(*g, "amount", "day", "unit")
-    same = lambda other, keys: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in keys))
-    u = units.alias("u")
-    known = dayless.select(*g, "amount", F.col("unit").alias("b")).where("amount is not null")
+    same = lambda other, columns: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in columns))
+    u, on, fit = units.alias("u"), same("d", keys), "true"
+    dayless = units.where("first_day is null and least is not null").select(*keys, "unit", "least", "most")
     if tol_pct:
-        # a band of amounts without a day meets units in the bands next to it by their smallest and largest amounts there, of which two fit if any do
-        banded = points.where("amount is not null").groupBy(*g, F.signum("amount").cast("int").alias("sign"), _band(F.col("amount"), tol_pct).alias("band"), "unit", F.col("day").isNull().alias("open"))
-        banded = saved(banded.agg(F.min(F.abs("amount")).alias("lo"), F.max(F.abs("amount")).alias("hi")))
-        spread = banded.where("open").withColumn("band", F.explode(F.sequence(F.col("band") - 2, F.col("band") + 2)))
-        fit = " or ".join(f"({_fits(f'u.{p}', f'd.{q}', tol_pct)})" for p in ("lo", "hi") for q in ("lo", "hi"))
-        links.append(banded.alias("u").join(spread.alias("d"), same("d", [*g, "sign", "band"]) & F.expr(fit)).selectExpr("u.unit as a", "d.unit as b"))
-    else:
-        links.append(u.join(known.alias("d"), same("d", [*g, "amount"])).selectExpr("u.unit as a", "d.b as b"))
-    firsts = units.groupBy(*g).agg(F.min(F.when(F.col("amount").isNull(), F.col("unit"))).alias("f_amount"), F.min(F.when(F.col("day").isNull(), F.col("unit"))).alias("f_day"), F.min(F.when(F.col("amount").isNull() & F.col("day").isNull(), F.col("unit"))).alias("f_both"))
+        links.append(_beside(dated.where("least is not null"), g, days, tol_pct))
+        # amounts without a day meet units in the bands next to theirs by the smallest and largest amounts, of which two fit if any do
+        dayless = dayless.withColumn("_band", F.explode(F.sequence(F.col("_band") - 2, F.col("_band") + 2)))
+        fit = " or ".join(f"({_fits(f'u.{p}', f'd.{q}', tol_pct)})" for p in ("least", "most") for q in ("least", "most"))
+    links.append(u.join(dayless.alias("d"), on & F.expr(fit)).selectExpr("u.unit as a", "d.unit as b"))
+    first = lambda *unread: F.min(F.when(F.expr(" and ".join(f"{c} is null" for c in unread)), F.col("unit")))
+    firsts = units.groupBy(*g).agg(first("least").alias("f_amount"), first("first_day").alias("f_day"), first("least", "first_day").alias("f_both"))
     joined = u.join(firsts.where("f_amount is not null and f_day is not null").alias("f"), same("f", g))
-    links.append(joined.where("u.amount is null").selectExpr("u.unit as a", "f.f_day as b"))
-    links.append(joined.where("u.day is null").selectExpr("u.unit as a", "f.f_amount as b"))
-    links.append(joined.where("f.f_both is not null").selectExpr("u.unit as a", "f.f_both as b"))
+    ends = F.array(F.expr("case when u.least is null then f.f_day end"), F.expr("case when u.first_day is null then f.f_amount end"), F.col("f.f_both"))
+    links.append(joined.select(F.col("u.unit").alias("a"), F.explode(ends).alias("b")).where("b is not null"))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)
-    found = components(every.where("a != b").distinct())
-    labelled = points.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit"))
-    return rows, labelled
+    found = components(every)
+    return rows, cells, units.join(found.withColumnRenamed("node", "unit"), "unit", "left").withColumn("label", F.coalesce("label", "unit")), g, keys
