@@ -201,7 +201,7 @@ def near_payment_rows(df: DataFrame, group_by: list[str], columns: list[str], da
     of the columns, else double.
     """
     rows, cells, units, _, keys = _near_cells(df, group_by, days, programs, tol_pct)
-    cell = cells.join(units.select("unit", "label"), "unit").select("label", *(F.col(c).alias(f"_p{c}") for c in [*keys, "day"]))
+    cell = cells.withColumn("unit", _named(keys)).join(units.select("unit", "label"), "unit").select("label", *(F.col(c).alias(f"_p{c}") for c in [*keys, "day"]))
     labelled = rows.join(cell, [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in [*keys, "day"]]).select("label", "_file", "_sheet", "_row")
     whole = df.select("_file", "_sheet", "_row", F.xxhash64(*(F.col(f"`{c}`") for c in columns)).alias("_same"))
     labelled = saved(labelled.join(whole, ["_file", "_sheet", "_row"]))
@@ -213,35 +213,47 @@ def near_payment_rows(df: DataFrame, group_by: list[str], columns: list[str], da
 
 def _band(amount: Column, tol_pct: float) -> Column:
     """Bands of amounts a hair narrower than the tolerance, so that rounding cannot put unlike amounts into one; like ones are two bands apart at most."""
-    size = -F.log(F.lit(1 - tol_pct / 100))
-    return F.when(amount == 0, F.lit(0).cast("long")).otherwise(F.floor(F.log(F.abs(amount).cast("double")) / size * 1.000001))
+    return F.when(amount == 0, F.lit(0).cast("long")).otherwise(F.floor(_place(amount, tol_pct)))
+
+
+def _place(amount: Column, tol_pct: float) -> Column:
+    return F.log(F.abs(amount).cast("double")) / -F.log(F.lit(1 - tol_pct / 100)) * 1.000001
 
 
 def _fits(p: str, q: str, tol_pct: float) -> str:
     return f"abs({p} - {q}) * 100 <= {tol_pct} * greatest(abs({p}), abs({q}))"
 
 
+def _named(keys: list[str]) -> Column:
+    return F.to_json(F.struct(*keys, "chain"), {"ignoreNullFields": "false"})
+
+
 def _beside(cells: DataFrame, g: list[str], days: int, tol_pct: float) -> DataFrame:
-    """Links (a, b) of the units of dated cells (_g..., _sign, _band, day, least, most, unit) whose amounts lie in different bands.
+    """Links (a, b) of the units of dated cells (_g..., _sign, _band, chain, day, least, most) whose amounts lie in different bands.
 
     A cell's largest amount fits a band above if it fits the smallest amount there of the
-    days at most `days` before or after.  Those before are one unit, and those after, as
-    their steps are no longer than that, so two looks a band find every link.
+    days at most `days` before or after.  Those before are of one chain, and those after, as
+    their steps are no longer than that, so two looks a band find every link.  Two bands
+    above only amounts at the lower edge of theirs can fit.
     """
-    placed = cells.select(*g, "_sign", "day", "least", "most", "unit", "_band", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_m"))
-    placed = placed.withColumns({"_at": F.col("_band") - F.col("_m"), "_day": F.datediff("day", F.lit("1970-01-01").cast("date"))})
+    keys = [*g, "_sign", "_band"]
+    edge = _place(F.col("least"), tol_pct) - F.col("_band") < 0.001
+    moves = F.when(edge, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0), F.lit(1)))
+    placed = cells.select(*keys, "chain", "least", "most", F.datediff("day", F.lit("1970-01-01").cast("date")).alias("_day"), F.explode(moves).alias("_m")).withColumn("_at", F.col("_band") - F.col("_m"))
     by = Window.partitionBy(*g, "_sign", "_at").orderBy("_day")
-    spans = by.rangeBetween(-days, 0), by.rangeBetween(0, days)
-    smallest = [F.min(F.when(F.col("_m") == m, F.struct("least", "unit"))).over(w) for w in spans for m in (1, 2)]
-    met = placed.withColumn("_met", F.array(*smallest)).where("_m = 0").select("unit", "most", F.explode("_met").alias("y"))
-    return met.where(_fits("most", "y.least", tol_pct)).select(F.col("unit").alias("a"), F.col("y.unit").alias("b"))
+    of = lambda c, m, w: F.min(F.when(F.col("_m") == m, F.col(c))).over(w)
+    looks = [F.struct(F.lit(m).alias("m"), of("least", m, w).alias("least"), of("chain", m, w).alias("chain")) for w in (by.rangeBetween(-days, 0), by.rangeBetween(0, days)) for m in (1, 2)]
+    met = placed.withColumn("_met", F.array(*looks)).where("_m = 0").select(*keys, "chain", "most", F.explode("_met").alias("y")).where(_fits("most", "y.least", tol_pct))
+    # few are left of a chain's links before they are named
+    links = met.select(*keys, "chain", "y.m", F.col("y.chain").alias("other")).distinct().withColumn("a", _named(keys))
+    return links.withColumns({"_band": F.col("_band") + F.col("m"), "chain": F.col("other")}).select("a", _named(keys).alias("b"))
 
 
 def _near_cells(df: DataFrame, group_by: list[str], days: int, programs: list[str] | None, tol_pct: float) -> tuple[DataFrame, DataFrame, DataFrame, list[str], list[str]]:
-    """Payments, their cells with a unit, the units with counts and the label of the component, the columns of a group, and those of a cell but the day.
+    """Payments, their cells with a chain, the units with counts and the label of the component, the columns of a group, and those of a cell but the day.
 
     A unit is a chain of cells of a group and amount, or band, with steps of at most
-    `days`, or their cell without a day.
+    `days`, or their cell without a day, whose chain is -1.
     """
     g = [f"_g{i}" for i in range(len(group_by))]
     keys = [*g, *(("_sign", "_band") if tol_pct else ("amount",))]
@@ -259,33 +271,38 @@ def _near_cells(df: DataFrame, group_by: list[str], days: int, programs: list[st
     by = Window.partitionBy(*keys).orderBy("day")
     fresh = F.when(F.col("day").isNotNull(), F.coalesce(F.datediff("day", F.lag("day").over(by)) > days, F.lit(True)).cast("int"))
     chain = F.when(F.col("day").isNull(), F.lit(-1)).otherwise(F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    cells = saved(cells.withColumn("_new", fresh).withColumn("unit", F.to_json(F.struct(*keys, chain.cast("long").alias("chain")), {"ignoreNullFields": "false"})).drop("_new"))
-    units = saved(cells.groupBy("unit", *keys).agg(F.sum("n").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most")))
+    cells = saved(cells.withColumn("_new", fresh).withColumn("chain", chain.cast("long")).drop("_new"))
+    units = cells.groupBy(*keys, "chain").agg(F.sum("n").alias("n"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("least").alias("least"), F.max("most").alias("most"))
+    units = saved(units.withColumn("unit", _named(keys)))
+    same = lambda other, columns: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in columns))
+
+    # a payment without day and amount fits all of its group, where no other links are needed
+    fits_all = units.where("least is null and first_day is null").select(*g, F.col("unit").alias("b")).alias("f")
+    links = [units.alias("u").join(fits_all, same("f", g)).selectExpr("u.unit as a", "f.b")]
+    dated = cells.where("day is not null").alias("u").join(fits_all, same("f", g), "left_anti")
+    u = units.alias("u").join(fits_all, same("f", g), "left_anti").alias("u")
 
-    # the days of a group, with the unit of that day's payments without amount
-    dated = cells.where("day is not null")
-    by_day = dated.groupBy(*g, "day").agg(F.min(F.when(F.col("least").isNull(), F.col("unit"))).alias("open"))
+    # the days of a group, with the chain of that day's payments without amount
+    by_day = dated.groupBy(*g, "day").agg(F.min(F.when(F.col("least").isNull(), F.col("chain"))).alias("open"))
     before, after = (Window.partitionBy(*g).orderBy(order).rowsBetween(Window.unboundedPreceding, 0) for order in (F.asc("day"), F.desc("day")))
-    open_ = F.when(F.col("open").isNotNull(), F.struct("day", F.col("open").alias("unit")))
+    open_ = F.when(F.col("open").isNotNull(), F.struct("day", "open"))
     beside = by_day.select(*(F.col(c).alias(f"n{c}") for c in g), F.col("day").alias("nday"), F.array(*(F.last(open_, ignorenulls=True).over(w) for w in (before, after))).alias("sides"))
     beside = beside.select("*", F.explode("sides").alias("side")).where(F.abs(F.datediff("nday", "side.day")) <= days)
     met = F.expr(" and ".join([*(f"{c} <=> n{c}" for c in g), "day = nday"]))
-    links = [dated.where("least is not null").join(beside, met).select(F.col("unit").alias("a"), F.col("side.unit").alias("b"))]
+    met = dated.where("least is not null").join(beside, met).select(*keys, "chain", F.col("side.open").alias("other")).distinct().withColumn("a", _named(keys))
+    unread = {k: F.lit(None).cast(cells.schema[k].dataType) for k in keys if k not in g}
+    links.append(met.withColumns({**unread, "chain": F.col("other")}).select("a", _named(keys).alias("b")))
 
-    same = lambda other, columns: F.expr(" and ".join(f"u.{k} <=> {other}.{k}" for k in columns))
-    u, on, fit = units.alias("u"), same("d", keys), "true"
-    dayless = units.where("first_day is null and least is not null").select(*keys, "unit", "least", "most")
+    dayless, fit = u.where("first_day is null and least is not null").select(*keys, "unit", "least", "most"), "true"
     if tol_pct:
         links.append(_beside(dated.where("least is not null"), g, days, tol_pct))
         # amounts without a day meet units in the bands next to theirs by the smallest and largest amounts, of which two fit if any do
         dayless = dayless.withColumn("_band", F.explode(F.sequence(F.col("_band") - 2, F.col("_band") + 2)))
         fit = " or ".join(f"({_fits(f'u.{p}', f'd.{q}', tol_pct)})" for p in ("least", "most") for q in ("least", "most"))
-    links.append(u.join(dayless.alias("d"), on & F.expr(fit)).selectExpr("u.unit as a", "d.unit as b"))
-    first = lambda *unread: F.min(F.when(F.expr(" and ".join(f"{c} is null" for c in unread)), F.col("unit")))
-    firsts = units.groupBy(*g).agg(first("least").alias("f_amount"), first("first_day").alias("f_day"), first("least", "first_day").alias("f_both"))
-    joined = u.join(firsts.where("f_amount is not null and f_day is not null").alias("f"), same("f", g))
-    ends = F.array(F.expr("case when u.least is null then f.f_day end"), F.expr("case when u.first_day is null then f.f_amount end"), F.col("f.f_both"))
-    links.append(joined.select(F.col("u.unit").alias("a"), F.explode(ends).alias("b")).where("b is not null"))
+    links.append(u.join(dayless.alias("d"), same("d", keys) & F.expr(fit)).selectExpr("u.unit as a", "d.unit as b"))
+    firsts = u.groupBy(*g).agg(*(F.min(F.when(F.col(c).isNull(), F.col("unit"))).alias(f) for c, f in (("least", "f_amount"), ("first_day", "f_day"))))
+    firsts = u.join(firsts.where("f_amount is not null and f_day is not null").alias("f"), same("f", g))
+    links.append(firsts.selectExpr("u.unit as a", "case when u.least is null then f.f_day when u.first_day is null then f.f_amount end as b").where("b is not null"))
     every = links[0]
     for more in links[1:]:
         every = every.union(more)

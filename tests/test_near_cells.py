@@ -64,3 +64,14 @@ def test_cells_against_all_pairs(spark):
     for r in groups.near_payment_rows(df, ["사업명"], ["사업명", "지원일자"], 25, tol_pct=8.0).collect():
         members.setdefault(r["group_id"], []).append(r["_row"])
     assert sorted(sorted(m) for m in members.values()) == sorted(sorted(g) for g in wanted)
+
+
+@pytest.mark.parametrize("tol", [0.0, 5.0])
+def test_a_payment_without_day_and_amount_joins_its_group(spark, tol):
+    rows = [("f", "s", i + 20 * (p == "q"), p, (date(2025, 1, 1) + timedelta(days=50 * i)).isoformat(), str(10_000 * (i + 1))) for i in range(4) for p in "pq"]
+    rows += [("h", "s", 9, "p", "", ""), ("f", "s", 10, "q", "", "20000"), ("f", "s", 11, "q", "2025-01-05", "")]
+    df = _table(spark, rows)
+    got = groups.near_payments_open(df, ["사업명"], 10, tol_pct=tol).collect()
+    assert sorted((r["사업명"], r["n_rows"], str(r["first_day"]), str(r["last_day"]), r["several_files"]) for r in got) == [("p", 5, "2025-01-01", "2025-05-31", True), ("q", 4, "2025-01-01", "2025-02-20", False)]
+    members = sorted((r["kind"], r["_row"]) for r in groups.near_payment_rows(df, ["사업명"], ["사업명"], 10, tol_pct=tol).collect())
+    assert members == sorted([("several_files", i) for i in (0, 1, 2, 3, 9)] + [("same_rows", i) for i in (20, 21, 10, 11)])
