@@ -18,13 +18,16 @@ def write_pages(df: DataFrame, path: str, order: list[str], part_rows: int = PAR
     """Write df in parts of rising ranges of its order. The order must tell rows apart, or equal rows may change places.
 
     Small parts share a range, so that there are neither tasks nor files for each of them;
-    a range is in order in its file, where a page finds its part by the file's statistics.
+    a range has a folder (part) and is in order in its file, where a page finds its
+    part (_piece) by the file's statistics.
     """
     df, by = saved(df), [F.col(f"`{c}`").asc_nulls_first() for c in order]
-    ranges = max(1, -(-df.count() // max(part_rows, PART_ROWS)))
-    ranged = df.repartitionByRange(ranges, *by).withColumn("_range", F.spark_partition_id().cast("long"))
-    at = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
-    ranged.withColumn("part", F.col("_range") * 2**32 + F.floor(at / part_rows)).drop("_range").write.parquet(path)
+    total = df.count()
+    ranged = df.repartitionByRange(max(1, -(-total // max(part_rows, PART_ROWS))), *by).withColumn("part", F.spark_partition_id())
+    at = F.row_number().over(Window.partitionBy("part").orderBy(*by)) - 1
+    out = ranged.withColumn("_piece", F.floor(at / part_rows)).write
+    # without rows there is no folder that would keep the columns
+    (out.partitionBy("part") if total else out).parquet(path)
 
 
 class Pages:
@@ -32,7 +35,7 @@ class Pages:
 
     def __init__(self, spark: SparkSession, path: str, order: list[str]):
         self.rows, self.order = spark.read.parquet(path), order
-        counts = sorted((r["part"], r["count"]) for r in self.rows.groupBy("part").count().collect())
+        counts = sorted(((r["part"], r["_piece"]), r["count"]) for r in self.rows.groupBy("part", "_piece").count().collect())
         self.parts, self.ends = [p for p, _ in counts], list(accumulate(n for _, n in counts))
 
     @property
@@ -43,10 +46,11 @@ class Pages:
         """Rows number * rows and on, at most `rows`, with their place in the list from 0; no part but theirs is read."""
         first, last = number * rows, min((number + 1) * rows, self.total) - 1
         if first > last:
-            return self.rows.drop("part").withColumn("place", F.lit(0).cast("long")).limit(0)
+            return self.rows.drop("part", "_piece").withColumn("place", F.lit(0).cast("long")).limit(0)
         a, z = bisect_right(self.ends, first), bisect_right(self.ends, last)
         begins = {self.parts[i]: self.ends[i - 1] if i else 0 for i in range(a, z + 1)}
-        some = self.rows.where(F.col("part").isin(list(begins)))
-        start = F.element_at(F.create_map(*(F.lit(x) for kv in begins.items() for x in kv)), F.col("part"))
-        place = F.row_number().over(Window.partitionBy("part").orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in self.order))) - 1 + start
-        return some.withColumn("place", place.cast("long")).where(F.col("place").between(first, last)).drop("part")
+        key = F.struct("part", "_piece")
+        some = self.rows.where(F.col("part").isin([p for p, _ in begins]) & F.col("_piece").isin([q for _, q in begins]))
+        start = F.element_at(F.create_map(*(x for (p, q), n in begins.items() for x in (F.struct(F.lit(p).alias("part"), F.lit(q).cast("long").alias("_piece")), F.lit(n)))), key)
+        place = F.row_number().over(Window.partitionBy("part", "_piece").orderBy(*(F.col(f"`{c}`").asc_nulls_first() for c in self.order))) - 1 + start
+        return some.withColumn("place", place.cast("long")).where(F.col("place").between(first, last)).drop("part", "_piece")
